@@ -1,0 +1,39 @@
+"""Connected components of a table of links by alternating large-star and small-star steps.
+
+Each round is two aggregations; labels fall monotonically and the number of rounds
+is logarithmic in the longest chain. Each round's links are written to the shared
+folder, and earlier rounds are deleted. Nothing is collected but one count a round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphspark.session import loop_materialize
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """Links (a, b), a > b, to links of the same components, closer to stars around the least node."""
+    if large:  # every neighbour above a node goes to the least of the node and its neighbours
+        pairs = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        moved = pairs.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:  # every neighbour below a node, and the node, go to the least of them
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    return moved.where("a <> b").distinct()
+
+
+def component_labels(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, label) of every node that has a link; links are two columns of one orderable type, ``a`` and ``b``; the label is the least node reachable."""
+    paths: list[str] = []
+    now = loop_materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links", paths)
+    for _ in range(rounds):
+        new = loop_materialize(_star(_star(now, True), False), "links", paths)
+        if not new.exceptAll(now).limit(1).count() and not now.exceptAll(new).limit(1).count():
+            break
+        now = new
+    else:
+        raise RuntimeError("components did not settle")
+    return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
