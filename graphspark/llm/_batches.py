@@ -72,6 +72,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return own[0][: n + 1], own[1][: n + 1]
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running polynomial of the bytes, modulo 2**64."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data))[0][:-1], out=total[1:])
+    return total
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: a polynomial by prefix sums, then mixed."""
+    total = prefix_sums(data) if prefix is None else prefix
+    return avalanche((total[end] - total[start]) * _powers(len(data))[1][start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class WordRuns:
     """The words of several texts as flat arrays: ``doc``, ``start``, ``end`` in ``data``."""
 
@@ -91,13 +104,8 @@ class WordRuns:
 
     def hashes(self, data: np.ndarray | None = None, spans: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """A 64-bit hash of the bytes of each word (or of each span): a polynomial by prefix sums, then mixed."""
-        data = self.data if data is None else data
-        n = len(data)
-        powers, back = _powers(n)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
         start, end = (self.start, self.end) if spans is None else spans
-        return avalanche((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return span_hashes(self.data if data is None else data, start, end)
 
 
 def crc_remainder_sql(column_name: str, modulus: int) -> str:

@@ -8,10 +8,16 @@ the sum over its words, and an end mark. A character that the vocabulary lacks i
 spelled by its byte pieces.
 
 A vocabulary whose scores aren't log-probabilities (merge ranks) is read by Zipf's
-law: rank r weighs 1 / (r + 2.7). The scores then act as a prior: one
-expectation-maximisation step over the word counts of all training documents,
-with the prior counting for PRIOR pieces, fits them to the corpus
-(``fit_steps=0`` leaves them as they are).
+law: rank r weighs 1 / (r + 2.7).
+
+What the corpus adds: a word that training documents hold has one more arc, the
+whole word, which weighs c / N times
+the mass of known words. The mass that is left to the pieces is
+Good and Turing's, the share of words that occur once. The vocabulary's scores are
+a prior that counts for PRIOR pieces; expectation-maximisation steps over the word
+counts of all training documents, each occurrence against the counts without it,
+fit the pieces to what whole-word arcs don't explain (``fit_steps=0`` leaves the
+vocabulary's weights as they are).
 
 Counts are exact over all documents: each partition counts its words before the
 shuffle. To score texts, words that make up at least 1 / HOT of all tokens (so at
@@ -36,37 +42,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphspark.llm._batches import column, crc_remainder_sql, slices, utf8, values
+from graphspark.llm._batches import column, crc_remainder_sql, prefix_sums, slices, span_hashes, utf8, values
 from graphspark.session import ensure_importable, materialize
 
 MARK = "▁"
-PRIOR = 10_000.0
+PRIOR = 1_000.0
 HOT = 60_000
 FLUSH = 400_000
 FLOOR = -1e30
+WORDS_PER_TASK = 50_000
+#: Slots of the table of pieces, and entries of a batch of lattices.
+SLOTS, GRID = 1 << 18, 1 << 20
 
 
 class Pieces:
-    """Pieces with natural log-probabilities, and the lattice recursions over them."""
+    """Pieces with natural log-probabilities, and the lattice recursions over them.
+
+    Words are handled in batches of like length. A piece is found by a hash of its
+    UTF-8 bytes in an open table; the word-start mark is one byte, a space.
+    """
 
     def __init__(self, names: list[str], scores: list[float], spelled_bytes: dict[int, int], unused: set[int], log_scores: bool):
-        self.names = names
         raw = np.array(scores, dtype=np.float64)
         if not log_scores:
             raw = -np.log(np.argsort(np.argsort(-raw, kind="stable"), kind="stable") + 2.7)
         raw[list(unused)] = -np.inf
         self.end = len(names)  # the end of a text is one more piece, as likely as the likeliest before any fitting
         raw = np.append(raw, raw.max())
-        self.unused = sorted(unused)
-        self.bytes = [spelled_bytes[b] for b in range(256)] if len(spelled_bytes) == 256 else None
-        self.set(raw - np.logaddexp.reduce(raw))
-
-    def set(self, logp: np.ndarray) -> None:
-        self.logp = logp
-        skip = {*self.unused, *(self.bytes or ())}
-        self.number = {n: i for i, n in enumerate(self.names) if i not in skip}
-        self.prefixes = {n[:k] for n in self.number for k in range(1, len(n))}
-        self.weight = dict(zip(self.number, (float(logp[i]) for i in self.number.values()), strict=True))
+        self.logp = raw - np.logaddexp.reduce(raw)
+        self.byte_ids = np.array([spelled_bytes[b] for b in range(256)]) if len(spelled_bytes) == 256 else None
+        skip = unused | set(spelled_bytes.values())
+        known = {n.replace(MARK, " ").encode(): i for i, n in enumerate(names) if i not in skip and MARK not in n[1:]}
+        spelled = list(known)
+        self.longest = max(map(len, spelled), default=1)
+        data, ends = np.frombuffer(b"".join(spelled), dtype=np.uint8), np.cumsum([len(x) for x in spelled])
+        self.hash, self.piece, self.steps = np.zeros(SLOTS, dtype=np.uint64), np.full(SLOTS, -1, dtype=np.int32), 1
+        for h, i in zip(span_hashes(data, ends - [len(x) for x in spelled], ends).tolist(), known.values(), strict=True):
+            at, steps = h & (SLOTS - 1), 1
+            while self.piece[at] >= 0:
+                at, steps = (at + 1) & (SLOTS - 1), steps + 1
+            self.hash[at], self.piece[at], self.steps = h, i, max(self.steps, steps)
 
     @classmethod
     def from_sentencepiece(cls, path: str) -> Pieces:
@@ -85,80 +100,119 @@ class Pieces:
     def fitted(self, expected: np.ndarray, prior: float = PRIOR) -> Pieces:
         """With expected counts of the pieces (and of the end) added to the prior's."""
         out = object.__new__(Pieces)
-        out.names, out.end, out.unused, out.bytes = self.names, self.end, self.unused, self.bytes
+        out.__dict__.update(self.__dict__)
         counts = expected + prior * np.exp(self.logp)
         with np.errstate(divide="ignore"):
-            out.set(np.log(counts) - math.log(counts.sum()))
+            out.logp = np.log(counts) - math.log(counts.sum())
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Pieces of hashes; -1 where there is none."""
+        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        out = np.where(self.hash[at] == h, self.piece[at], -1)
+        left = np.flatnonzero((out < 0) & (self.piece[at] >= 0))
+        for _ in range(self.steps - 1):
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & (SLOTS - 1)
+            out[left] = np.where(self.hash[at[left]] == h[left], self.piece[at[left]], -1)
+            left = left[(out[left] < 0) & (self.piece[at[left]] >= 0)]
+        return out
+
+    def batches(self, words: list[bytes]):
+        """(numbers of words, their lattice) for words of like length, in bounded memory."""
+        lengths = np.array([len(w) + 1 for w in words])
+        order, at = np.argsort(lengths, kind="stable"), 0
+        while at < len(order):
+            n = max(1, min(2048, len(order) - at))
+            while n > 1 and n * (t := int(lengths[order[at + n - 1]])) * min(t, self.longest) > GRID:
+                n //= 2
+            yield order[at : at + n], Lattice(self, [words[i] for i in order[at : at + n]])
+            at += n
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural logarithms of the words' marginal probabilities over all segmentations."""
+        out = np.empty(len(words))
+        for numbers, lattice in self.batches(words):
+            out[numbers] = lattice.forward()[np.arange(len(numbers)), lattice.lengths]
         return out
 
-    def arcs(self, word: str) -> list[list[tuple[int, float, str | None]]]:
-        """By end position: (start, log-probability, piece; None for a character in bytes)."""
-        s = MARK + word
-        n = len(s)
-        into: list[list] = [[] for _ in range(n + 1)]
-        weight, prefixes = self.weight, self.prefixes
-        for i in range(n):
-            j, known = i + 1, False
-            while j <= n:
-                piece = s[i:j]
-                w = weight.get(piece)
-                if w is not None:
-                    into[j].append((i, w, piece))
-                    known = known or j == i + 1
-                if piece not in prefixes:
-                    break
-                j += 1
-            if not known:
-                spelled = s[i].encode("utf-8", "surrogatepass")
-                into[i + 1].append((i, sum(float(self.logp[self.bytes[b]]) for b in spelled) if self.bytes else FLOOR, None))
-        return into
-
-    def forward(self, into: list[list[tuple]]) -> list[float]:
-        alpha = [0.0] * len(into)
-        exp, log = math.exp, math.log
-        for j in range(1, len(into)):
-            found = [alpha[i] + w for i, w, _ in into[j]]
-            if len(found) == 1:
-                alpha[j] = found[0]
-            elif found:
-                top = max(found)
-                alpha[j] = top + log(sum([exp(x - top) for x in found]))
-            else:
-                alpha[j] = FLOOR
+    def add_expected(self, words: list[bytes], c: np.ndarray, n_words: int, novel: float, expected: np.ndarray) -> None:
+        """Expected counts of pieces in words' ``c`` occurrences among ``n_words``, each held against the whole-word arc of the others."""
+        for numbers, lattice in self.batches(words):
+            own = c[numbers].astype(np.float64)
+            alpha = lattice.forward()
+            total = alpha[np.arange(len(numbers)), lattice.lengths]
+            with np.errstate(divide="ignore"):
+                whole = np.log((1 - novel) * (own - 1) / n_words)
+            lattice.add_expected(alpha, own * np.exp(-np.logaddexp(0, whole - math.log(novel) - total)), expected)
+
+
+class Lattice:
+    """Arcs of several words: ``ids`` and ``weights`` by word, first byte and length less one."""
+
+    def __init__(self, pieces: Pieces, words: list[bytes]):
+        self.pieces = pieces
+        self.lengths = np.array([len(w) + 1 for w in words])
+        self.top = int(self.lengths.max())
+        self.reach = min(self.top, pieces.longest)
+        grid = np.full((len(words), self.top + self.reach), 32, dtype=np.uint8)
+        inside = np.arange(self.top) < self.lengths[:, None]
+        grid[:, : self.top][inside] = np.frombuffer(b"".join(b" " + w for w in words), dtype=np.uint8)
+        self.grid, flat = grid, grid.reshape(-1)
+        at = (np.arange(len(words)) * grid.shape[1])[:, None] + np.arange(self.top)
+        self.ids = np.full((len(words), self.top, self.reach), -1, dtype=np.int32)
+        prefix = prefix_sums(flat)
+        for k in range(1, self.reach + 1):
+            fits = np.arange(self.top) + k <= self.lengths[:, None]
+            start = at[fits]
+            self.ids[:, :, k - 1][fits] = pieces.find(span_hashes(flat, start, start + k, prefix))
+        self.weights = np.where(self.ids >= 0, pieces.logp[self.ids], -np.inf)
+        # a character that is no piece has one arc, its byte pieces'
+        lead = grid[:, : self.top]
+        width = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+        begins = inside & ((lead & 0xC0) != 0x80)
+        width = np.where(begins, np.minimum(width, self.lengths[:, None] - np.arange(self.top)), 1)
+        rows, firsts = np.nonzero(begins & (np.take_along_axis(self.ids, np.minimum(width, self.reach)[:, :, None] - 1, axis=2)[:, :, 0] < 0))
+        self.bytewise = []
+        for r, f in zip(rows.tolist(), firsts.tolist(), strict=True):
+            w = min(int(width[r, f]), self.reach)
+            spelled = pieces.byte_ids[grid[r, f : f + w]] if pieces.byte_ids is not None else np.zeros(0, dtype=np.int64)
+            self.weights[r, f, w - 1] = pieces.logp[spelled].sum() if len(spelled) else FLOOR
+            self.bytewise.append((r, f, w, spelled))
+
+    def forward(self) -> np.ndarray:
+        """By word and end: the logarithm of the summed weight of all ways to get there."""
+        alpha = np.full((len(self.lengths), self.top + 1), -np.inf)
+        alpha[:, 0] = 0
+        k = np.arange(self.reach)
+        for j in range(1, self.top + 1):
+            n = min(j, self.reach)
+            alpha[:, j] = log_sum(alpha[:, j - 1 - k[:n]] + self.weights[:, j - 1 - k[:n], k[:n]])
         return alpha
 
-    def log_probability(self, word: str) -> float:
-        """Natural logarithm of the word's marginal probability over all segmentations."""
-        return self.forward(self.arcs(word))[-1]
-
-    def add_expected(self, word: str, times: float, expected: np.ndarray) -> None:
-        """Expected counts of pieces in ``times`` occurrences of the word."""
-        into = self.arcs(word)
-        alpha = self.forward(into)
-        beta = [FLOOR] * len(into)
-        beta[-1] = 0.0
-        total, exp, log = alpha[-1], math.exp, math.log
-        for j in range(len(into) - 1, 0, -1):
-            b = beta[j]
-            for i, w, piece in into[j]:
-                x = b + w
-                old = beta[i]
-                if old <= FLOOR:
-                    beta[i] = x
-                else:
-                    hi, lo = (old, x) if old > x else (x, old)
-                    beta[i] = hi + log(1 + exp(lo - hi))
-                share = exp(min(0.0, alpha[i] + x - total)) * times
-                if piece is not None:
-                    expected[self.number[piece]] += share
-                elif self.bytes:
-                    s = (MARK + word)[i]
-                    for c in s.encode("utf-8", "surrogatepass"):
-                        expected[self.bytes[c]] += share
-
-
-def text_of(word: bytes) -> str:
-    return word.decode("utf-8", "replace")
+    def add_expected(self, alpha: np.ndarray, times: np.ndarray, expected: np.ndarray) -> None:
+        """Adds ``times`` the posterior of every arc to the counts of its piece."""
+        rows = np.arange(len(self.lengths))
+        total = alpha[rows, self.lengths]
+        beta = np.full((len(rows), self.top + self.reach + 1), -np.inf)
+        beta[rows, self.lengths] = 0
+        for t in range(self.top - 1, -1, -1):
+            here = t < self.lengths
+            beta[here, t] = log_sum(self.weights[here, t] + beta[here, t + 1 : t + 1 + self.reach])
+        r, t, k = np.nonzero(self.ids >= 0)
+        share = np.exp(np.minimum(0, alpha[r, t] + self.weights[r, t, k] + beta[r, t + k + 1] - total[r])) * times[r]
+        expected += np.bincount(self.ids[r, t, k], weights=share, minlength=len(expected))
+        for r, t, w, spelled in self.bytewise:
+            np.add.at(expected, spelled, np.exp(min(0.0, alpha[r, t] + self.weights[r, t, w - 1] + beta[r, t + w] - total[r])) * times[r])
+
+
+def log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials over the last axis."""
+    top = x.max(axis=1)
+    safe = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return safe + np.log(np.exp(x - safe[:, None]).sum(axis=1))
 
 
 def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
@@ -185,7 +239,21 @@ def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
     return docs.select(text, train).mapInArrow(counted, "word binary, c long, all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
 
 
-def expected_counts(words: DataFrame, pieces: Pieces) -> np.ndarray:
+def marginals(pieces: Pieces, words: list[bytes], c: np.ndarray, n: int, novel: float) -> np.ndarray:
+    """log10 of words' probabilities: the whole-word arc and all segmentations into pieces."""
+    by_pieces = math.log(novel) + pieces.log_probabilities(words)
+    if novel < 1:
+        with np.errstate(divide="ignore"):
+            by_pieces = np.logaddexp(by_pieces, np.log((1 - novel) * c / n))
+    return by_pieces / math.log(10)
+
+
+def spread(words: DataFrame, n: int) -> DataFrame:
+    """A few seconds of lattice work a task."""
+    return words.repartition(max(8, n // WORDS_PER_TASK + 1))
+
+
+def expected_counts(words: DataFrame, pieces: Pieces, n: int, novel: float) -> np.ndarray:
     """Expected counts of all pieces in the training occurrences of all words; a vector of the vocabulary's size per task is what travels."""
     sent = words.sparkSession.sparkContext.broadcast(pieces)
     schema = pa.schema([("piece", pa.int32()), ("n", pa.float64())])
@@ -193,19 +261,17 @@ def expected_counts(words: DataFrame, pieces: Pieces) -> np.ndarray:
     def summed(batches):
         expected = np.zeros(len(sent.value.logp))
         for batch in batches:
-            for word, c in zip(values(batch, "word"), values(batch, "c"), strict=True):
-                if c:
-                    sent.value.add_expected(text_of(word), c, expected)
+            sent.value.add_expected(values(batch, "word"), column(batch, "c").to_numpy(), n, novel, expected)
         at = np.flatnonzero(expected)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(expected[at])], schema=schema)
 
     out = np.zeros(len(pieces.logp))
-    for piece, n in words.select("word", "c").mapInArrow(summed, "piece int, n double").groupBy("piece").agg(F.sum("n")).collect():
-        out[piece] = n
+    for piece, k in words.mapInArrow(summed, "piece int, n double").groupBy("piece").agg(F.sum("n")).collect():
+        out[piece] = k
     return out
 
 
-def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, fit_steps: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, fit_steps: int = 2) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score per document (logarithms to base 10)."""
     spark = docs.sparkSession
     ensure_importable(spark)
@@ -213,14 +279,14 @@ def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
     kind = source.schema["__id"].dataType
     counts = materialize(word_counts(source, "__text", "__train"), "words")
     ends, all_docs = source.select(F.coalesce(F.sum(F.col("__train").cast("long")), F.lit(0)), F.count("*")).first()
-    known, words_in, all_in = counts.select(F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+    types, known, once, words_in, all_in = counts.select(F.count("*"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
     n, v, tokens = words_in + ends, known + (ends > 0), all_in + all_docs
     floor = n + 0.1 * (v + 1)
+    novel = min(0.5, (once + 1) / (n + 1)) if n else 1.0  # the pieces' mass
 
     pieces = Pieces.from_sentencepiece(vocabulary_path)
     for _ in range(fit_steps if n else 0):
-        expected = expected_counts(counts, pieces)
-        expected[pieces.end] += ends
+        expected = expected_counts(spread(counts.where("c > 0").select("word", "c"), known), pieces, n, novel)
         pieces = pieces.fitted(expected)
     sent = spark.sparkContext.broadcast(pieces)
 
@@ -228,13 +294,14 @@ def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
 
     def priced(batches):
         for batch in batches:
-            words, c = values(batch, "word"), values(batch, "c")
-            yield pa.RecordBatch.from_arrays([column(batch, "word"), pa.array([int(x > 0) for x in c], pa.int32()), pa.array([math.log10((x + 0.1) / floor) for x in c]), pa.array([sent.value.log_probability(text_of(w)) / math.log(10) for w in words]), column(batch, "all")], schema=schema)
+            c = column(batch, "c").to_numpy()
+            yield pa.RecordBatch.from_arrays([column(batch, "word"), pa.array((c > 0).astype(np.int32)), pa.array(np.log10((c + 0.1) / floor)), pa.array(marginals(sent.value, values(batch, "word"), c, n, novel)), column(batch, "all")], schema=schema)
 
-    prices = materialize(counts.mapInArrow(priced, "word binary, known int, base double, model double, all long"), "prices")
+    prices = materialize(spread(counts, types).mapInArrow(priced, "word binary, known int, base double, model double, all long"), "prices")
     hot = {bytes(r[0]): (r[1], r[2], r[3]) for r in prices.where(F.col("all") * HOT >= tokens).select("word", "known", "base", "model").collect()}  # at most HOT words
     hot_sent = spark.sparkContext.broadcast(hot)
-    end = int(ends > 0), math.log10((ends + 0.1) / floor), float(pieces.logp[pieces.end]) / math.log(10)
+    by_pieces = novel * math.exp(pieces.logp[pieces.end])
+    end = int(ends > 0), math.log10((ends + 0.1) / floor), math.log10(by_pieces + ((1 - novel) * ends / n if n else 0.0))
 
     posting = pa.schema([("row", pa.int64()), ("__id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
