@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from graphspark.llm._batches import column, slices, utf8
-from graphspark.llm.components import component_labels
+from graphspark.operators.connectivity import component_labels
 from graphspark.session import ensure_importable, materialize
 
 #: Variants that one partition of the shuffle is meant to hold.
-PART = 6_000_000
+PART = 1_500_000
 
 
 def shingle_hashes(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
@@ -128,8 +128,8 @@ def colliding(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bits:
     same = np.flatnonzero(slot[1:] == slot[:-1])
     if not len(same):
         return np.zeros((0, 2), dtype=np.uint64)
-    a, b = owner[same].astype(np.int64), owner[same + 1].astype(np.int64)
-    keys = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
+    a, b = owner[same], owner[same + 1]
+    keys = np.unique(np.minimum(a, b) * np.int64(len(fps)) + np.maximum(a, b))
     pairs = np.stack([keys // len(fps), keys % len(fps)], axis=1)
     near = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius
     return fps[spanning_forest(pairs[near], len(fps))]
