@@ -5,6 +5,397 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphspark import graph as G
+from graphspark.graph import Graph
+from graphspark.operators import coloring, connectivity, factor, fsm, linalg, motifs, patterns, ranking, sets, spanning, traversal
+from graphspark.plans import datasets as D
+from graphspark.session import ensure_importable
+from graphspark.sources import generators, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Derived graphs as common table expressions.
+SEQ = "seq AS MATERIALIZED (SELECT DISTINCT s src, d dst FROM (SELECT l_partkey s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) d FROM lineitem) WHERE d IS NOT NULL AND s <> d), vs AS MATERIALIZED (SELECT DISTINCT v FROM (SELECT src v FROM seq UNION ALL SELECT dst FROM seq))"
+COP2 = "half AS MATERIALIZED (SELECT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(DISTINCT a.l_orderkey) >= 2), e AS MATERIALIZED (SELECT u, v FROM half UNION ALL SELECT v, u FROM half)"
+MID = "half AS MATERIALIZED (SELECT DISTINCT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE b.l_partkey < (SELECT count(*) / 5 FROM part)), e AS MATERIALIZED (SELECT u, v FROM half UNION ALL SELECT v, u FROM half)"
+SCC = "escc AS MATERIALIZED (SELECT DISTINCT s, d FROM (SELECT l_partkey s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) d FROM lineitem) WHERE d IS NOT NULL AND s <> d AND (s * 31 + d * 17) % 16 = 0), n AS MATERIALIZED (SELECT s v FROM escc UNION SELECT d FROM escc)"
+RATINGS = "r AS MATERIALIZED (SELECT o_custkey u, l_suppkey i, avg(l_quantity) r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+LABELS = "lab AS (SELECT p_partkey v, CAST(p_size % 4 AS INTEGER) label FROM part)"
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its function's name, with DuckDB SQL for the same rows where there is any."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_importable(spark)
+            return f(spark, sf_dir)
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__] = run
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+SOURCE = 0
+
+
+# Traversal
+
+@query(f"WITH RECURSIVE {SEQ}, r(v, d) AS (SELECT CAST({SOURCE} AS BIGINT), 0 UNION SELECT seq.dst, r.d + 1 FROM r JOIN seq ON seq.src = r.v WHERE r.d < 12) SELECT v, min(d) AS depth FROM r GROUP BY v")
+def bfs_levels(spark, sf):
+    return traversal.bfs(D.seq_graph(spark, sf), SOURCE)
+
+
+@query(f"WITH RECURSIVE {SEQ}, r(v, d) AS (SELECT CAST({SOURCE} AS BIGINT), 0 UNION SELECT seq.dst, r.d + 1 FROM r JOIN seq ON seq.src = r.v WHERE r.d < 12) SELECT depth, count(*) AS vertices FROM (SELECT v, min(d) AS depth FROM r GROUP BY v) GROUP BY depth")
+def bfs_level_hist(spark, sf):
+    return traversal.bfs(D.seq_graph(spark, sf), SOURCE, mode="auto").groupBy("depth").agg(F.count("*").alias("vertices"))
+
+
+@query(f"WITH RECURSIVE {SCC}, r(v, d) AS (SELECT min(s), 0 FROM escc UNION SELECT escc.d, r.d + 1 FROM r JOIN escc ON escc.s = r.v WHERE r.d < 60) SELECT n.v, min(r.d) AS depth FROM n LEFT JOIN r ON n.v = r.v GROUP BY n.v")
+def bfs_pull_all(spark, sf):
+    g = D.scc_graph(spark, sf)
+    return traversal.bfs_all(g, g.edges.agg(F.min("src")).first()[0], mode="pull")
+
+
+_SSSP = "WITH RECURSIVE {SEQ}, w AS MATERIALIZED (SELECT src, dst, {W} w FROM seq), r AS (SELECT 0 it, CAST({S} AS BIGINT) v, CAST(0 AS BIGINT) d UNION ALL SELECT * FROM (SELECT it + 1, v, min(d) FROM (SELECT r.it, w.dst v, r.d + w.w d FROM r JOIN w ON w.src = r.v UNION ALL SELECT it, v, d FROM r) WHERE it < {N} GROUP BY it, v)) SELECT v, min(d) AS distance FROM r GROUP BY v"
+
+
+@query(_SSSP.format(SEQ=SEQ, W="1 + (31 * src + 17 * dst) % 255", S=SOURCE, N=30))
+def sssp_weighted(spark, sf):
+    return traversal.sssp(D.weighted_seq_graph(spark, sf), SOURCE)
+
+
+@query(_SSSP.format(SEQ=SEQ, W="1 + (31 * src + 17 * dst) % 255", S=SOURCE, N=30))
+def sssp_delta(spark, sf):
+    return traversal.sssp(D.weighted_seq_graph(spark, sf), SOURCE, delta=64)
+
+
+@query(_SSSP.format(SEQ=SEQ, W="1", S=SOURCE, N=12))
+def sssp_unit(spark, sf):
+    return traversal.sssp(D.seq_graph(spark, sf), SOURCE, unit=True)
+
+
+@query(
+    f"""WITH RECURSIVE {SEQ}, lv AS MATERIALIZED (SELECT v, min(d) d FROM (
+        WITH RECURSIVE q(v, d) AS (SELECT CAST({SOURCE} AS BIGINT), 0 UNION SELECT seq.dst, q.d + 1 FROM q JOIN seq ON seq.src = q.v WHERE q.d < 12) SELECT * FROM q) GROUP BY v),
+        te AS MATERIALIZED (SELECT seq.src, seq.dst, a.d FROM seq JOIN lv a ON a.v = src JOIN lv b ON b.v = dst AND b.d = a.d + 1),
+        top AS (SELECT max(d) m FROM lv),
+        sg(it, v, s) AS (SELECT 0, CAST({SOURCE} AS BIGINT), CAST(1 AS DOUBLE) UNION ALL SELECT * FROM (SELECT sg.it + 1, te.dst, sum(sg.s) FROM sg JOIN te ON te.src = sg.v AND te.d = sg.it GROUP BY sg.it, te.dst)),
+        dl(it, v, x) AS (SELECT top.m, lv.v, CAST(0 AS DOUBLE) FROM lv, top WHERE lv.d = top.m UNION ALL SELECT * FROM (
+            SELECT dl.it - 1, te.src, sum(a.s / b.s * (1 + dl.x)) FROM dl JOIN te ON te.dst = dl.v AND te.d = dl.it - 1 JOIN sg a ON a.v = te.src JOIN sg b ON b.v = te.dst GROUP BY dl.it, te.src
+            UNION ALL SELECT dl.it - 1, lv.v, CAST(0 AS DOUBLE) FROM (SELECT DISTINCT it FROM dl) dl JOIN lv ON lv.d = dl.it - 1 WHERE NOT EXISTS (SELECT 1 FROM te WHERE te.src = lv.v)))
+        SELECT v, round(x / (SELECT max(x) FROM dl), 6) AS score FROM dl"""
+)
+def bc_single_source(spark, sf):
+    return traversal.betweenness(D.seq_graph(spark, sf), SOURCE).where("depth is not null").select("v", F.round("score", 6).alias("score"))
+
+
+# Ranking
+
+def _pr_sql(rounds: int, out: str) -> str:
+    return f"""WITH RECURSIVE {SEQ}, m AS (SELECT count(*) m FROM vs), od AS MATERIALIZED (SELECT src, count(*) k FROM seq GROUP BY src),
+        r AS (SELECT 0 it, v, CAST(1 AS DOUBLE) / m s FROM vs, m UNION ALL SELECT * FROM (
+            SELECT r.it + 1, seq.dst, 0.15 / (SELECT m FROM m) + 0.85 * sum(r.s / od.k) FROM r JOIN seq ON seq.src = r.v JOIN od ON od.src = r.v WHERE r.it < {rounds} GROUP BY r.it, seq.dst))
+        {out}"""
+
+
+@query(_pr_sql(10, "SELECT v, round(s * (SELECT m FROM m), 5) AS score FROM r WHERE it = 10"))
+def pagerank_fixed10(spark, sf):
+    g = D.seq_graph(spark, sf)
+    scores, _ = ranking.pagerank(g, tolerance=None, iterations=10, batch=5)
+    return scores.select("v", F.round(F.col("score") * g.vertices.count(), 5).alias("score"))
+
+
+@query(_pr_sql(60, "SELECT v, round(s * (SELECT m FROM m), 2) AS score FROM r WHERE it = 60"))
+def pagerank_converged(spark, sf):
+    g = D.seq_graph(spark, sf)
+    scores, _ = ranking.pagerank(g, tolerance=1e-9)
+    return scores.select("v", F.round(F.col("score") * g.vertices.count(), 2).alias("score"))
+
+
+@query("SELECT true AS within")
+def pagerank_delta(spark, sf):
+    """Whether the residual of the approximate scores is within the tolerance of its active vertices."""
+    g = D.seq_graph(spark, sf)
+    scores, _ = ranking.pagerank_delta(g)
+    return spark.createDataFrame([(ranking.pagerank_residual(g, scores) < 1e-2,)], "within boolean")
+
+
+# Connectivity
+
+_CC = f"WITH RECURSIVE {COP2}, r(v, l) AS (SELECT u, u FROM e UNION SELECT e.v, r.l FROM r JOIN e ON r.v = e.u WHERE r.l < e.v)"
+
+
+@query(f"{_CC} SELECT v, min(l) AS component FROM r GROUP BY v")
+def cc_labels(spark, sf):
+    return connectivity.connected_components(D.cop2_graph(spark, sf))
+
+
+@query(f"{_CC} SELECT v, min(l) AS component FROM r GROUP BY v")
+def cc_afforest(spark, sf):
+    return connectivity.afforest(D.cop2_graph(spark, sf))
+
+
+@query(f"{_CC}, c AS (SELECT v, min(l) AS component FROM r GROUP BY v) SELECT component, count(*) AS vertices FROM c GROUP BY component")
+def cc_sizes(spark, sf):
+    return connectivity.connected_components(D.cop2_graph(spark, sf)).groupBy("component").agg(F.count("*").alias("vertices"))
+
+
+_SCC = f"WITH RECURSIVE {SCC}, r(a, b) AS (SELECT v, v FROM n UNION SELECT r.a, escc.d FROM r JOIN escc ON escc.s = r.b), c AS (SELECT x.a v, min(x.b) component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)"
+
+
+@query(f"{_SCC} SELECT v, component FROM c")
+def scc_labels(spark, sf):
+    return connectivity.strongly_connected_components(D.scc_graph(spark, sf))
+
+
+@query(f"{_SCC} SELECT size, count(*) AS components FROM (SELECT component, count(*) AS size FROM c GROUP BY component) GROUP BY size")
+def scc_sizes(spark, sf):
+    return writers.component_report(connectivity.strongly_connected_components(D.scc_graph(spark, sf)))
+
+
+@query()
+def kcore(spark, sf):
+    return connectivity.core_numbers(D.cop2_graph(spark, sf))
+
+
+@query()
+def mst_weight(spark, sf):
+    g = D.cop2_graph(spark, sf)
+    return spanning.forest_summary(Graph(g.edges.withColumn("weight", F.lit(1) + (F.lit(31) * F.least("src", "dst") + F.lit(17) * F.greatest("src", "dst")) % 255), g.vertices, False))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS uncolored")
+def vc_validity(spark, sf):
+    g = D.cop2_graph(spark, sf)
+    colors = coloring.color(g)
+    return coloring.conflicts(g, colors).agg(F.count("*").alias("conflicts")).crossJoin(g.vertices.join(colors, "v", "left").where("color is null").agg(F.count("*").alias("uncolored")))
+
+
+# Linear algebra and factorization
+
+@query(f"WITH {SEQ} SELECT vs.v, round(0.06 * count(seq.src), 6) AS value FROM vs LEFT JOIN seq ON seq.dst = vs.v GROUP BY vs.v")
+def spmv(spark, sf):
+    g = D.seq_graph(spark, sf)
+    return linalg.spmv(g, g.vertices.select("v", F.lit(0.3).alias("value")), weight=0.2).select("v", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {SEQ} SELECT vs.v, CAST(coalesce(sum((1 + (31 * src + 17 * dst) % 255) * (1 + src % 7)), 0) AS DOUBLE) AS value FROM vs LEFT JOIN seq ON seq.dst = vs.v GROUP BY vs.v")
+def spmv_weighted(spark, sf):
+    g = D.weighted_seq_graph(spark, sf)
+    return linalg.spmv(g, g.vertices.select("v", (1.0 + F.col("v") % 7).alias("value")))
+
+
+@query("SELECT true AS lower")
+def symgs_sweep(spark, sf):
+    """Whether a sweep lowers the residual of a diagonally dominant system."""
+    g = D.cop2_graph(spark, sf)
+    matrix = g.edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(-1.0).alias("value"))
+    diagonal = G.out_degrees(g).select("v", (F.col("degree") + 1.0).alias("value"))
+    b = g.vertices.select("v", F.lit(1.0).alias("value"))
+    x = linalg.symmetric_gauss_seidel(matrix, diagonal, b, coloring.color(g))
+    zero = g.vertices.select("v", F.lit(0.0).alias("value"))
+    size = lambda x: linalg.residual(matrix, diagonal, b, x).agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("r"))
+    return size(x).withColumnRenamed("r", "after").crossJoin(size(zero)).select((F.col("after") < 0.5 * F.col("r")).alias("lower"))
+
+
+@query(f"WITH {RATINGS} SELECT round(sqrt(sum((r - 0.05) * (r - 0.05)) / count(*)), 6) AS rmse FROM r")
+def sgd_rmse_epoch0(spark, sf):
+    r = D.ratings(spark, sf)
+    users, items = (factor.initial_latents(r.select(F.col(c).alias("id")).distinct(), value=0.05) for c in ("u", "i"))
+    return factor.rmse(r, users, items).select(F.round("rmse", 6).alias("rmse"))
+
+
+@query(
+    f"""WITH {RATINGS}, gu AS (SELECT u, sum(0.0001 * (-0.001 * 0.05 + 0.05 * (r - 0.05))) g FROM r GROUP BY u), gi AS (SELECT i, sum(0.0001 * (-0.001 * 0.05 + 0.05 * (r - 0.05))) g FROM r GROUP BY i)
+    SELECT round(sqrt(sum((r - 20 * (0.05 + gu.g) * (0.05 + gi.g)) * (r - 20 * (0.05 + gu.g) * (0.05 + gi.g))) / count(*)), 6) AS rmse FROM r JOIN gu USING (u) JOIN gi USING (i)"""
+)
+def sgd_batch_epoch(spark, sf):
+    r = D.ratings(spark, sf)
+    users, items = (factor.initial_latents(r.select(F.col(c).alias("id")).distinct(), value=0.05) for c in ("u", "i"))
+    users, items, _ = factor.sgd_batch(r, users, items, eta=1e-4, iterations=1)
+    return factor.rmse(r, users, items).select(F.round("rmse", 6).alias("rmse"))
+
+
+# Triangles, cliques, motifs
+
+@query(f"WITH {COP2} SELECT count(*) AS total FROM half a JOIN half b ON a.v = b.u JOIN half x ON x.u = a.u AND x.v = b.v")
+def triangle_count(spark, sf):
+    return motifs.triangle_count(D.cop2_graph(spark, sf).edges)
+
+
+@query(f"WITH {MID}, t AS (SELECT a.u x, a.v y, b.v z FROM half a JOIN half b ON a.v = b.u JOIN half c ON c.u = a.u AND c.v = b.v) SELECT v, count(*) AS triangles FROM (SELECT x v FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY v")
+def triangles_per_vertex(spark, sf):
+    return motifs.triangles_per_vertex(D.mid_graph(spark, sf).edges)
+
+
+def _clique_sql(k: int, out: str) -> str:
+    joins = "".join(f" JOIN half e{i} ON e{i}.u = e{i - 1}.v" + "".join(f" JOIN half c{j}_{i} ON c{j}_{i}.u = e{j + 1}.u AND c{j}_{i}.v = e{i}.v" for j in range(i - 1)) for i in range(2, k))
+    return f"WITH {MID} SELECT {out} FROM half e1{joins}"
+
+
+for _k in (3, 4, 5):
+    def _cliques(spark, sf, k=_k):
+        return motifs.clique_count(D.mid_graph(spark, sf).edges, k)
+
+    _cliques.__name__ = f"clique{_k}_count"
+    query(_clique_sql(_k, "count(*) AS total"))(_cliques)
+
+
+@query(_clique_sql(4, "e1.u AS v0, e1.v AS v1, e2.v AS v2, e3.v AS v3"))
+def clique4_list(spark, sf):
+    c = motifs.cliques(D.mid_graph(spark, sf).edges, 4).select(F.array_sort(F.array("v0", "v1", "v2", "v3")).alias("c"))
+    return c.select(*[F.col("c")[i].alias(f"v{i}") for i in range(4)])
+
+
+_M3 = "SELECT 'triangle' AS motif, t AS total FROM tt UNION ALL SELECT 'wedge', w - 3 * t FROM tt, ww"
+_T = "tt AS (SELECT count(*) t FROM half a JOIN half b ON a.v = b.u JOIN half x ON x.u = a.u AND x.v = b.v), ww AS (SELECT CAST(sum(k * (k - 1) // 2) AS BIGINT) w FROM (SELECT u, count(*) k FROM e GROUP BY u))"
+
+
+@query(f"WITH {MID}, {_T} {_M3}")
+def motif3(spark, sf):
+    return motifs.motifs(D.mid_graph(spark, sf).edges, 3)
+
+
+@query(f"WITH {MID}, {_T} {_M3}")
+def motif3_formula(spark, sf):
+    return motifs.motifs_by_formula(D.mid_graph(spark, sf).edges, 3)
+
+
+def _motif_sql(graph: str) -> str:
+    """Induced counts of 4-vertex motifs from non-induced ones, by the inclusion of patterns in each other."""
+    return f"""WITH {graph}, d AS (SELECT u, count(*) k FROM e GROUP BY u),
+        tri AS (SELECT a.u, a.v, count(c.u) t FROM half a LEFT JOIN e b ON b.u = a.v LEFT JOIN e c ON c.u = a.u AND c.v = b.v GROUP BY 1, 2),
+        n AS (SELECT (SELECT CAST(coalesce(sum(t), 0) AS BIGINT) // 3 FROM tri) t3,
+            (SELECT CAST(coalesce(sum(t * (t - 1) // 2), 0) AS BIGINT) FROM tri) dia,
+            (SELECT count(*) FROM half a JOIN half b ON b.u = a.v JOIN half ab ON ab.u = a.u AND ab.v = b.v JOIN half c ON c.u = b.v JOIN half ac ON ac.u = a.u AND ac.v = c.v JOIN half bc ON bc.u = a.v AND bc.v = c.v) k4,
+            (SELECT CAST(coalesce(sum(q * (q - 1) // 2) // 2, 0) AS BIGINT) FROM (SELECT count(*) q FROM e a JOIN e b ON a.u = b.u AND a.v < b.v GROUP BY a.v, b.v)) c4,
+            (SELECT CAST(sum(k * (k - 1) * (k - 2) // 6) AS BIGINT) FROM d) star,
+            (SELECT CAST(sum((x.k - 1) * (y.k - 1)) AS BIGINT) FROM half JOIN d x ON x.u = half.u JOIN d y ON y.u = half.v) p4raw,
+            (SELECT CAST(coalesce(sum(t * (d.k - 2)), 0) AS BIGINT) // 2 FROM (SELECT u, sum(t) t FROM (SELECT u, t FROM tri UNION ALL SELECT v, t FROM tri) GROUP BY u) z JOIN d USING (u)) tail),
+        i AS (SELECT k4, dia - 6 * k4 di, c4 - (dia - 6 * k4) - 3 * k4 ci, tail - 4 * (dia - 6 * k4) - 12 * k4 ta, star, p4raw - 3 * t3 p4 FROM n)
+        SELECT 'clique4' AS motif, k4 AS total FROM i UNION ALL SELECT 'diamond', di FROM i UNION ALL SELECT 'rectangle', ci FROM i UNION ALL SELECT 'tailed_triangle', ta FROM i
+        UNION ALL SELECT 'star3', star - ta - 2 * di - 4 * k4 FROM i UNION ALL SELECT 'path4', p4 - 2 * ta - 4 * ci - 6 * di - 12 * k4 FROM i"""
+
+
+@query(_motif_sql(COP2))
+def motif4(spark, sf):
+    return motifs.motifs(D.cop2_graph(spark, sf).edges, 4)
+
+
+@query(_motif_sql(MID))
+def motif4_formula(spark, sf):
+    return motifs.motifs_by_formula(D.mid_graph(spark, sf).edges, 4)
+
+
+@query()
+def motif5(spark, sf):
+    return motifs.motifs(D.cop2_graph(spark, sf).edges, 5)
+
+
+# Subgraph listing, on the sparse graph: induced or not
+
+_DISTINCT5 = "a.u <> c.v AND a.v <> b.v"
+_SGL = {
+    "diamond": ("SELECT CAST(coalesce(sum(t * (t - 1) // 2), 0) AS BIGINT) AS total FROM (SELECT a.u, a.v, count(*) t FROM half a JOIN e b ON b.u = a.u JOIN e c ON c.u = a.v AND c.v = b.v GROUP BY 1, 2)",
+                "SELECT count(*) AS total FROM half x JOIN e a ON a.u = x.u JOIN e b ON b.u = x.v AND b.v = a.v JOIN e c ON c.u = x.u AND c.v > a.v JOIN e f ON f.u = x.v AND f.v = c.v WHERE NOT EXISTS (SELECT 1 FROM e g WHERE g.u = a.v AND g.v = c.v)"),
+    "rectangle": ("SELECT CAST(coalesce(sum(q * (q - 1) // 2) // 2, 0) AS BIGINT) AS total FROM (SELECT count(*) q FROM e a JOIN e b ON a.u = b.u AND a.v < b.v GROUP BY a.v, b.v)",
+                  "SELECT count(*) // 2 AS total FROM e a JOIN e b ON b.u = a.v AND b.v > a.u JOIN e c ON c.u = a.u AND c.v > a.v JOIN e d ON d.u = b.v AND d.v = c.v WHERE NOT EXISTS (SELECT 1 FROM e g WHERE g.u = a.u AND g.v = b.v) AND NOT EXISTS (SELECT 1 FROM e g WHERE g.u = a.v AND g.v = c.v)"),
+    "pentagon": ("SELECT count(*) // 10 AS total FROM e a JOIN e b ON b.u = a.v AND b.v <> a.u JOIN e c ON c.u = b.v AND c.v <> a.u AND c.v <> a.v JOIN e d ON d.u = c.v AND d.v <> a.u AND d.v <> a.v AND d.v <> b.v JOIN e f ON f.u = d.v AND f.v = a.u",
+                 "SELECT count(*) // 10 AS total FROM e a JOIN e b ON b.u = a.v AND b.v <> a.u JOIN e c ON c.u = b.v AND c.v <> a.u AND c.v <> a.v JOIN e d ON d.u = c.v AND d.v <> a.u AND d.v <> a.v AND d.v <> b.v JOIN e f ON f.u = d.v AND f.v = a.u WHERE NOT EXISTS (SELECT 1 FROM e g WHERE g.u = a.u AND g.v = b.v) AND NOT EXISTS (SELECT 1 FROM e g WHERE g.u = a.u AND g.v = c.v) AND NOT EXISTS (SELECT 1 FROM e g WHERE g.u = a.v AND g.v = c.v) AND NOT EXISTS (SELECT 1 FROM e g WHERE g.u = a.v AND g.v = d.v) AND NOT EXISTS (SELECT 1 FROM e g WHERE g.u = b.v AND g.v = d.v)"),
+    # square p q r s with roof t on p q
+    "house": ("SELECT count(*) // 2 AS total FROM e pq JOIN e qr ON qr.u = pq.v AND qr.v <> pq.u JOIN e rs ON rs.u = qr.v AND rs.v <> pq.v AND rs.v <> pq.u JOIN e sp ON sp.u = rs.v AND sp.v = pq.u JOIN e pt ON pt.u = pq.u AND pt.v <> qr.v AND pt.v <> rs.v JOIN e qt ON qt.u = pq.v AND qt.v = pt.v",
+              "SELECT count(*) // 2 AS total FROM e pq JOIN e qr ON qr.u = pq.v AND qr.v <> pq.u JOIN e rs ON rs.u = qr.v AND rs.v <> pq.v AND rs.v <> pq.u JOIN e sp ON sp.u = rs.v AND sp.v = pq.u JOIN e pt ON pt.u = pq.u AND pt.v <> qr.v AND pt.v <> rs.v JOIN e qt ON qt.u = pq.v AND qt.v = pt.v WHERE NOT EXISTS (SELECT 1 FROM e g WHERE g.u = pq.u AND g.v = qr.v) AND NOT EXISTS (SELECT 1 FROM e g WHERE g.u = pq.v AND g.v = rs.v) AND NOT EXISTS (SELECT 1 FROM e g WHERE g.u = pt.v AND g.v = qr.v) AND NOT EXISTS (SELECT 1 FROM e g WHERE g.u = pt.v AND g.v = rs.v)"),
+}
+
+for _name, _sql in _SGL.items():
+    for _induced in (False, True):
+        def _listing(spark, sf, name=_name, induced=_induced):
+            edges = D.cop2_graph(spark, sf).edges
+            if not induced and name in ("diamond", "rectangle"):
+                return {"diamond": patterns.diamond_count, "rectangle": patterns.rectangle_count}[name](edges)
+            return patterns.count_pattern(edges, name, induced)
+
+        _listing.__name__ = f"sgl_{_name}" + "_induced" * _induced
+        query(f"WITH {COP2} {_sql[_induced]}")(_listing)
+
+
+# Frequent subgraphs
+
+@query(f"WITH {MID}, {LABELS} SELECT x.label AS la, y.label AS lb, least(count(DISTINCT e.u), count(DISTINCT e.v)) AS support FROM e JOIN lab x ON x.v = e.u JOIN lab y ON y.v = e.v WHERE x.label <= y.label GROUP BY 1, 2")
+def fsm_edge_patterns(spark, sf):
+    return fsm.edge_pattern_support(D.mid_graph(spark, sf).edges, D.part_labels(spark, sf))
+
+
+@query(f"WITH {MID}, {LABELS} SELECT z.label AS lc, x.label AS la, y.label AS lb, least(count(DISTINCT a.u), count(DISTINCT a.v), count(DISTINCT b.v)) AS support FROM e a JOIN e b ON a.u = b.u AND a.v <> b.v JOIN lab z ON z.v = a.u JOIN lab x ON x.v = a.v JOIN lab y ON y.v = b.v WHERE x.label <= y.label GROUP BY 1, 2, 3")
+def fsm_wedge_patterns(spark, sf):
+    return fsm.wedge_pattern_support(D.mid_graph(spark, sf).edges, D.part_labels(spark, sf))
+
+
+@query()
+def fsm_k(spark, sf):
+    """Patterns of up to two edges; their number must agree with the two queries above."""
+    return fsm.frequent_subgraphs(D.cop2_graph(spark, sf).edges, D.part_labels(spark, sf), 2, 20)
+
+
+# The graph model, sources and set algebra
+
+@query(f"WITH {SEQ} SELECT vs.v, (SELECT count(*) FROM seq WHERE src = vs.v) AS outdegree, (SELECT count(*) FROM seq WHERE dst = vs.v) AS indegree FROM vs")
+def degrees(spark, sf):
+    g = D.seq_graph(spark, sf)
+    return G.out_degrees(g).withColumnRenamed("degree", "outdegree").join(G.in_degrees(g).withColumnRenamed("degree", "indegree"), "v")
+
+
+@query(f"WITH {COP2}, d AS (SELECT u, count(*) k FROM e GROUP BY u) SELECT e.u AS src, e.v AS dst FROM e JOIN d a ON a.u = e.u JOIN d b ON b.u = e.v WHERE b.k > a.k OR (b.k = a.k AND e.v > e.u)")
+def orientation(spark, sf):
+    return G.orient(D.cop2_graph(spark, sf).edges)
+
+
+@query(f"WITH {COP2}, d AS (SELECT u, count(*) k FROM e GROUP BY u), r AS (SELECT u, row_number() OVER (ORDER BY k DESC, u DESC) - 1 AS i FROM d) SELECT a.i AS src, b.i AS dst FROM e JOIN r a ON a.u = e.u JOIN r b ON b.u = e.v")
+def relabel_by_degree(spark, sf):
+    return G.relabel_by_degree(D.cop2_graph(spark, sf))[0].edges
+
+
+@query(f"WITH {COP2}, {LABELS} SELECT e.u AS v, lab.label, count(*) AS n FROM e JOIN lab ON lab.v = e.v GROUP BY 1, 2")
+def neighbor_labels(spark, sf):
+    g = D.cop2_graph(spark, sf)
+    own = Graph(g.edges, D.part_labels(spark, sf), False)
+    return G.neighbor_label_frequency(own).select("v", F.explode("frequencies").alias("label", "n")).select("v", "label", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT CAST(p_size % 4 AS INTEGER) AS label, count(*) AS frequency FROM part GROUP BY 1")
+def label_frequency(spark, sf):
+    return G.label_frequency(Graph(D.seq_edges(spark, sf), D.part_labels(spark, sf)))
+
+
+@query(f"WITH {COP2} SELECT half.u AS a, half.v AS b, (SELECT count(*) FROM e x JOIN e y ON x.v = y.v WHERE x.u = half.u AND y.u = half.v) AS both, (SELECT count(*) FROM e x WHERE x.u = half.u AND x.v <> half.v AND NOT EXISTS (SELECT 1 FROM e y WHERE y.u = half.v AND y.v = x.v)) AS only FROM half")
+def set_algebra(spark, sf):
+    """Common and unshared neighbours of the ends of each edge, by arrays."""
+    edges = D.cop2_graph(spark, sf).edges
+    near = G.adjacency(edges)
+    pairs = G.half_edges(edges).join(near.select("src", F.col("neighbors").alias("na")), "src").join(near.select(F.col("src").alias("dst"), F.col("neighbors").alias("nb")), "dst")
+    return pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), sets.intersection_count("na", "nb").cast("long").alias("both"), sets.difference_count("na", "nb", F.col("dst")).cast("long").alias("only"))
+
+
+@query(f"WITH {COP2} SELECT half.u AS a, half.v AS b, x.v FROM half JOIN e x ON x.u = half.u JOIN e y ON y.u = half.v AND y.v = x.v")
+def common_neighbors(spark, sf):
+    edges = D.cop2_graph(spark, sf).edges
+    return sets.neighbors_in_common(G.half_edges(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")), edges)
+
+
+@query("SELECT o_orderkey, CAST(coalesce(sum(o_custkey) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM orders")
+def prefix_sum(spark, sf):
+    return writers.exclusive_prefix_sum(D.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey").select("o_orderkey", "before")
+
+
+@query()
+def generated_rmat(spark, sf):
+    """Out-degree histogram of a generated graph (the same on every run)."""
+    return G.out_degrees(generators.generate(spark, 10, 8)).groupBy("degree").agg(F.count("*").alias("vertices"))
