@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphspark.graph import Graph, dedup, symmetrize, transpose
+from graphspark.graph import Graph, dedup, symmetrize
 from graphspark.session import loop_materialize, materialize
 
 
@@ -64,15 +64,15 @@ def afforest(g: Graph, rounds: int = 2) -> DataFrame:
 
 
 def _reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, color) reachable from seeds along edges that stay inside a color."""
+    """(v, color, way) reachable from seeds(v, color, way) along edges(src, dst, color, way) of the same color and way."""
     paths: list[str] = []
     frontier, levels = materialize(seeds, "reach"), []
     while not frontier.isEmpty():
         levels.append(frontier)
         if len(levels) > 12:
             levels = [loop_materialize(_union(levels), "reached", paths)]
-        step = frontier.join(edges, (frontier["v"] == edges["src"]) & (frontier["color"] == edges["color"])).select(F.col("dst").alias("v"), frontier["color"]).distinct()
-        frontier = materialize(step.join(_union(levels), ["v", "color"], "left_anti"), "reach")
+        step = frontier.withColumnRenamed("v", "src").join(edges, ["src", "color", "way"]).select(F.col("dst").alias("v"), "color", "way").distinct()
+        frontier = materialize(step.join(_union(levels), ["v", "color", "way"], "left_anti"), "reach")
     return _union(levels) if levels else seeds
 
 
@@ -83,34 +83,35 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def strongly_connected_components(g: Graph) -> DataFrame:
-    """(v, component): least vertex id of the strong component; forward-backward search from a pivot per color after trimming."""
+def strongly_connected_components(g: Graph, trims: int = 2) -> DataFrame:
+    """(v, component): least vertex id of the strong component, by forward-backward search.
+
+    A round trims vertices without in- or out-edges in their color (``trims`` times), then takes the least live vertex of
+    each color as its pivot and goes forwards and backwards from all pivots at once: what both reach is a component, and
+    what is left of a color splits in three.
+    """
     paths: list[str] = []
     state = loop_materialize(g.vertices.select("v", F.lit(0).cast("long").alias("color"), F.lit(None).cast("long").alias("component")), "scc", paths)
     edges = materialize(g.edges.select("src", "dst"), "scc-edges")
     while True:
-        # trimming: a vertex without live in- or out-edges of its color is a component of its own
-        while True:
+        for _ in range(trims):
             live = state.where("component is null").select("v", "color")
-            s, d = live.select(F.col("v").alias("src"), F.col("color")), live.select(F.col("v").alias("dst"), F.col("color").alias("cd"))
-            inner = materialize(edges.join(s, "src").join(d, "dst").where("color = cd").select("src", "dst", "color"), "scc-live")
-            both = inner.select(F.col("src").alias("v")).distinct().join(inner.select(F.col("dst").alias("v")).distinct(), "v", "left_semi").withColumn("stays", F.lit(True))
+            s, d = live.select(F.col("v").alias("src"), "color"), live.select(F.col("v").alias("dst"), F.col("color").alias("cd"))
+            edges = materialize(edges.select("src", "dst").join(s, "src").join(d, "dst").where("color = cd").select("src", "dst", "color"), "scc-live")
+            both = edges.select(F.col("src").alias("v")).distinct().join(edges.select(F.col("dst").alias("v")).distinct(), "v", "left_semi").withColumn("stays", F.lit(True))
             state = loop_materialize(state.join(both, "v", "left").select("v", "color", F.when(F.col("component").isNull() & F.col("stays").isNull(), F.col("v")).otherwise(F.col("component")).alias("component")), "scc", paths)
-            left = state.where("component is null").count()
-            if left == live.count() or not left:
-                break
-        if not left:
-            return state.select("v", "component")
         live = state.where("component is null")
-        seeds = live.groupBy("color").agg(F.min("v").alias("v")).select("v", "color")
-        forward = _reach(seeds, inner).withColumn("f", F.lit(True))
-        backward = _reach(seeds, transpose(inner)).withColumn("b", F.lit(True))
-        pivots = seeds.select("color", F.col("v").alias("pivot"))
-        marked = state.join(forward, ["v", "color"], "left").join(backward, ["v", "color"], "left").join(pivots, "color", "left")
-        found = F.col("component").isNull() & F.col("f") & F.col("b")
-        # what is reached in neither or one direction goes on under colors of its own
-        part = F.when(F.col("f"), 1).when(F.col("b"), 2).otherwise(3)
-        state = loop_materialize(marked.select("v", F.when(F.col("component").isNull(), F.xxhash64("color", "pivot", part)).otherwise(F.col("color")).alias("color"), F.when(found, F.col("pivot")).otherwise(F.col("component")).alias("component")), "scc", paths)
+        if live.isEmpty():
+            return state.select("v", "component")
+        ways = F.explode(F.array(F.lit(1), F.lit(2))).alias("way")
+        pivots = materialize(live.groupBy("color").agg(F.min("v").alias("pivot")), "scc-pivots")
+        inner = edges.select("src", "dst", "color", F.lit(1).alias("way")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "color", F.lit(2).alias("way")))
+        reached = _reach(pivots.select(F.col("pivot").alias("v"), "color", ways), inner).groupBy("v", "color").agg(F.sum("way").alias("ways"))
+        marked = state.join(reached, ["v", "color"], "left").join(pivots, "color", "left")
+        alive = F.col("component").isNull()
+        state = loop_materialize(
+            marked.select("v", F.when(alive, F.xxhash64("color", "pivot", F.coalesce("ways", F.lit(0)))).otherwise(F.col("color")).alias("color"), F.when(alive & (F.col("ways") == 3), F.col("pivot")).otherwise(F.col("component")).alias("component")), "scc", paths
+        )
 
 
 def k_core(g: Graph, k: int) -> DataFrame:

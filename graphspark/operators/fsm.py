@@ -14,6 +14,7 @@ from itertools import permutations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphspark.session import materialize
 
@@ -32,7 +33,7 @@ def canonical_code(labels: list[int], edges: list[tuple[int, int, int]]) -> tupl
     return code, [min(p[v] for p in forms) for v in range(n)]
 
 
-@F.pandas_udf("code string, positions array<int>")
+@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 def _canonical(quick: pd.Series) -> pd.DataFrame:
     rows = []
     for q in quick:

@@ -198,7 +198,7 @@ def symgs_sweep(spark, sf):
     """Whether a sweep lowers the residual of a diagonally dominant system."""
     g = D.cop2_graph(spark, sf)
     matrix = g.edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(-1.0).alias("value"))
-    diagonal = G.out_degrees(g).select("v", (F.col("degree") + 1.0).alias("value"))
+    diagonal = G.out_degrees(g).select("v", (2.0 * F.col("degree") + 1.0).alias("value"))
     b = g.vertices.select("v", F.lit(1.0).alias("value"))
     x = linalg.symmetric_gauss_seidel(matrix, diagonal, b, coloring.color(g))
     zero = g.vertices.select("v", F.lit(0.0).alias("value"))
