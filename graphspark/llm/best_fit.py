@@ -18,9 +18,11 @@ table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,8 +36,8 @@ from graphspark.session import ensure_importable, materialize
 BLOCK = 65_536
 #: Whole bins that one task of the second round packs.
 GROUP = 200_000
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker remembers in each of two generations, and the longest such word.
+CACHED_WORDS, CACHED_LENGTH = 400_000, 64
 
 
 class BestFit:
@@ -99,19 +101,58 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{-~]*)").fullmatch
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the generation before; what is used again moves up
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*words) if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        return [b"".join([known[w] for w in ws]) for ws in words]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        rows, missing = [], set()
+        for t in texts:
+            words = t.split()
+            ids = list(map(known.get, words))
+            if None in ids:
+                missing.update([w for w, i in zip(words, ids, strict=True) if i is None])
+            rows.append((words, ids))
+        own = {w: older[w] for w in missing if w in older}
+        new = [w for w in missing if w not in own]
+        self._encode([w.decode() for w in new], new, own)
+        known.update(own if all(len(w) <= CACHED_LENGTH for w in missing) else {w: i for w, i in own.items() if len(w) <= CACHED_LENGTH})
+        return [b"".join(own[w] if i is None else i for w, i in zip(words, ids, strict=True)) if None in ids else b"".join(ids) for words, ids in rows]
+
+
+    def _encode(self, words: list[str], keys: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Words of Latin letters and then signs are one or two matches of the tokenizer's pattern, each of which ends with an
+        end-of-word token; many are encoded as one text and cut there. The others, and texts that don't cut as they should,
+        are encoded word by word."""
+        alone, joined = [], []
+        for i, w in enumerate(words):
+            m = self.plain(w)
+            if m is None:
+                alone.append(i)
+            else:
+                joined.append((i, 2 if m[1] else 1))
+        for at in range(0, len(joined), 256):
+            part = joined[at : at + 256]
+            ids = np.array(self.encode_batch([" ".join([words[i] for i, _ in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            cuts = np.cumsum([n for _, n in part])
+            if len(ends) != cuts[-1]:
+                alone += [i for i, _ in part]
+                continue
+            data, stops, start = ids.tobytes(), (ends[cuts - 1] * 4).tolist(), 0
+            for (i, _), stop in zip(part, stops, strict=True):
+                into[keys[i]] = data[start:stop]
+                start = stop
+        for at in range(0, len(alone), 1024):
+            part = alone[at : at + 1024]
+            for i, e in zip(part, self.encode_batch([words[i] for i in part], add_special_tokens=False), strict=True):
+                into[keys[i]] = np.array(e.ids, dtype="<u4").tobytes()
 
 
 def _word_ids(path: str) -> WordIds:
