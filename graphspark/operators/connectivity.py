@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,18 +84,98 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def strongly_connected_components(g: Graph, trims: int = 2) -> DataFrame:
+#: Edges that one task may take: what is left of a graph is finished there once it is no larger.
+LOCAL_EDGES = 500_000
+
+
+def _in_one_task(edges: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` over all edges in a single task; callers check their number first."""
+    return edges.select("src", "dst", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda pdf: solve(pdf["src"].tolist(), pdf["dst"].tolist()), schema)
+
+
+def _tarjan(src: list[int], dst: list[int]) -> pd.DataFrame:
+    """(v, component) of a graph in memory: Tarjan's algorithm without recursion."""
+    after: dict[int, list[int]] = {}
+    for a, b in zip(src, dst, strict=True):
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack: list[int] = []
+    inside: set[int] = set()
+    out: list[tuple[int, int]] = []
+    for root in after:
+        if root in index:
+            continue
+        work = [(root, iter(after[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        inside.add(root)
+        while work:
+            v, rest = work[-1]
+            for u in rest:
+                if u not in index:
+                    index[u] = low[u] = len(index)
+                    stack.append(u)
+                    inside.add(u)
+                    work.append((u, iter(after[u])))
+                    break
+                if u in inside:
+                    low[v] = min(low[v], index[u])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    members = []
+                    while not members or members[-1] != v:
+                        members.append(stack.pop())
+                    inside.difference_update(members)
+                    least = min(members)
+                    out += [(u, least) for u in members]
+    return pd.DataFrame(out, columns=["v", "component"])
+
+
+def _peel(src: list[int], dst: list[int]) -> pd.DataFrame:
+    """(v, core) of an undirected graph in memory, by buckets of degrees."""
+    near: dict[int, set[int]] = {}
+    for a, b in zip(src, dst, strict=True):
+        near.setdefault(a, set()).add(b)
+    degree = {v: len(x) for v, x in near.items()}
+    buckets: list[set[int]] = [set() for _ in range(max(degree.values(), default=0) + 1)]
+    for v, d in degree.items():
+        buckets[d].add(v)
+    core, k, done = {}, 0, 0
+    while done < len(near):
+        k = max(0, k - 1)
+        while not buckets[k]:
+            k += 1
+        v = buckets[k].pop()
+        core[v] = max(k, core.get("top", 0))
+        core["top"] = core[v]
+        done += 1
+        for u in near[v]:
+            near[u].discard(v)
+            if u not in core:
+                d = len(near[u])
+                buckets[d + 1].discard(u)
+                buckets[d].add(u)
+    core.pop("top", None)
+    return pd.DataFrame(list(core.items()), columns=["v", "core"])
+
+
+def strongly_connected_components(g: Graph, trims: int = 2, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(v, component): least vertex id of the strong component, by forward-backward search.
 
     A round trims vertices without in- or out-edges in their color (``trims`` times), then takes the least live vertex of
     each color as its pivot and goes forwards and backwards from all pivots at once: what both reach is a component, and
-    what is left of a color splits in three.
+    what is left of a color splits in three. Once no more than ``local_edges`` edges are live, one task finishes them.
     """
     paths: list[str] = []
     state = loop_materialize(g.vertices.select("v", F.lit(0).cast("long").alias("color"), F.lit(None).cast("long").alias("component")), "scc", paths)
     edges = materialize(g.edges.select("src", "dst"), "scc-edges")
     while True:
-        for _ in range(trims):
+        for _ in range(trims if edges.count() > local_edges else 0):
             live = state.where("component is null").select("v", "color")
             s, d = live.select(F.col("v").alias("src"), "color"), live.select(F.col("v").alias("dst"), F.col("color").alias("cd"))
             edges = materialize(edges.select("src", "dst").join(s, "src").join(d, "dst").where("color = cd").select("src", "dst", "color"), "scc-live")
@@ -103,6 +184,9 @@ def strongly_connected_components(g: Graph, trims: int = 2) -> DataFrame:
         live = state.where("component is null")
         if live.isEmpty():
             return state.select("v", "component")
+        if edges.count() <= local_edges:
+            rest = _in_one_task(edges, _tarjan, "v long, component long").withColumnRenamed("component", "found")
+            return state.join(rest, "v", "left").select("v", F.coalesce("component", "found", "v").alias("component"))
         ways = F.explode(F.array(F.lit(1), F.lit(2))).alias("way")
         pivots = materialize(live.groupBy("color").agg(F.min("v").alias("pivot")), "scc-pivots")
         inner = edges.select("src", "dst", "color", F.lit(1).alias("way")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "color", F.lit(2).alias("way")))
@@ -128,12 +212,15 @@ def k_core(g: Graph, k: int) -> DataFrame:
         n = left
 
 
-def core_numbers(g: Graph) -> DataFrame:
-    """(v, core): the largest k whose k-core holds the vertex, peeled level by level."""
+def core_numbers(g: Graph, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(v, core): the largest k whose k-core holds the vertex, peeled level by level; a graph of no more than ``local_edges``
+    directed edges is peeled in one task."""
     paths: list[str] = []
     done: list[DataFrame] = [g.vertices.select("v").join(g.edges.select(F.col("src").alias("v")).distinct(), "v", "left_anti").select("v", F.lit(0).alias("core"))]
     edges, k = loop_materialize(g.edges.select("src", "dst"), "peel", paths), 1
     n = edges.count()
+    if n <= local_edges:
+        return done[0].unionByName(_in_one_task(edges, _peel, "v long, core int"))
     while n:
         low = materialize(edges.groupBy(F.col("src").alias("v")).count().where(F.col("count") <= k).select("v", F.lit(k).alias("core")), "peeled")
         kept = edges.join(low, edges["src"] == low["v"], "left_anti")

@@ -108,10 +108,10 @@ def read_metis(spark: SparkSession, path: str, directed: bool = False) -> Graph:
     # comment lines don't count, so a vertex is its line's rank among the others
     body = rows.where(F.col("n") > first["n"]).withColumn("src", F.row_number().over(_by_line()) - 1).where("line <> ''")
     if fmt.endswith("1"):
-        at = F.sequence(F.lit(0), F.size("words") / 2 - 1).cast("array<int>")
+        at = F.sequence(F.lit(0), (F.size("words") / 2).cast("int") - 1)
         pairs = body.select("src", "words", F.explode(at).alias("k")).select("src", (F.col("words")[F.col("k") * 2].cast("long") - 1).alias("dst"), F.col("words")[F.col("k") * 2 + 1].cast("long").alias("weight"))
     else:
-        pairs = body.select("src", (F.explode("words").cast("long") - 1).alias("dst"))
+        pairs = body.select("src", F.explode("words").alias("w")).select("src", (F.col("w").cast("long") - 1).alias("dst"))
     return Graph.of(pairs, spark.range(int(first["words"][0])).select(F.col("id").alias("v")), directed)
 
 
@@ -146,7 +146,7 @@ def read_adj(spark: SparkSession, path: str, directed: bool = False) -> Graph:
     """Labelled adjacency: src label n1 n2 .."""
     rows = _lines(spark, path)
     vertices = rows.select(F.col("words")[0].cast("long").alias("v"), F.col("words")[1].cast("int").alias("label"))
-    edges = rows.select(F.col("words")[0].cast("long").alias("src"), F.explode(F.slice("words", 3, 1 << 30)).cast("long").alias("dst"))
+    edges = rows.select(F.col("words")[0].cast("long").alias("src"), F.explode(F.slice("words", 3, 1 << 30)).alias("w")).select("src", F.col("w").cast("long").alias("dst"))
     return Graph.of(edges, vertices, directed)
 
 

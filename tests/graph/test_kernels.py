@@ -115,7 +115,8 @@ def test_strong_components(directed):
     adj = near(DIRECTED)
     reach = {v: set(distances(adj, v)) for v in range(16)}
     want = {v: min(u for u in reach[v] if v in reach[u]) for v in range(16)}
-    assert {r.v: r.component for r in connectivity.strongly_connected_components(directed).collect()} == want
+    for local in (0, 10**6):  # by rounds, and in one task
+        assert {r.v: r.component for r in connectivity.strongly_connected_components(directed, local_edges=local).collect()} == want
 
 
 def test_cores(undirected):
@@ -134,7 +135,8 @@ def test_cores(undirected):
                     adj[u].discard(v)
                     if not adj[u] and u not in low:
                         want[u] = k
-    assert {r.v: r.core for r in connectivity.core_numbers(undirected).collect()} == want
+    for local in (0, 10**6):
+        assert {r.v: r.core for r in connectivity.core_numbers(undirected, local).collect()} == want
     assert {r.v for r in connectivity.k_core(undirected, 3).collect()} == {v for v, c in want.items() if c >= 3}
 
 
