@@ -32,6 +32,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     return [rows[i][1] for i in order], np.array([rows[i][2] for i in order], dtype=np.float64), counts
 
 
+def blocks(texts: list[bytes], size: int = 1 << 19) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes, so that what is computed of all words is held for one range at a time."""
+    out, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > size:
+            out.append((start, i))
+            start, held = i, 0
+        held += len(t) + 1
+    return out + [(start, len(texts))] if texts else out
+
+
 class Adam:
     """Adam over a dict of arrays."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from graphspark.llm._batches import SPACES, WordRuns, column, crc_remainder_sql, slices, utf8
-from graphspark.llm._training import Adam, cross_entropy, labelled_sample, sigmoid, temperature
+from graphspark.llm._training import Adam, blocks, cross_entropy, labelled_sample, sigmoid, temperature
 from graphspark.session import ensure_importable
 
 ROWS, DIM, NONZERO = 1 << 14, 48, 8
@@ -68,15 +68,20 @@ def streams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return runs.doc, (words % np.uint64(ROWS)).astype(np.int64), (shapes % np.uint64(ROWS)).astype(np.int64)
 
 
-def context_vectors(doc: np.ndarray, row: np.ndarray, index: np.ndarray, window: int = 2) -> np.ndarray:
-    """Index vectors plus what stands within ``window`` words, summed over all occurrences; rows of length 1."""
-    context = np.zeros_like(index)
+def add_context(context: np.ndarray, doc: np.ndarray, row: np.ndarray, index: np.ndarray, window: int = 2) -> None:
+    """Adds to each row the index vectors of what stands within ``window`` words of its occurrences."""
     for gap in range(1, window + 1):
         near = doc[gap:] == doc[:-gap]
         a, b = row[gap:][near], row[:-gap][near]
         for to, of in ((a, b), (b, a)):
             pairs, times = np.unique(to * ROWS + of, return_counts=True)
-            np.add.at(context, pairs // ROWS, index[pairs % ROWS] * times[:, None].astype(np.float32))
+            for at in range(0, len(pairs), 1 << 15):
+                part = slice(at, at + (1 << 15))
+                np.add.at(context, pairs[part] // ROWS, index[pairs[part] % ROWS] * times[part, None].astype(np.float32))
+
+
+def word_vectors(context: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Index vectors plus contexts, both of length 1 before and the sum of length 1 after."""
     size = np.linalg.norm(context, axis=1, keepdims=True)
     out = index + np.where(size > 0, context / np.maximum(size, 1e-9), 0)
     return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
@@ -99,9 +104,13 @@ class Quality:
 
     def __init__(self, texts: list[bytes], y: np.ndarray, counts: dict):
         index = index_vectors(11), index_vectors(12)
-        doc, *rows = streams(texts)
-        self.vectors = tuple(context_vectors(doc, r, i) for r, i in zip(rows, index, strict=True)) if len(doc) else index
-        x = np.concatenate([pool(texts[i : i + 256], self.vectors) for i in range(0, len(texts), 256)]) if texts else np.zeros((0, 2 * DIM), np.float32)
+        context = tuple(np.zeros_like(i) for i in index)
+        for start, end in blocks(texts):
+            doc, *rows = streams(texts[start:end])
+            for c, row, i in zip(context, rows, index, strict=True):
+                add_context(c, doc, row, i)
+        self.vectors = tuple(word_vectors(c, i) for c, i in zip(context, index, strict=True))
+        x = np.concatenate([np.zeros((0, 2 * DIM), np.float32), *(pool(texts[start:end], self.vectors) for start, end in blocks(texts))])
         self.fitted = len(set(y.tolist())) > 1
         if not self.fitted:
             self.constant = float(y[0]) if len(y) else 0.5

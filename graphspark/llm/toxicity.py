@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from graphspark.llm._batches import SPACES, WordRuns, crc_remainder_sql
-from graphspark.llm._training import Adam, labelled_sample, sigmoid
+from graphspark.llm._training import Adam, blocks, labelled_sample, sigmoid
 from graphspark.llm.quality import FOLDS, score_documents
 
 WINDOW, STEP = 24, 12
@@ -205,10 +205,10 @@ class Toxicity:
         if not self.fitted:
             self.constant = float(y[0]) if len(y) else 0.0
             return
-        parts = [Words(texts[i : i + 128]) for i in range(0, len(texts), 128)]
-        labels = [y[i : i + 128] for i in range(0, len(texts), 128)]
-        seen = [[np.zeros(n) for n in (WORD_ROWS, GRAM_ROWS, GRAM_ROWS)] for _ in range(2)]
-        for p, own in zip(parts, labels, strict=True):
+        ranges = blocks(texts)
+        seen = [[np.zeros(n, dtype=np.float32) for n in (WORD_ROWS, GRAM_ROWS, GRAM_ROWS)] for _ in range(2)]
+        for first, last in ranges:
+            p, own = Words(texts[first:last]), y[first:last]
             if not p.n:
                 continue
             for k, (doc, row) in enumerate(((p.doc, p.word), (p.gram_doc[p.has_four], p.four[p.has_four]), (p.gram_doc[p.has_five], p.five[p.has_five]))):
@@ -216,12 +216,13 @@ class Toxicity:
                 once = np.unique(doc * rows + row)
                 for label in (0, 1):
                     of = once[own[once // rows] == label] % rows
-                    seen[label][k] += np.bincount(of, minlength=rows)
+                    np.add.at(seen[label][k], of, 1)
         n_clean, n_toxic = float((y == 0).sum()), float((y == 1).sum())
         self.tables = tuple(log_odds(t, c, n_toxic, n_clean) for c, t in zip(*seen, strict=True))
         without = [tuple(log_odds(np.maximum(t - label, 0), np.maximum(c - (1 - label), 0), n_toxic - label, n_clean - (1 - label)) for c, t in zip(*seen, strict=True)) for label in (0, 1)]
         evidence, word, head, doc, start, length, base, docs = [], [], [], [], [], [], 0, 0
-        for p, own in zip(parts, labels, strict=True):
+        for first, last in ranges:
+            p, own = Words(texts[first:last]), y[first:last]
             if p.n:
                 both = [p.evidence(t) for t in without]
                 evidence.append(np.where((own[p.doc] == 1)[:, None], both[1], both[0]))
