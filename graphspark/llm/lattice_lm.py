@@ -323,13 +323,12 @@ def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
                         base += k * price[1]
                         model += k * price[2]
                     total += k
-                rows.append((number, doc, not train, None, 0, total, have, base, model))
+                rows.append((number, doc, not train, b" %d" % number, 0, total, have, base, model))  # no word has a space
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), posting, strict=True)], schema=posting)
 
     rows = source.mapInArrow(split, f"row long, __id {kind.simpleString()}, held_out boolean, word binary, times long, n_tokens long, n_known long, base_score double, score double")
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-    rare = rows.where("word is not null").join(prices.where(F.col("all") * HOT < tokens).drop("all"), "word")
-    rare = rare.select("row", "__id", "held_out", F.lit(0).cast("long").alias("n_tokens"), (F.col("times") * F.col("known")).alias("n_known"), (F.col("times") * F.col("base")).alias("base_score"), (F.col("times") * F.col("model")).alias("score"))
-    whole = rows.where("word is null").select("row", "__id", "held_out", "n_tokens", "n_known", "base_score", "score")
-    out = whole.union(rare).groupBy("row", "__id", "held_out").agg(*sums)
+    # One pass over the texts: a second one might number the rows of a shuffled input differently.
+    joined = rows.join(prices.where(F.col("all") * HOT < tokens).drop("all"), "word", "left")
+    more = lambda own, price: F.sum(F.col(own) + F.col("times") * F.coalesce(price, F.lit(0))).alias(own)
+    out = joined.groupBy("row", "__id", "held_out").agg(F.sum("n_tokens").alias("n_tokens"), more("n_known", "known"), more("base_score", "base"), more("score", "model"))
     return out.select(F.col("__id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
