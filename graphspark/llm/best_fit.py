@@ -6,9 +6,10 @@ tokens, so the best bin for a piece of n tokens is the lowest set bit at or abov
 n. When every slot is taken and nothing fits, the fullest open bin closes first.
 
 Each partition packs its own pieces (no shuffle of texts); pieces arrive in blocks
-sorted by falling length, which the online packer then takes one by one. Bins that
-a packer leaves with more than 1/64 of free space are packed once more, as whole
-bins, by the same packer, so that many partitions cost no sequences.
+sorted by falling length, which the online packer then takes one by one. What lies
+in bins that a packer leaves with 1/256 of free space or more is packed once more
+by the same packer, piece by piece over few tasks (rows of a few numbers, no texts),
+so that many partitions cost no sequences.
 
 Defined results: null text is the empty text (one piece, the separator alone);
 rows that repeat are packed each on its own; ids may be null or repeat; an empty
@@ -20,7 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from graphspark.session import ensure_importable, materialize
 
 #: Pieces that are sorted by length at a time; memory of a packer is bounded by this and its open bins.
 BLOCK = 65_536
-#: Whole bins that one task of the second round packs.
+#: Pieces that one task of the second round packs.
 GROUP = 200_000
 #: Words whose ids a worker remembers in each of two generations, and the longest such word.
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
@@ -176,8 +177,12 @@ def _pack_block(packer: BestFit, block: list[tuple], first_bin: int, alone: list
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _piece_schema(id_type) -> pa.Schema:
+    return pa.schema([("doc", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64())])
+
+
 def _packed_partition(batches, id_type, text_col: str, tokenizer_path: str, separator: int, capacity: int, open_bins: int):
-    schema = pa.schema([("doc", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64())])
+    schema = _piece_schema(id_type)
     encode, packer, end = _word_ids(tokenizer_path), BestFit(capacity, open_bins), separator.to_bytes(4, "little")
     first_bin, alone, block = (2 * TaskContext.get().partitionId() + 1) << 38, [0], []
     for batch in slices(batches, text_col):
@@ -192,31 +197,24 @@ def _packed_partition(batches, id_type, text_col: str, tokenizer_path: str, sepa
             del block[:BLOCK]
     if block:
         yield _pack_block(packer, block, first_bin, alone, schema)
-    left = [(b, free) for b, free in packer.left() if free * 64 >= capacity]
+    left = [(b, free) for b, free in packer.left() if free * 256 >= capacity]
     for at in range(0, len(left), BLOCK):  # rows without a piece: the bins that may be packed once more
         part = left[at : at + BLOCK]
         n = len(part)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, f.type) for f in list(schema)[:3]] + [pa.array([capacity - free for _, free in part], pa.int64()), pa.nulls(n, pa.int64()), pa.array([first_bin + b for b, _ in part], pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
 
 
-def _moved_partition(batches, capacity: int, open_bins: int):
-    """Whole bins into new ones: bin, its new sequence and its place there."""
-    schema = pa.schema([("bin", pa.int64()), ("to_bin", pa.int64()), ("shift", pa.int64())])
-    packer, first = BestFit(capacity, open_bins), -((TaskContext.get().partitionId() + 1) << 40)
-    block: list[tuple[int, int]] = []
-
-    def packed():
-        block.sort(key=lambda p: (-p[1], p[0]))
-        placed = [packer.place(used) for _, used in block]
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in block], pa.int64()), pa.array([first - t for t, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], schema=schema)
-
+def _repacked_partition(batches, id_type, capacity: int, open_bins: int):
+    """Pieces of unfilled bins into new bins; bins of this round have negative numbers."""
+    schema = _piece_schema(id_type)
+    packer, first_bin, alone, block = BestFit(capacity, open_bins), -((TaskContext.get().partitionId() + 1) << 40), [0], []
     for batch in batches:
-        block += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        if len(block) >= BLOCK:
-            yield packed()
-            block.clear()
+        block += zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+        while len(block) >= BLOCK:
+            yield _pack_block(packer, block[:BLOCK], first_bin, alone, schema)
+            del block[:BLOCK]
     if block:
-        yield packed()
+        yield _pack_block(packer, block, first_bin, alone, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, separator: int = 0, open_bins: int = 65_536) -> DataFrame:
@@ -234,22 +232,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def packed(batches):
         yield from _packed_partition(batches, arrow_type, "__text", tokenizer_path, separator, capacity, open_bins)
 
-    placed = materialize(source.mapInArrow(packed, f"doc {id_type}, piece int, start long, length long, ids_crc32 long, bin long, offset long"), "packed")
-    left = placed.where("piece is null").select("bin", F.col("length").alias("used"))
-    groups = max(1, -(-left.count() // GROUP))
-    moved = left.repartition(groups).mapInArrow(_mover(capacity, open_bins), "bin long, to_bin long, shift long")
-    return (
-        placed.where("piece is not null")
-        .join(moved, "bin", "left")
-        .select(
-            F.col("doc").alias(id_col), "piece", "start", "length", "ids_crc32",
-            F.coalesce("to_bin", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
-        )
-    )
-
-
-def _mover(capacity: int, open_bins: int) -> Callable:
-    def moved(batches):
-        yield from _moved_partition(batches, capacity, open_bins)
-
-    return moved
+    def repacked(batches):
+        yield from _repacked_partition(batches, arrow_type, capacity, open_bins)
+
+    form = f"doc {id_type}, piece int, start long, length long, ids_crc32 long, bin long, offset long"
+    placed = materialize(source.mapInArrow(packed, form), "packed")
+    left = placed.where("piece is null").select("bin", F.lit(True).alias("open"))
+    marked = materialize(placed.where("piece is not null").join(left, "bin", "left"), "marked")
+    again = marked.where("open").select("doc", "piece", "start", "length", "ids_crc32")
+    groups = max(1, -(-again.count() // GROUP))
+    out = marked.where("open is null").select("doc", "piece", "start", "length", "ids_crc32", "bin", "offset").unionByName(again.repartition(groups).mapInArrow(repacked, form))
+    return out.select(F.col("doc").alias(id_col), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
