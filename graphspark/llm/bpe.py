@@ -29,8 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from graphspark.llm._batches import column, slices, strings
 from graphspark.session import ensure_importable
 
-#: Matches whose ids a worker remembers, and the longest such match.
-CACHED_MATCHES, CACHED_LENGTH = 300_000, 64
+#: Matches whose ids a worker remembers in each of two generations, and the longest such match.
+CACHED_MATCHES, CACHED_LENGTH = 400_000, 64
 
 _WORD = 8  # ranks in one word of the lower level: 2 ** 8
 
@@ -128,6 +128,7 @@ class ByteBpe:
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}  # the generation before; what is used again moves up
         self.spelled: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for spelling, i in ranks.items():
             self.spelled[i] = spelling
@@ -139,15 +140,17 @@ class ByteBpe:
 
     def encode(self, text: str) -> list[int]:
         matches = self.find(text)
-        known = self.known
-        if len(known) > CACHED_MATCHES:
-            known.clear()
+        if len(self.known) > CACHED_MATCHES:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         ids: list[int] = []
         extend = ids.extend
         for m in matches:
             own = known.get(m)
             if own is None:
-                own = encode_match(m.encode(), self.ranks)
+                own = older.get(m)
+                if own is None:
+                    own = encode_match(m.encode(), self.ranks)
                 if len(m) <= CACHED_LENGTH:
                     known[m] = own
             extend(own)
