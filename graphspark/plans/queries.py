@@ -64,6 +64,13 @@ def bfs_pull_all(spark, sf):
     return traversal.bfs_all(g, g.edges.agg(F.min("src")).first()[0], mode="pull")
 
 
+@query(f"WITH RECURSIVE {SEQ}, r(v, d) AS (SELECT min(src), 0 FROM seq UNION SELECT seq.dst, r.d + 1 FROM r JOIN seq ON seq.src = r.v WHERE r.d < 12) SELECT vs.v, min(r.d) AS depth FROM vs LEFT JOIN r ON vs.v = r.v GROUP BY vs.v")
+def bfs_pull_whole(spark, sf):
+    """As bfs_pull_all, on the whole sequence graph."""
+    g = D.seq_graph(spark, sf)
+    return traversal.bfs_all(g, g.edges.agg(F.min("src")).first()[0], mode="pull")
+
+
 _SSSP = "WITH RECURSIVE {SEQ}, w AS MATERIALIZED (SELECT src, dst, {W} w FROM seq), r AS (SELECT 0 it, CAST({S} AS BIGINT) v, CAST(0 AS BIGINT) d UNION ALL SELECT * FROM (SELECT it + 1, v, min(d) FROM (SELECT r.it, w.dst v, r.d + w.w d FROM r JOIN w ON w.src = r.v UNION ALL SELECT it, v, d FROM r) WHERE it < {N} GROUP BY it, v)) SELECT v, min(d) AS distance FROM r GROUP BY v"
 
 
@@ -161,6 +168,17 @@ def scc_sizes(spark, sf):
     return writers.component_report(connectivity.strongly_connected_components(D.scc_graph(spark, sf)))
 
 
+@query()
+def scc_labels_whole(spark, sf):
+    """As scc_labels, on the whole sequence graph; its closure is too large for SQL, tests hold it against plain Python."""
+    return connectivity.strongly_connected_components(D.seq_graph(spark, sf))
+
+
+@query()
+def scc_sizes_whole(spark, sf):
+    return writers.component_report(connectivity.strongly_connected_components(D.seq_graph(spark, sf)))
+
+
 @query()
 def kcore(spark, sf):
     return connectivity.core_numbers(D.cop2_graph(spark, sf))
