@@ -99,9 +99,15 @@ def edge_pattern_support(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def wedge_pattern_support(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(lc, la, lb, support) of wedges around a center labelled lc with ends la <= lb; with equal ends both count at both."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    tagged = both.join(labels.select(F.col("v").alias("dst"), F.col("label").alias("l")), "dst")
-    a, b = tagged.select(F.col("src").alias("c"), F.col("dst").alias("a"), F.col("l").alias("la")), tagged.select(F.col("src").alias("c"), F.col("dst").alias("b"), F.col("l").alias("lb"))
-    wedges = a.join(b, "c").where("a <> b and la <= lb").join(labels.select(F.col("v").alias("c"), F.col("label").alias("lc")), "c")
-    return wedges.groupBy("lc", "la", "lb").agg(F.least(F.count_distinct("c"), F.count_distinct("a"), F.count_distinct("b")).alias("support"))
+    """(lc, la, lb, support) of wedges around a center labelled lc with ends la <= lb; with equal ends both count at both.
+
+    Wedges aren't listed: a center has a pattern if its neighbours have both labels (two of them, if equal), and then
+    every neighbour with one of the labels is at an end.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    tagged = both.join(labels.select(F.col("v").alias("dst"), F.col("label").alias("l")), "dst").select(F.col("src").alias("c"), F.col("dst").alias("end"), "l")
+    near = tagged.groupBy("c", "l").agg(F.count_distinct("end").alias("n")).join(labels.select(F.col("v").alias("c"), F.col("label").alias("lc")), "c")
+    a, b = near.select("c", "lc", F.col("l").alias("la"), F.col("n").alias("na")), near.select("c", F.col("l").alias("lb"))
+    centers = a.join(b, "c").where("la < lb or la = lb and na > 1").select("c", "lc", "la", "lb")
+    ends = centers.join(tagged, "c").where("l = la or l = lb").groupBy("lc", "la", "lb").agg(F.count_distinct(F.when(F.col("l") == F.col("la"), F.col("end"))).alias("ea"), F.count_distinct(F.when(F.col("l") == F.col("lb"), F.col("end"))).alias("eb"), F.count_distinct("c").alias("nc"))
+    return ends.select("lc", "la", "lb", F.least("nc", "ea", "eb").alias("support"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.graph import half_edges, orient
-from graphspark.operators.patterns import match
+from graphspark.operators.patterns import match, rectangle_count
 
 MOTIFS = {3: ["wedge", "triangle"], 4: ["path4", "star3", "rectangle", "tailed_triangle", "diamond", "clique4"]}
 
@@ -69,7 +69,8 @@ def motifs(edges: DataFrame, k: int) -> DataFrame:
 
 
 def motifs_by_formula(edges: DataFrame, k: int) -> DataFrame:
-    """As ``motifs`` for k = 3 and 4: only triangles, rectangles and 4-cliques are enumerated, the rest is algebra over edges."""
+    """As ``motifs`` for k = 3 and 4: only triangles and 4-cliques are enumerated, rectangles come from
+    the counts of wedges over two ends, the rest is algebra over edges."""
     edges = edges.select("src", "dst")
     deg = edges.groupBy("src").agg(F.count("*").alias("d"))
     tri = edge_triangles(edges)
@@ -84,8 +85,8 @@ def motifs_by_formula(edges: DataFrame, k: int) -> DataFrame:
     per = per.select("tri", (F.col("ds") - F.col("tri") - 1).alias("su"), (F.col("dd") - F.col("tri") - 1).alias("sv"))
     sums = per.agg(*[F.coalesce(F.sum(F.expr(x)), F.lit(0)).cast("long").alias(n) for n, x in (("tt", "tri * (tri - 1) div 2"), ("ts", "tri * (su + sv)"), ("ss", "su * sv"), ("s2", "su * (su - 1) + sv * (sv - 1)"))])
     k4 = clique_count(edges, 4).withColumnRenamed("total", "k4")
-    c4 = match(edges, "rectangle", induced=True).agg(F.count("*").alias("c4"))
-    one = sums.crossJoin(k4).crossJoin(c4).withColumn("diamond", F.expr("tt - 6 * k4")).withColumn("tailed", F.expr("ts div 2 - 2 * diamond"))
+    c4 = rectangle_count(edges).withColumnRenamed("total", "all4")  # a diamond holds one rectangle that isn't induced, a 4-clique three
+    one = sums.crossJoin(k4).crossJoin(c4).withColumn("diamond", F.expr("tt - 6 * k4")).withColumn("c4", F.expr("all4 - diamond - 3 * k4")).withColumn("tailed", F.expr("ts div 2 - 2 * diamond"))
     return one.select(F.expr("stack(6, 'path4', ss - 4 * c4, 'star3', (s2 - 2 * tailed) div 6, 'rectangle', c4, 'tailed_triangle', tailed, 'diamond', diamond, 'clique4', k4) as (motif, total)"))
 
 

@@ -61,6 +61,11 @@ def mid_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return _both(materialize(pairs, "mid"))
 
 
+def cop_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Undirected, whole: parts in any common order."""
+    return _both(materialize(common_order_edges(spark, sf_dir, 1), "cop"))
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(u, i, r): customers, suppliers and the mean quantity."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")

@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 SEQ = "seq AS MATERIALIZED (SELECT DISTINCT s src, d dst FROM (SELECT l_partkey s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) d FROM lineitem) WHERE d IS NOT NULL AND s <> d), vs AS MATERIALIZED (SELECT DISTINCT v FROM (SELECT src v FROM seq UNION ALL SELECT dst FROM seq))"
 COP2 = "half AS MATERIALIZED (SELECT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(DISTINCT a.l_orderkey) >= 2), e AS MATERIALIZED (SELECT u, v FROM half UNION ALL SELECT v, u FROM half)"
 MID = "half AS MATERIALIZED (SELECT DISTINCT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE b.l_partkey < (SELECT count(*) / 5 FROM part)), e AS MATERIALIZED (SELECT u, v FROM half UNION ALL SELECT v, u FROM half)"
+COP = "half AS MATERIALIZED (SELECT DISTINCT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey), e AS MATERIALIZED (SELECT u, v FROM half UNION ALL SELECT v, u FROM half)"
 SCC = "escc AS MATERIALIZED (SELECT DISTINCT s, d FROM (SELECT l_partkey s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) d FROM lineitem) WHERE d IS NOT NULL AND s <> d AND (s * 31 + d * 17) % 16 = 0), n AS MATERIALIZED (SELECT s v FROM escc UNION SELECT d FROM escc)"
 RATINGS = "r AS MATERIALIZED (SELECT o_custkey u, l_suppkey i, avg(l_quantity) r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 LABELS = "lab AS (SELECT p_partkey v, CAST(p_size % 4 AS INTEGER) label FROM part)"
@@ -254,9 +255,9 @@ def triangles_per_vertex(spark, sf):
     return motifs.triangles_per_vertex(D.mid_graph(spark, sf).edges)
 
 
-def _clique_sql(k: int, out: str) -> str:
+def _clique_sql(k: int, out: str, graph: str = MID) -> str:
     joins = "".join(f" JOIN half e{i} ON e{i}.u = e{i - 1}.v" + "".join(f" JOIN half c{j}_{i} ON c{j}_{i}.u = e{j + 1}.u AND c{j}_{i}.v = e{i}.v" for j in range(i - 1)) for i in range(2, k))
-    return f"WITH {MID} SELECT {out} FROM half e1{joins}"
+    return f"WITH {graph} SELECT {out} FROM half e1{joins}"
 
 
 for _k in (3, 4, 5):
@@ -363,6 +364,55 @@ def fsm_k(spark, sf):
     return fsm.frequent_subgraphs(D.cop2_graph(spark, sf).edges, D.part_labels(spark, sf), 2, 20)
 
 
+# The same kernels on all pairs of parts in a common order
+
+_T3 = "t AS (SELECT a.u x, a.v y, b.v z FROM half a JOIN half b ON a.v = b.u JOIN half c ON c.u = a.u AND c.v = b.v)"
+
+
+@query(f"WITH {COP}, {_T3} SELECT v, count(*) AS triangles FROM (SELECT x v FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY v")
+def triangles_per_vertex_whole(spark, sf):
+    return motifs.triangles_per_vertex(D.cop_graph(spark, sf).edges)
+
+
+for _k in (3, 4, 5):
+    def _whole_cliques(spark, sf, k=_k):
+        return motifs.clique_count(D.cop_graph(spark, sf).edges, k)
+
+    _whole_cliques.__name__ = f"clique{_k}_count_whole"
+    query(_clique_sql(_k, "count(*) AS total", COP))(_whole_cliques)
+
+
+@query(_clique_sql(4, "e1.u AS v0, e1.v AS v1, e2.v AS v2, e3.v AS v3", COP))
+def clique4_list_whole(spark, sf):
+    c = motifs.cliques(D.cop_graph(spark, sf).edges, 4).select(F.array_sort(F.array("v0", "v1", "v2", "v3")).alias("c"))
+    return c.select(*[F.col("c")[i].alias(f"v{i}") for i in range(4)])
+
+
+@query(f"WITH {COP}, {_T} {_M3}")
+def motif3_whole(spark, sf):
+    return motifs.motifs(D.cop_graph(spark, sf).edges, 3)
+
+
+@query(f"WITH {COP}, {_T} {_M3}")
+def motif3_formula_whole(spark, sf):
+    return motifs.motifs_by_formula(D.cop_graph(spark, sf).edges, 3)
+
+
+@query(_motif_sql(COP))
+def motif4_formula_whole(spark, sf):
+    return motifs.motifs_by_formula(D.cop_graph(spark, sf).edges, 4)
+
+
+@query(f"WITH {COP}, {LABELS} SELECT x.label AS la, y.label AS lb, least(count(DISTINCT e.u), count(DISTINCT e.v)) AS support FROM e JOIN lab x ON x.v = e.u JOIN lab y ON y.v = e.v WHERE x.label <= y.label GROUP BY 1, 2")
+def fsm_edge_patterns_whole(spark, sf):
+    return fsm.edge_pattern_support(D.cop_graph(spark, sf).edges, D.part_labels(spark, sf))
+
+
+@query(f"WITH {COP}, {LABELS} SELECT z.label AS lc, x.label AS la, y.label AS lb, least(count(DISTINCT a.u), count(DISTINCT a.v), count(DISTINCT b.v)) AS support FROM e a JOIN e b ON a.u = b.u AND a.v <> b.v JOIN lab z ON z.v = a.u JOIN lab x ON x.v = a.v JOIN lab y ON y.v = b.v WHERE x.label <= y.label GROUP BY 1, 2, 3")
+def fsm_wedge_patterns_whole(spark, sf):
+    return fsm.wedge_pattern_support(D.cop_graph(spark, sf).edges, D.part_labels(spark, sf))
+
+
 # The graph model, sources and set algebra
 
 @query(f"WITH {SEQ} SELECT vs.v, (SELECT count(*) FROM seq WHERE src = vs.v) AS outdegree, (SELECT count(*) FROM seq WHERE dst = vs.v) AS indegree FROM vs")

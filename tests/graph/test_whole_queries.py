@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict, deque
+from itertools import combinations
 
 import pytest
 
@@ -55,3 +56,47 @@ def test_strong_components_and_depths(spark, sf):
     assert rows(spark, sf, "scc_sizes_whole") == sorted(sizes.items())
     depths = seen[min(adj)]
     assert {r.v: r.depth for r in QUERIES["bfs_pull_whole"](spark, sf).collect()} == {v: depths.get(v) for v in vertices}
+
+
+def induced(near, vertices, k):
+    """Counter of (edges, sorted degrees) of the connected induced subgraphs of k vertices."""
+    out = Counter()
+    for s in combinations(sorted(vertices), k):
+        inner = {v: near[v] & set(s) for v in s}
+        if len(reach(inner, s[0])) == k:
+            out[tuple(sorted(len(x) for x in inner.values()))] += 1
+    return out
+
+
+def test_common_orders(spark, sf):
+    near = defaultdict(set)
+    for _, parts in ORDERS:
+        for a, b in combinations(set(parts), 2):
+            near[a].add(b)
+            near[b].add(a)
+    vertices = sorted(near)
+    assert max(vertices) > 60 / 5  # not the lowest fifth alone
+    cliques = {k: [c for c in combinations(vertices, k) if all(b in near[a] for a, b in combinations(c, 2))] for k in (3, 4)}
+    cliques[5] = [(*c, v) for c in cliques[4] for v in vertices if v > c[-1] and all(v in near[u] for u in c)]
+    for k in (3, 4, 5):
+        assert cliques[k] and rows(spark, sf, f"clique{k}_count_whole") == [(len(cliques[k]),)]
+    assert rows(spark, sf, "clique4_list_whole") == cliques[4]
+    assert rows(spark, sf, "triangles_per_vertex_whole") == sorted(Counter(v for c in cliques[3] for v in c).items())
+    three, four = induced(near, vertices, 3), induced(near, vertices, 4)
+    want = [("triangle", three[2, 2, 2]), ("wedge", three[1, 1, 2])]
+    assert rows(spark, sf, "motif3_whole") == rows(spark, sf, "motif3_formula_whole") == want
+    degrees = {"path4": (1, 1, 2, 2), "star3": (1, 1, 1, 3), "rectangle": (2, 2, 2, 2), "tailed_triangle": (1, 2, 2, 3), "diamond": (2, 2, 3, 3), "clique4": (3, 3, 3, 3)}
+    assert rows(spark, sf, "motif4_formula_whole") == sorted((m, four[d]) for m, d in degrees.items())
+    label = {v: v * 7 % 50 % 4 for v in vertices}
+    ends, wedges = defaultdict(lambda: (set(), set())), defaultdict(lambda: (set(), set(), set()))
+    for c in vertices:
+        for a in near[c]:
+            if label[c] <= label[a]:
+                for at, v in enumerate((c, a)):
+                    ends[label[c], label[a]][at].add(v)
+            for b in near[c] - {a}:
+                if label[a] <= label[b]:
+                    for at, v in enumerate((c, a, b)):
+                        wedges[label[c], label[a], label[b]][at].add(v)
+    assert rows(spark, sf, "fsm_edge_patterns_whole") == sorted((*k, min(map(len, x))) for k, x in ends.items())
+    assert rows(spark, sf, "fsm_wedge_patterns_whole") == sorted((*k, min(map(len, x))) for k, x in wedges.items())
