@@ -33,7 +33,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component of near duplicates."""
+    """Keeps the document with the least id of each component of near duplicates.
+
+    Near is what op7 calls near: fingerprints of 4-word shingles within 4 bits. Pairs of 0.8 similarity are mostly farther
+    apart; the README has the measured shares.
+    """
     found = simhash.near_duplicates(docs)
     return _kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
 
