@@ -15,9 +15,8 @@ from graphspark.llm.queries import tokenizer_path
 from graphspark.session import materialize
 
 
-def _kept(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``; a null id counts as an id."""
-    return docs.join(ids, docs[id_col].eqNullSafe(ids[id_col]), "left_semi").select(docs.columns)
+#: The column of row numbers in the near-duplicate stage.
+ROW = "__row"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +35,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the document with the least id of each component of near duplicates.
 
     Near is what op7 calls near: fingerprints of 4-word shingles within 4 bits. Pairs of 0.8 similarity are mostly farther
-    apart; the README has the measured shares.
+    apart; the README has the measured shares. One row of a component stays: ids that repeat are told apart by a row number
+    (the least stays), and null ids come last.
     """
-    found = simhash.near_duplicates(docs)
-    return _kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = simhash.near_duplicates(rows, ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
+    kept = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias(ROW)).select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,10 @@ def test_odd_rows_pass_through(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.packing_stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.near_duplicate_stage(spark, docs.where(F.col("doc_id").isNull()), str(tmp_path)).count() <= 2
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d = ("apple pie with cream", "seven grey ships at sea", "a cold wind blew over", "nobody knew the old song")
+    table = [(1, a), (1, a), (None, a), (None, b), (None, b), (None, b), (5, c), (5, d), (9, d)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()), key=str) == sorted([(1, a), (None, b), (5, c), (5, d)], key=str)
