@@ -374,6 +374,11 @@ def triangles_per_vertex_whole(spark, sf):
     return motifs.triangles_per_vertex(D.cop_graph(spark, sf).edges)
 
 
+@query(f"WITH {COP} SELECT count(*) AS total FROM half a JOIN half b ON a.v = b.u JOIN half x ON x.u = a.u AND x.v = b.v")
+def triangle_count_whole(spark, sf):
+    return motifs.triangle_count(D.cop_graph(spark, sf).edges)
+
+
 for _k in (3, 4, 5):
     def _whole_cliques(spark, sf, k=_k):
         return motifs.clique_count(D.cop_graph(spark, sf).edges, k)

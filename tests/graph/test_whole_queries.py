@@ -100,3 +100,9 @@ def test_common_orders(spark, sf):
                         wedges[label[c], label[a], label[b]][at].add(v)
     assert rows(spark, sf, "fsm_edge_patterns_whole") == sorted((*k, min(map(len, x))) for k, x in ends.items())
     assert rows(spark, sf, "fsm_wedge_patterns_whole") == sorted((*k, min(map(len, x))) for k, x in wedges.items())
+
+
+def test_triangle_count(spark, sf):
+    pairs = {(a, b) for _, parts in ORDERS for a, b in combinations(sorted(set(parts)), 2)}
+    want = sum((a, c) in pairs for a, b in pairs for x, c in pairs if x == b)
+    assert want and rows(spark, sf, "triangle_count_whole") == [(want,)]
