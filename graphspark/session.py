@@ -12,6 +12,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +32,16 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session with a local master gets a private folder of its own; on a cluster a folder of one
+    machine would lose rows, so that is an error.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="graphspark-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         sc.setCheckpointDir(path)
@@ -50,7 +57,22 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+#: Where the tables of ``materialize`` lie, by the identity of their DataFrames.
+_PATHS: dict[int, str] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later plan reads: what was computed from them has been written itself."""
+    for df in tables:
+        path = _PATHS.pop(id(df), None)
+        if path is not None:
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
