@@ -12,8 +12,11 @@ by the same packer, piece by piece over few tasks (rows of a few numbers, no tex
 so that many partitions cost no sequences.
 
 Defined results: null text is the empty text (one piece, the separator alone);
-rows that repeat are packed each on its own; ids may be null or repeat; an empty
-table gives an empty result; other columns of the input are ignored.
+rows that repeat are packed each on its own; ids may be null or repeat; pieces of
+one length stay in the order they come in; a text of any length is encoded whole
+(about 20 bytes of memory a byte of it) and cut; a text that holds the literal of an
+added token of the file gives that token, as the library does; an empty table gives
+an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphspark.llm._batches import column, slices, utf8
-from graphspark.session import ensure_importable, materialize
+from graphspark.llm._batches import column, slices
+from graphspark.session import ensure_importable, materialize, release
 
 #: Pieces that are sorted by length at a time; memory of a packer is bounded by this and its open bins.
 BLOCK = 65_536
@@ -88,72 +92,95 @@ class BestFit:
 
 
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts, many texts at a time.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its white-space-separated words in order; words are encoded by the
-    tokenizers library once and remembered in a bounded table.
+    The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its
+    white-space-separated words in order. Neither does it join a letter to a sign after it, so words are cut there too.
+    Arrow splits the texts and numbers their distinct words; each of these is looked up in a bounded table, and what is
+    new goes through the tokenizers library. The texts' ids are then gathered from those of the distinct words. A text
+    that holds the literal of an added token goes through the library as a whole.
     """
 
+    #: What stands for a text's end among the ids; no vocabulary has it.
+    END_ID = 0xFFFFFFFF
+    #: A letter and a sign after it. An apostrophe isn't among the signs, as it may begin a contraction.
+    CUT = r"([a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
-        vocabulary = self.tokenizer.get_vocab()
+        self.literals = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        words = Tokenizer.from_file(path)
+        words.encode_special_tokens = True  # a word that only looks like an added token in lower case
+        self.encode_batch = getattr(words, "encode_batch_fast", words.encode_batch)  # without offsets
+        vocabulary = words.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.letters = re.compile("[a-zß-öø-ÿ]+").fullmatch
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the generation before; what is used again moves up
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        """The ids of all texts as one array, each text's ids followed by END_ID; null is the empty text."""
+        low = pc.ascii_lower(pc.fill_null(texts, ""))
+        for literal in self.literals:
+            found = pc.index(pc.match_substring(low, literal), True).as_py()
+            if found >= 0:
+                own = self.tokenizer.encode(texts[found].as_py(), add_special_tokens=False).ids
+                rest = [self(x) for x in (texts[:found], texts[found + 1 :]) if len(x)]
+                return np.concatenate([*rest[: found > 0], np.array([*own, self.END_ID], dtype="<u4"), *rest[found > 0 :]])
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(low, pattern=self.CUT, replacement=r"\1 \2"))
+        ends, words = split.offsets.to_numpy()[1:], split.values.dictionary_encode()
+        names = words.dictionary.cast(pa.binary())
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), b"\n")[0].as_py().split(b"\n") if len(names) else []
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        rows, missing = [], set()
-        for t in texts:
-            words = t.split()
-            ids = list(map(known.get, words))
-            if None in ids:
-                missing.update([w for w, i in zip(words, ids, strict=True) if i is None])
-            rows.append((words, ids))
-        own = {w: older[w] for w in missing if w in older}
-        new = [w for w in missing if w not in own]
-        self._encode([w.decode() for w in new], new, own)
-        known.update(own if all(len(w) <= CACHED_LENGTH for w in missing) else {w: i for w, i in own.items() if len(w) <= CACHED_LENGTH})
-        return [b"".join(own[w] if i is None else i for w, i in zip(words, ids, strict=True)) if None in ids else b"".join(ids) for words, ids in rows]
-
-
-    def _encode(self, words: list[str], keys: list[bytes], into: dict[bytes, bytes]) -> None:
-        """Words of Latin letters and then signs are one or two matches of the tokenizer's pattern, each of which ends with an
-        end-of-word token; many are encoded as one text and cut there. The others, and texts that don't cut as they should,
-        are encoded word by word."""
-        alone, joined = [], []
-        for i, w in enumerate(words):
-            m = self.plain(w)
-            if m is None:
-                alone.append(i)
+        known = self.known
+        missing = [w for w in distinct if w not in known]
+        self._learn(missing)
+        spelled = list(map(known.__getitem__, distinct))
+        for w in missing:
+            if len(w) > CACHED_LENGTH:
+                del known[w]
+        # one more word, the end, after the words of each text; then every word's ids are gathered from the distinct words'
+        ids = np.frombuffer(b"".join([*spelled, self.END_ID.to_bytes(4, "little")]), dtype="<u4")
+        length = np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled)) // 4
+        length = np.append(length, 1)
+        start = np.cumsum(length) - length
+        at = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(distinct))
+        n = length[at]
+        stop = np.cumsum(n)
+        return ids[np.repeat(start[at] - (stop - n), n) + np.arange(stop[-1])]
+
+    def _learn(self, missing: list[bytes]) -> None:
+        """Adds the ids of words that aren't in the table. Words of letters alone are one match of the tokenizer's pattern,
+        which ends with an end-of-word token; many are encoded as one text and cut there. The others, and texts that don't
+        cut as they should, are encoded word by word."""
+        known, older, alone, joined = self.known, self.older, [], []
+        for w in missing:
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
             else:
-                joined.append((i, 2 if m[1] else 1))
+                text = w.decode()
+                (joined if self.letters(text) else alone).append((w, text))
         for at in range(0, len(joined), 256):
             part = joined[at : at + 256]
-            ids = np.array(self.encode_batch([" ".join([words[i] for i, _ in part])], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            cuts = np.cumsum([n for _, n in part])
-            if len(ends) != cuts[-1]:
-                alone += [i for i, _ in part]
+            ids = np.array(self.encode_batch([" ".join([x for _, x in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(stops) != len(part):
+                alone += part
                 continue
-            data, stops, start = ids.tobytes(), (ends[cuts - 1] * 4).tolist(), 0
-            for (i, _), stop in zip(part, stops, strict=True):
-                into[keys[i]] = data[start:stop]
+            data, start = ids.tobytes(), 0
+            for (w, _), stop in zip(part, stops.tolist(), strict=True):
+                known[w] = data[start:stop]
                 start = stop
         for at in range(0, len(alone), 1024):
             part = alone[at : at + 1024]
-            for i, e in zip(part, self.encode_batch([words[i] for i in part], add_special_tokens=False), strict=True):
-                into[keys[i]] = np.array(e.ids, dtype="<u4").tobytes()
+            for (w, _), e in zip(part, self.encode_batch([x for _, x in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
 
 def _word_ids(path: str) -> WordIds:
@@ -164,57 +191,83 @@ def _word_ids(path: str) -> WordIds:
     return own[path]
 
 
-def _pack_block(packer: BestFit, block: list[tuple], first_bin: int, alone: list[int], schema: pa.Schema) -> pa.RecordBatch:
-    block.sort(key=lambda p: -p[3])
-    rows = []
-    for doc, piece, start, length, crc in block:
-        if length == packer.capacity:
-            alone[0] += 1
-            rows.append((doc, piece, start, length, crc, first_bin - alone[0], 0))
-        else:
-            b, offset = packer.place(length)
-            rows.append((doc, piece, start, length, crc, first_bin + b, offset))
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _piece_schema(id_type) -> pa.Schema:
+#: A placed piece, and (with nulls but for ``length`` and ``bin``) a bin that may be packed once more.
+def _piece_schema(id_type: pa.DataType) -> pa.Schema:
     return pa.schema([("doc", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64())])
 
 
-def _packed_partition(batches, id_type, text_col: str, tokenizer_path: str, separator: int, capacity: int, open_bins: int):
-    schema = _piece_schema(id_type)
-    encode, packer, end = _word_ids(tokenizer_path), BestFit(capacity, open_bins), separator.to_bytes(4, "little")
-    first_bin, alone, block = (2 * TaskContext.get().partitionId() + 1) << 38, [0], []
-    for batch in slices(batches, text_col):
-        docs = column(batch, "__id").to_pylist()
-        for doc, ids in zip(docs, encode(utf8(batch, text_col)), strict=True):
-            ids += end
-            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                block.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-        while len(block) >= BLOCK:
-            yield _pack_block(packer, block[:BLOCK], first_bin, alone, schema)
-            del block[:BLOCK]
-    if block:
-        yield _pack_block(packer, block, first_bin, alone, schema)
-    left = [(b, free) for b, free in packer.left() if free * 256 >= capacity]
+class BlockPacker:
+    """Collects pieces (batches of the first five columns of a piece) and packs them in blocks of falling length."""
+
+    def __init__(self, id_type: pa.DataType, capacity: int, open_bins: int, first_bin: int):
+        self.schema, self.packer, self.first_bin, self.alone = _piece_schema(id_type), BestFit(capacity, open_bins), first_bin, 0
+        self.held: list[pa.RecordBatch] = []
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.held.append(batch)
+        self.rows += batch.num_rows
+        if self.rows >= BLOCK:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        pieces = pa.Table.from_batches(self.held).combine_chunks()
+        self.held, self.rows = [], 0
+        order = np.argsort(-pieces.column("length").to_numpy(), kind="stable")
+        pieces = pieces.take(pa.array(order))
+        place, capacity, bins, offsets = self.packer.place, self.packer.capacity, [], []
+        for length in pieces.column("length").to_pylist():
+            if length == capacity:  # a bin of its own
+                self.alone += 1
+                bins.append(-self.alone)
+                offsets.append(0)
+            else:
+                chosen, offset = place(length)
+                bins.append(chosen)
+                offsets.append(offset)
+        columns = [pieces.column(i).combine_chunks() for i in range(5)]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(bins, dtype=np.int64) + self.first_bin), pa.array(offsets, pa.int64())], schema=self.schema)
+
+
+def cut(ids: np.ndarray, separator: int, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, piece, start, length, crc) of every piece of texts' ids as ``WordIds`` gives them."""
+    ends = np.flatnonzero(ids == WordIds.END_ID) + 1
+    ids = np.where(ids == WordIds.END_ID, np.uint32(separator), ids).astype("<u4")
+    lengths = np.diff(np.concatenate(([0], ends)))
+    pieces = -(-lengths // capacity)
+    text = np.repeat(np.arange(len(ends)), pieces)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = piece * capacity
+    length = np.minimum(capacity, lengths[text] - start)
+    first = (ends - lengths)[text] + start
+    data = memoryview(ids).cast("B")
+    crc = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip((first * 4).tolist(), ((first + length) * 4).tolist(), strict=True)), dtype=np.int64, count=len(text))
+    return text, piece, start, length, crc
+
+
+def _packed_partition(batches, id_type: pa.DataType, text_col: str, tokenizer_path: str, separator: int, capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
+    encode, first_bin = _word_ids(tokenizer_path), (2 * TaskContext.get().partitionId() + 1) << 38
+    blocks = BlockPacker(id_type, capacity, open_bins, first_bin)
+    for batch in slices(batches, text_col, rows=1 << 16, size=8 << 20):
+        text, piece, start, length, crc = cut(encode(column(batch, text_col)), separator, capacity)
+        yield from blocks.add(pa.RecordBatch.from_arrays([column(batch, "__id").take(pa.array(text)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc)], names=blocks.schema.names[:5]))
+    yield from blocks.flush()
+    left = [(b, free) for b, free in blocks.packer.left() if free * 256 >= capacity]
     for at in range(0, len(left), BLOCK):  # rows without a piece: the bins that may be packed once more
         part = left[at : at + BLOCK]
         n = len(part)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, f.type) for f in list(schema)[:3]] + [pa.array([capacity - free for _, free in part], pa.int64()), pa.nulls(n, pa.int64()), pa.array([first_bin + b for b, _ in part], pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, f.type) for f in list(blocks.schema)[:3]] + [pa.array([capacity - free for _, free in part], pa.int64()), pa.nulls(n, pa.int64()), pa.array([first_bin + b for b, _ in part], pa.int64()), pa.nulls(n, pa.int64())], schema=blocks.schema)
 
 
-def _repacked_partition(batches, id_type, capacity: int, open_bins: int):
+def _repacked_partition(batches, id_type: pa.DataType, capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
     """Pieces of unfilled bins into new bins; bins of this round have negative numbers."""
-    schema = _piece_schema(id_type)
-    packer, first_bin, alone, block = BestFit(capacity, open_bins), -((TaskContext.get().partitionId() + 1) << 40), [0], []
+    blocks = BlockPacker(id_type, capacity, open_bins, -((TaskContext.get().partitionId() + 1) << 40))
     for batch in batches:
-        block += zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
-        while len(block) >= BLOCK:
-            yield _pack_block(packer, block[:BLOCK], first_bin, alone, schema)
-            del block[:BLOCK]
-    if block:
-        yield _pack_block(packer, block, first_bin, alone, schema)
+        yield from blocks.add(batch)
+    yield from blocks.flush()
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, separator: int = 0, open_bins: int = 65_536) -> DataFrame:
@@ -239,6 +292,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     placed = materialize(source.mapInArrow(packed, form), "packed")
     left = placed.where("piece is null").select("bin", F.lit(True).alias("open"))
     marked = materialize(placed.where("piece is not null").join(left, "bin", "left"), "marked")
+    release(placed)
     again = marked.where("open").select("doc", "piece", "start", "length", "ids_crc32")
     groups = max(1, -(-again.count() // GROUP))
     out = marked.where("open is null").select("doc", "piece", "start", "length", "ids_crc32", "bin", "offset").unionByName(again.repartition(groups).mapInArrow(repacked, form))

@@ -1,9 +1,11 @@
+import functools
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -14,11 +16,15 @@ from tests.llm.fixtures import docs, nothing, rows, text_of
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def expected_ids(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    return Tokenizer.from_file(PATH)
+
+
+def expected_ids(text):
+    t = tokenizer()
     return np.array([*t.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
 
 
@@ -84,6 +90,30 @@ def test_empty_table(spark):
     assert best_fit.pack_documents(nothing(spark), PATH).count() == 0
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> x", "don't stop now then", "é É", "a\x1cb", "ΑΣ Σ"])
+ODD = ["<|endoftext|> x", "x <|endoftext|>y", "<|ENDOFTEXT|> a <|StartOfText|>", "", " ", "don't stop now then", "don't,, it's!' 'tis x's", "e\u0301 E\u0301 É=\u0338 a<\u0338", "a\x1cb", "ΑΣ Σ", "abc12,3!! ??", "x" * 300 + "," * 90, "straße, İstanbul. ǆ.", "word\u00a0joined,\u3000x"]
+
+
+def own_ids(encode, texts):
+    got = encode(pa.array(texts))
+    want = np.concatenate([np.append(expected_ids(t)[:-1], np.uint32(best_fit.WordIds.END_ID)) for t in texts])
+    return np.array_equal(got, want)
+
+
+@pytest.mark.parametrize("text", ODD)
 def test_ids_by_words_are_the_tokenizers_ids(text):
-    assert best_fit.WordIds(PATH)([text.encode()])[0] == expected_ids(text)[:-1].tobytes()
+    assert own_ids(best_fit.WordIds(PATH), [text])
+
+
+def test_many_texts_and_a_small_table(monkeypatch):
+    monkeypatch.setattr(best_fit, "CACHED_WORDS", 20)
+    own, rng = best_fit.WordIds(PATH), random.Random(8)
+    words = "The quick, brown FOX's jumps; over (the) lazy dog. Été élan, naïve!! 3rd 42 a-b c/d e.g. x".split()
+    for _ in range(30):
+        texts = [" ".join(rng.choice(words) + rng.choice(["", ",", "...", "'s", "7"]) for _ in range(rng.randrange(12))) for _ in range(8)]
+        texts.insert(rng.randrange(8), rng.choice(ODD))
+        assert own_ids(own, texts)
+
+
+@given(st.lists(st.text(alphabet="ab é'!,1<|>\n\u0338\u0301", max_size=40), min_size=1, max_size=6))
+def test_any_texts(texts):
+    assert own_ids(best_fit._word_ids(PATH), texts)
