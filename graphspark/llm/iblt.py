@@ -5,7 +5,7 @@ of its bytes and of how often it came before in the document. Each digest is add
 to three cells of the sketch (count, xor of digests, xor of check values). Two
 versions' sketches subtract cell by cell; peeling cells that hold one digest
 recovers the digests that differ; if cells are left over, both versions are
-sketched four times larger and peeled again.
+sketched four times larger and peeled again, a bounded number of times.
 
 The fingerprint is the sketch at its base size. Likeness is the Jaccard index of
 the two sets of digests, from their sizes and the recovered difference.
@@ -14,7 +14,9 @@ All documents of a slice are sketched and peeled together in numpy.
 
 Defined results: null text is the empty text; two texts without words are alike
 (1.0); the next document of the last is the first, of a single one itself; rows of
-one id are ordered by text; null ids come last; other columns are ignored.
+one id are ordered by text, rows that repeat follow each other; null ids come last;
+a text of any length is taken whole, in ranges; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,36 +35,106 @@ from graphspark.session import ensure_importable, materialize
 
 WORDS = 8
 BASE = 24
+ROUNDS = 1_000
 _DIGEST = np.uint64((1 << 40) - 1)
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 
 
+#: Bytes of texts whose words are looked at together; a longer text goes through in ranges of this size.
+RANGE = 1 << 20
+
+
+def _cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first byte in its text) of every cell, in order."""
+    runs = WordRuns(texts)
+    n = len(runs.start)
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    line = np.cumsum(runs.data == 10)[runs.start]
+    index = np.arange(n)
+    new_line = np.concatenate(([True], line[1:] != line[:-1]))
+    within = index - np.maximum.accumulate(np.where(new_line, index, 0))
+    first = np.flatnonzero(within % WORDS == 0)
+    last = np.concatenate((first[1:], [n])) - 1
+    doc = runs.doc[first]
+    begins = np.concatenate(([0], runs.ends[:-1]))[doc]
+    return doc, runs.hashes(spans=(runs.start[first], runs.end[last])), runs.start[first] - begins
+
+
+def cell_hashes(texts: list[bytes], size: int = RANGE) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every cell. A range of a long text ends before its last cell, which may go on, and the next range
+    begins there; a cell that fills a range makes the range longer."""
+    docs, hashes, group, held = [], [], [], 0
+
+    def flush():
+        if group:
+            doc, h, _ = _cells([texts[i] for i in group])
+            docs.append(np.array(group)[doc])
+            hashes.append(h)
+            group.clear()
+
+    for i, text in enumerate(texts):
+        if len(text) <= size:
+            if held + len(text) > size:
+                flush()
+                held = 0
+            group.append(i)
+            held += len(text)
+            continue
+        flush()
+        held, at, span = 0, 0, size
+        while at < len(text):
+            _, h, first = _cells([text[at : at + span]])
+            if at + span < len(text):
+                if len(h) < 2 and len(h):  # one cell all along
+                    span *= 2
+                    continue
+                h, step = h[:-1], int(first[-1]) if len(first) else span
+            else:
+                step = span
+            docs.append(np.full(len(h), i))
+            hashes.append(h)
+            at, span = at + step, size
+    flush()
+    if not docs:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
 class Digests:
-    """Digests of the paragraph cells of several texts: ``doc`` and ``digest``, distinct in each text."""
+    """Digests of the paragraph cells of several texts: ``doc`` and ``digest``, in order and distinct in each text.
+
+    Two cells whose 40-bit digests agree by chance count as one, so that a sketch never holds a digest twice.
+    """
 
     def __init__(self, texts: list[bytes]):
-        runs = WordRuns(texts)
         self.n_docs = len(texts)
-        n = len(runs.start)
-        if not n:
-            self.doc, self.digest = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        else:
-            line = np.cumsum(runs.data == 10)[runs.start]
-            index = np.arange(n)
-            new_line = np.concatenate(([True], line[1:] != line[:-1]))
-            within = index - np.maximum.accumulate(np.where(new_line, index, 0))
-            first = np.flatnonzero(within % WORDS == 0)
-            last = np.concatenate((first[1:], [n])) - 1
-            h = runs.hashes(spans=(runs.start[first], runs.end[last]))
-            doc = runs.doc[first]
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            index = np.arange(len(h))
-            again = np.concatenate(([False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])))
-            rank = index - np.maximum.accumulate(np.where(again, 0, index))
-            self.doc, self.digest = doc, avalanche(h + rank.astype(np.uint64) * _SEEDS[0]) & _DIGEST
+        doc, h = cell_hashes(texts)
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        index = np.arange(len(h))
+        again = np.concatenate(([False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])))[: len(h)]
+        rank = index - np.maximum.accumulate(np.where(again, 0, index)) if len(h) else index
+        self._set(doc, avalanche(h + rank.astype(np.uint64) * _SEEDS[0]) & _DIGEST)
+
+    @classmethod
+    def of(cls, doc: np.ndarray, digest: np.ndarray, n_docs: int) -> Digests:
+        """Of digests that are known already."""
+        out = object.__new__(cls)
+        out.n_docs = n_docs
+        out._set(doc.astype(np.int64), digest.astype(np.uint64) & _DIGEST)
+        return out
+
+    def _set(self, doc: np.ndarray, digest: np.ndarray) -> None:
+        order = np.lexsort((digest, doc))
+        doc, digest = doc[order], digest[order]
+        first = np.concatenate(([True], (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1])))[: len(doc)]
+        self.doc, self.digest = doc[first], digest[first]
         self.sizes = np.bincount(self.doc, minlength=self.n_docs)
 
+    def of_text(self, i: int) -> np.ndarray:
+        return self.digest[slice(*np.searchsorted(self.doc, [i, i + 1]))]
+
     def only(self, docs: np.ndarray) -> Digests:
         """Those of some texts, numbered anew in the given order."""
         number = np.full(self.n_docs, -1)
@@ -128,19 +200,28 @@ class Sketches:
             doc, digest, sign = doc[first], digest[first], sign[first]
             self.add(doc, digest, -sign)
             found.append((doc, digest, sign))
-            if len(found) > 10_000:  # cells that lie; the documents that aren't empty are tried larger
+            if len(found) > ROUNDS:  # cells that lie; the documents that aren't empty are tried larger
                 break
-        clean = ~((self.count != 0) | (self.key != 0)).reshape(self.n_docs, self.cells).any(axis=1)
+        clean = ~((self.count != 0) | (self.key != 0) | (self.check != 0)).reshape(self.n_docs, self.cells).any(axis=1)
         if not found:
             found.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
         return (*(np.concatenate(x) for x in zip(*found, strict=True)), clean)
 
 
 def differences(a: Digests, b: Digests, base: int = BASE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per document: digests that only ``a`` has and that only ``b`` has, recovered by peeling."""
+    """Per document: digests that only ``a`` has and that only ``b`` has, recovered by peeling.
+
+    What can't be peeled is sketched four times larger, up to four cells a digest; a document that isn't recovered there
+    either (cells that lie) is told apart by its sorted digests, so that this ends whatever the digests are.
+    """
     out: list = [None] * a.n_docs
     left, cells = np.arange(a.n_docs), base
     while len(left):
+        large = cells > base + 16 * (a.sizes[left] + b.sizes[left])
+        for i in left[large]:
+            own, other = a.of_text(i), b.of_text(i)
+            out[i] = np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)
+        left = left[~large]
         own_a, own_b = a.only(left), b.only(left)
         sketch_a, sketch_b = Sketches(len(left), cells), Sketches(len(left), cells)
         sketch_a.add(own_a.doc, own_a.digest)

@@ -35,6 +35,36 @@ def test_cells_are_words_of_a_line():
     assert sets(one, 0) == sets(one, 1)
 
 
+def test_equal_digests_end():
+    """Cells whose masked digests agree, in one version only, and a check value that lies."""
+    a = iblt.Digests.of(np.array([0, 0, 0, 1]), np.array([5, 5 + (1 << 40), 9, 7]), 2)
+    b = iblt.Digests.of(np.array([0, 1]), np.array([9, 7]), 2)
+    assert a.sizes.tolist() == [2, 1]
+    (only_a, only_b), (c, d) = iblt.differences(a, b)
+    assert only_a.tolist() == [5] and not len(only_b) and not len(c) and not len(d)
+
+
+def test_what_cannot_be_peeled_is_told_apart_exactly(monkeypatch):
+    monkeypatch.setattr(iblt.Sketches, "peel", lambda s: (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(s.n_docs, bool)))
+    a, b = iblt.Digests([b"one\ntwo\nthree", b""]), iblt.Digests([b"two\nfour", b""])
+    for i, (only_a, only_b) in enumerate(iblt.differences(a, b)):
+        assert set(only_a.tolist()) == sets(a, i) - sets(b, i) and set(only_b.tolist()) == sets(b, i) - sets(a, i)
+
+
+def test_a_million_lines():
+    a, b = iblt.Digests([b"\n".join(b"%d" % i for i in range(1_000_000))]), iblt.Digests([b"x"])
+    assert iblt.likeness(a, b)[0] == 0.0 and abs(int(a.sizes[0]) - 1_000_000) < 10
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n", max_size=300), min_size=1, max_size=4), st.integers(8, 60))
+def test_ranges_give_the_same_cells(texts, size):
+    texts = [t.encode() for t in texts]
+    want, got = iblt.cell_hashes(texts), iblt.cell_hashes(texts, size)
+    for i in range(len(texts)):
+        assert got[1][got[0] == i].tolist() == want[1][want[0] == i].tolist()
+
+
 def test_sketches_subtract():
     a, b = iblt.Digests([b"one line\nanother"]), iblt.Digests([b"one line\na third"])
     sa, sb = iblt.Sketches(1, 24), iblt.Sketches(1, 24)
