@@ -1,7 +1,8 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 A fingerprint has bit i set if more than half of the document's shingle hashes do.
-Two fingerprints within radius r share a variant within r/2 of both, so every
+Two fingerprints within radius r share a variant within r/2 of both (of an odd
+radius, within the half rounded down of one and rounded up of the other), so every
 distinct fingerprint emits all its variants within half the radius, variants are
 shuffled, and colliding pairs are deduplicated and verified.
 
@@ -12,9 +13,10 @@ and there those of its variants that have this prefix are made. The length of th
 prefix follows the number of distinct fingerprints, so the variants of a partition
 stay bounded, and the copies of a fingerprint grow as the square of the logarithm.
 
-Fingerprints that share a variant are within r of each other, so a partition may
-return a spanning forest of its verified pairs instead of all of them: components
-lose nothing, and a large group of near copies costs a link per member.
+Fingerprints that share a variant are within r of the one that is nearest to it,
+so a partition may return a spanning forest of its verified pairs instead of all of
+them: components lose nothing, and a large group of near copies costs a link per
+member.
 
 Defined results: null text is the empty text; texts without words have fingerprint
 zero, which links like any other; rows that repeat join one component; a row with
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from graphspark.llm._batches import column, slices, utf8
+from graphspark.llm._salting import join_groups
 from graphspark.operators.connectivity import component_labels
 from graphspark.session import ensure_importable, materialize
 
@@ -111,24 +114,33 @@ def spanning_forest(pairs: np.ndarray, n: int) -> np.ndarray:
 
 def colliding(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bits: int = 64) -> np.ndarray:
     """Links, as two columns of fingerprints, between those of ``fps`` that share a variant with this prefix."""
-    half, low_bits = radius // 2, bits - prefix_bits
+    half, low_bits = (radius + 1) // 2, bits - prefix_bits
     fps = np.unique(fps)
     low_mask = np.uint64((1 << low_bits) - 1)
     away = np.bitwise_count((fps >> np.uint64(low_bits)) ^ np.uint64(prefix)) if prefix_bits else np.zeros(len(fps), dtype=np.uint8)
-    slots, owners = [], []
+    slots, owners, far = [], [], []
     for used in range(half + 1):  # bits spent on the prefix; the rest may go to the low bits
         at = np.flatnonzero(away == used)
         masks = ball(low_bits, half - used)
         slots.append(((fps[at] & low_mask)[:, None] ^ masks[None, :]).reshape(-1))
         owners.append(np.repeat(at.astype(np.int32), len(masks)))
+        if radius % 2:
+            far.append(np.tile(np.bitwise_count(masks) + used > radius // 2, len(at)))
     slot, owner = np.concatenate(slots), np.concatenate(owners)
     del slots, owners
-    order = np.argsort(slot)
+    if radius % 2:  # the owners that are nearer to a variant come first
+        far = np.concatenate(far)
+        order = np.lexsort((far, slot))
+        far = far[order]
+    else:
+        order = np.argsort(slot)
     slot, owner = slot[order], owner[order]
-    same = np.flatnonzero(slot[1:] == slot[:-1])
-    if not len(same):
+    same = np.concatenate(([False], slot[1:] == slot[:-1]))[: len(slot)]
+    hub = np.maximum.accumulate(np.where(same, 0, np.arange(len(slot))))
+    other = np.flatnonzero(same & ~far[hub]) if radius % 2 else np.flatnonzero(same)
+    if not len(other):
         return np.zeros((0, 2), dtype=np.uint64)
-    a, b = owner[same], owner[same + 1]
+    a, b = owner[hub[other]], owner[other]
     keys = np.unique(np.minimum(a, b) * np.int64(len(fps)) + np.maximum(a, b))
     pairs = np.stack([keys // len(fps), keys % len(fps)], axis=1)
     near = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius
@@ -137,11 +149,12 @@ def colliding(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bits:
 
 def links_under(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bits: int = 64, part: int = PART) -> np.ndarray:
     """As ``colliding``, in memory of about ``part`` variants: a prefix that too many fingerprints reach is gone through in halves."""
+    half = (radius + 1) // 2
     if prefix_bits:
-        fps = fps[np.bitwise_count((fps >> np.uint64(bits - prefix_bits)) ^ np.uint64(prefix)) <= radius // 2]
+        fps = fps[np.bitwise_count((fps >> np.uint64(bits - prefix_bits)) ^ np.uint64(prefix)) <= half]
     low = bits - prefix_bits
     close = np.count_nonzero(fps >> np.uint64(low) == np.uint64(prefix)) if prefix_bits else len(fps)
-    if close * len(ball(low, radius // 2)) > 2 * part and prefix_bits < bits // 2:
+    if close * len(ball(low, half)) > 2 * part and prefix_bits < bits // 2:
         return np.concatenate([links_under(fps, prefix * 2 + b, prefix_bits + 1, radius, bits, part) for b in (0, 1)])
     return colliding(fps, prefix, prefix_bits, radius, bits)
 
@@ -150,7 +163,7 @@ def near_links(distinct: DataFrame, radius: int = 4, bits: int = 64, part: int =
     """Links (a, b) that connect all fingerprints of column ``fp`` (distinct longs) within ``radius``, or a forest of them per partition."""
     spark = distinct.sparkSession
     ensure_importable(spark)
-    n, half = distinct.count(), radius // 2
+    n, half = distinct.count(), (radius + 1) // 2
     variants = n * len(ball(bits, half))
     prefix_bits = min(20, max(0, (variants // part).bit_length()))
     near = [int(m) for m in ball(prefix_bits, half)]
@@ -169,16 +182,14 @@ def near_links(distinct: DataFrame, radius: int = 4, bits: int = 64, part: int =
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words: int = 4) -> DataFrame:
     """id, fingerprint (16 hexadecimal digits) and component_id, the least id reachable."""
     printed = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    firsts = materialize(printed.groupBy("fp").agg(F.min(id_col).alias("first")), "fps")
+    firsts = materialize(printed.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "fps")
     labels = materialize(component_labels(near_links(firsts.select("fp"), radius)), "labels")
     # The least id of a component of several fingerprints, then of every fingerprint.
     linked = firsts.join(labels, firsts["fp"] == labels["node"])
     least = linked.groupBy("label").agg(F.min("first").alias("least"))
-    named = firsts.join(labels.join(least, "label").select(F.col("node").alias("fp"), "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    # One fingerprint may be that of a third of all documents: its rows are dealt over SALTS keys.
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return printed.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["fp", "salt"]).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = firsts.join(labels.join(least, "label").select(F.col("node").alias("fp"), "least"), "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    return join_groups(printed, named, "fp", per_key=ROWS_PER_KEY).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Keys over which the documents of one fingerprint are dealt when they get their component.
-SALTS = 8
+#: Documents of one fingerprint that get their component under one key: a larger group is dealt over several.
+ROWS_PER_KEY = 1_000_000

@@ -11,7 +11,9 @@ files through Spark's binaryFile source.
 
 Defined results: null html is the empty payload; repeated ids each get a record;
 records of equal payloads of at least ``revisit_from`` bytes revisit the one with
-the largest id (rows that repeat that id are all responses); an empty table gives no archive; other columns are ignored.
+the largest id (rows that repeat that id are all responses); a record is built and
+read as a whole, so a payload of any length costs a few times its length in memory;
+an empty table gives no archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.llm._batches import slices, utf8, values
+from graphspark.llm._salting import join_groups
 from graphspark.session import ensure_importable, materialize
 
 CHUNK = 4 << 20
-#: Keys over which the copies of one payload are dealt.
-SALTS = 32
+#: Copies of one payload that one key holds: a larger group is dealt over several.
+PAGES_PER_KEY = 2_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -128,11 +131,10 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     digest = F.when(F.octet_length("html") >= revisit_from, F.sha1(F.col("html").cast("binary")))
     # Only digests that occur more than once are joined to; a page that is alone or short has a key of its own, and the
-    # pages of one digest are dealt over SALTS keys, so that neither nulls nor a large group of copies meet in one task.
+    # pages of one digest are dealt over keys by their number, so that neither nulls nor a large group of copies meet in one task.
     groups = page.select("page_id", digest.alias("digest")).where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    salted = groups.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    keyed = page.select("page_id", "url", "html", F.coalesce(digest, F.concat(F.lit("-"), F.hex(F.xxhash64("page_id", "url")))).alias("digest"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    linked = keyed.join(salted, ["digest", "salt"], "left")
+    keyed = page.select("page_id", "url", "html", F.coalesce(digest, F.concat(F.lit("-"), F.hex(F.xxhash64("page_id", "url")))).alias("digest"))
+    linked = join_groups(keyed, materialize(groups, "copies"), "digest", PAGES_PER_KEY, "left")
 
     def written(batches):
         task, chunk, held, size = TaskContext.get().partitionId(), 0, [], 0
