@@ -30,7 +30,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.texts_as_media(table(spark, sf_dir, "documents"), with_media=False)
+    return media.texts_as_media(table(spark, sf_dir, "documents")).drop("tile")
 
 
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -27,27 +28,48 @@ def test_area_resize(shape, monkeypatch):
     assert np.allclose(media.area_resize(RGB, *shape), want)
 
 
+def samples(data):
+    return media.decode_image(data)[0]
+
+
 def test_netpbm():
     body = " ".join(map(str, GREY.reshape(-1)))
-    assert (media.decode_image(b"P5 # a comment\n7 5\n255\n" + GREY.tobytes()) == GREY).all()
-    assert (media.decode_image(b"P6\n7 5 255\n" + RGB.tobytes()) == RGB).all()
-    assert (media.decode_image(f"P2\n7 5\n255\n{body}".encode()) == GREY).all()
-    assert (media.decode_image(("P3\n7 5\n255\n" + " ".join(map(str, RGB.reshape(-1)))).encode()) == RGB).all()
-    assert media.decode_image(b"P1\n3 2\n101\n0 1 0")[:, :, 0].tolist() == [[0, 1, 0], [1, 0, 1]]
-    assert media.decode_image(b"P4\n3 2\n" + bytes([0b10100000, 0b01000000]))[:, :, 0].tolist() == [[0, 1, 0], [1, 0, 1]]
-    assert (media.decode_image(b"P7\nWIDTH 7\nHEIGHT 5\nDEPTH 3\nMAXVAL 255\nTUPLTYPE RGB\nENDHDR\n" + RGB.tobytes()) == RGB).all()
+    assert (samples(b"P5 # a comment\n7 5\n255\n" + GREY.tobytes()) == GREY).all()
+    assert (samples(b"P6\n7 5 255\n" + RGB.tobytes()) == RGB).all()
+    assert (samples(f"P2\n7 5\n255\n{body}".encode()) == GREY).all()
+    assert (samples(("P3\n7 5\n255\n" + " ".join(map(str, RGB.reshape(-1)))).encode()) == RGB).all()
+    assert samples(b"P1\n3 2\n101\n0 1 0")[:, :, 0].tolist() == [[0, 1, 0], [1, 0, 1]]
+    assert samples(b"P4\n3 2\n" + bytes([0b10100000, 0b01000000]))[:, :, 0].tolist() == [[0, 1, 0], [1, 0, 1]]
+    assert (samples(b"P7\nWIDTH 7\nHEIGHT 5\nDEPTH 3\nMAXVAL 255\nTUPLTYPE RGB\nENDHDR\n" + RGB.tobytes()) == RGB).all()
     wide = GREY.astype(np.uint16) * 257
-    assert (media.decode_image(b"P5\n7 5\n65535\n" + wide.astype(">u2").tobytes()) == wide).all()
+    assert (samples(b"P5\n7 5\n65535\n" + wide.astype(">u2").tobytes()) == wide).all()
 
 
-def test_bmp():
-    assert (media.decode_image(media.encode_bmp(RGB)) == RGB).all()
-    import struct
+@pytest.mark.parametrize(("head", "body", "want"), [(b"P5\n1 1\n15\n", b"\x0f", 255), (b"P5\n1 1\n15\n", b"\x03", 51), (b"P5\n1 1\n65535\n", b"\x01\x01", 1), (b"P5\n1 1\n255\n", b"\x01", 1), (b"P4\n1 1\n", b"\x00", 255)])
+def test_white_is_the_files_maximal_value(head, body, want):
+    image, top = media.decode_image(head + body)
+    assert np.load(io.BytesIO(media.npy_tile(image, 1, top))).reshape(-1).tolist() == [want]
+
 
+def bmp(bits, body, w, h, packed=0, extra=b""):
+    return b"BM" + struct.pack("<IHHI", 54 + len(extra) + len(body), 0, 0, 54 + len(extra)) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, packed, len(body), 0, 0, 2 if bits == 1 else 0, 0) + extra + body
+
+
+def test_bmp():
+    assert (samples(media.encode_bmp(RGB)) == RGB).all()  # 24 bits, bottom-up, padded rows
     palette = bytes([0, 0, 255, 0, 0, 255, 0, 0])  # red, green
-    one = b"BM" + struct.pack("<IHHI", 70, 0, 0, 62) + struct.pack("<IiiHHIIiiII", 40, 3, -2, 1, 1, 0, 8, 0, 0, 2, 0) + palette + bytes([0b01000000, 0, 0, 0, 0b10100000, 0, 0, 0])
-    image = media.decode_image(one)
+    image = samples(bmp(1, bytes([0b01000000, 0, 0, 0, 0b10100000, 0, 0, 0]), 3, -2, extra=palette))
     assert image[0].tolist() == [[255, 0, 0], [0, 255, 0], [255, 0, 0]] and image[1].tolist() == [[0, 255, 0], [255, 0, 0], [0, 255, 0]]
+    greys = b"".join(bytes([i * 17] * 3 + [0]) for i in range(16))
+    assert samples(bmp(4, bytes([0x1F, 0x30, 0, 0, 0x02, 0x40, 0, 0]), 3, 2, extra=greys))[:, :, 0].tolist() == [[0, 34, 68], [17, 255, 51]]
+    assert samples(bmp(32, bytes([1, 2, 3, 9, 4, 5, 6, 9]), 2, 1))[0].tolist() == [[3, 2, 1], [6, 5, 4]]
+    masks = struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)  # red first
+    assert samples(bmp(32, bytes([1, 2, 3, 9]), 1, 1, 3, masks))[0].tolist() == [[1, 2, 3]]
+    assert samples(bmp(16, struct.pack("<HH", 0x7C00, 0x03FF), 2, 1))[0].tolist() == [[255, 0, 0], [0, 255, 255]]
+    assert samples(bmp(16, struct.pack("<HH", 0xF800, 0x07E0), 2, 1, 3, struct.pack("<III", 0xF800, 0x7E0, 0x1F)))[0].tolist() == [[255, 0, 0], [0, 255, 0]]
+    for bad in (bmp(8, b"", 1, 1, 1), bmp(24, b"", 5, 5), bmp(2, bytes(4), 1, 1)):
+        with pytest.raises(ValueError):
+            media.decode_image(bad)
 
 
 def test_difference_hash_and_tile():
@@ -74,7 +96,10 @@ def test_whole_query_on_odd_rows(spark):
         want.append((row[0], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted([(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out], key=key) == sorted(want, key=key)
+    stored = {hashlib.sha256(r.media).hexdigest(): bytes(r.media) for r in media.store_texts(docs(spark)).collect()}
     for r in out:
-        assert hashlib.sha256(r.media).hexdigest() == r.media_sha256 and len(r.media) == r.media_bytes
+        image, top = media.decode_image(stored[r.media_sha256])
+        assert len(stored[r.media_sha256]) == r.media_bytes
+        assert bytes(r.tile) == media.npy_tile(image, 16, top) and r.feature.startswith(media.difference_hash(image))
         assert by_text.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
     assert media.texts_as_media(nothing(spark)).count() == 0
