@@ -48,6 +48,30 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in arr.cast(pa.large_binary() if pa.types.is_large_string(arr.type) else pa.binary()).to_pylist()]
 
 
+def byte_list(words: pa.Array) -> list[bytes]:
+    """A binary array whose values hold no space, as a list."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b" ")[0].as_py().split(b" ") if len(words) else []
+
+
+def ranges(text: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of a text of at most ``size`` bytes, cut after white space; a run without any that is longer than
+    ``size`` is cut between two characters."""
+    start = 0
+    while start < len(text):
+        end = start + size
+        if end >= len(text):
+            yield start, len(text)
+            return
+        last = max(text.rfind(c, start, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if last > start:
+            end = last + 1
+        else:
+            while end > start + 1 and text[end] & 0xC0 == 0x80:
+                end -= 1
+        yield start, end
+        start = end
+
+
 def avalanche(h: np.ndarray) -> np.ndarray:
     """Mix 64-bit hashes (finalizer of splitmix64)."""
     h = h.astype(np.uint64, copy=True)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphspark.llm._batches import column, slices
+from graphspark.llm._batches import byte_list, column, slices
 from graphspark.session import ensure_importable, materialize, release
 
 #: Pieces that are sorted by length at a time; memory of a packer is bounded by this and its open bins.
@@ -133,8 +133,7 @@ class WordIds:
                 return np.concatenate([*rest[: found > 0], np.array([*own, self.END_ID], dtype="<u4"), *rest[found > 0 :]])
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(low, pattern=self.CUT, replacement=r"\1 \2"))
         ends, words = split.offsets.to_numpy()[1:], split.values.dictionary_encode()
-        names = words.dictionary.cast(pa.binary())
-        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), b"\n")[0].as_py().split(b"\n") if len(names) else []
+        distinct = byte_list(words.dictionary.cast(pa.binary()))
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
         known = self.known

@@ -10,40 +10,45 @@ spelled by its byte pieces.
 A vocabulary whose scores aren't log-probabilities (merge ranks) is read by Zipf's
 law: rank r weighs 1 / (r + 2.7).
 
-What the corpus adds: a word that training documents hold has one more arc, the
-whole word, which weighs c / N times
-the mass of known words. The mass that is left to the pieces is
-Good and Turing's, the share of words that occur once. The vocabulary's scores are
-a prior that counts for PRIOR pieces; expectation-maximisation steps over the word
-counts of all training documents, each occurrence against the counts without it,
-fit the pieces to what whole-word arcs don't explain (``fit_steps=0`` leaves the
-vocabulary's weights as they are).
+What the corpus adds: the vocabulary's scores are a prior that counts for PRIOR
+pieces, and expectation-maximisation steps over the word counts of all training
+documents fit the pieces to them (``fit_steps=0`` leaves the vocabulary's weights as
+they are). The probability of every word comes from the lattice of pieces.
+``word_arcs`` is an option that the registered query leaves off: a word that training
+documents hold then has one more arc, the whole word, which weighs c / N times the
+mass of known words; the pieces keep the mass that Good and Turing leave to unseen
+words, the share of words that occur once, and are fitted to what the arcs of the
+other occurrences don't explain.
 
 Counts are exact over all documents: each partition counts its words before the
 shuffle. To score texts, words that make up at least 1 / HOT of all tokens (so at
 most HOT words) go to every worker; the others are joined by word, one row per
 document and word.
 
+A long word's lattice isn't held whole: the recursion goes through its arcs in ranges
+and keeps one number a byte.
+
 Defined results: null text is the empty text, which is scored as its end alone;
 without training documents every word is unknown and the pieces keep the
 vocabulary's own weights; rows that repeat, null ids and equal ids are scored each
-on its own; other columns are ignored.
+on its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphspark.llm._batches import column, crc_remainder_sql, prefix_sums, slices, span_hashes, utf8, values
-from graphspark.session import ensure_importable, materialize
+from graphspark.llm._batches import byte_list, column, crc_remainder_sql, prefix_sums, slices, span_hashes, values
+from graphspark.session import ensure_importable, materialize, release
 
 MARK = "▁"
 PRIOR = 1_000.0
@@ -51,8 +56,12 @@ HOT = 60_000
 FLUSH = 400_000
 FLOOR = -1e30
 WORDS_PER_TASK = 50_000
+#: Distinct words that a partition of the join with the texts holds.
+WORDS_PER_JOIN = 200_000
 #: Slots of the table of pieces, and entries of a batch of lattices.
 SLOTS, GRID = 1 << 18, 1 << 20
+#: Longest word whose lattice is held whole, and the bytes of a longer one whose arcs are held at a time.
+LONG, RANGE = 2_048, 1 << 14
 
 
 class Pieces:
@@ -124,8 +133,12 @@ class Pieces:
         lengths = np.array([len(w) + 1 for w in words])
         order, at = np.argsort(lengths, kind="stable"), 0
         while at < len(order):
+            if lengths[order[at]] > LONG:
+                yield order[at : at + 1], LongLattice(self, words[order[at]])
+                at += 1
+                continue
             n = max(1, min(2048, len(order) - at))
-            while n > 1 and n * (t := int(lengths[order[at + n - 1]])) * min(t, self.longest) > GRID:
+            while n > 1 and ((t := int(lengths[order[at + n - 1]])) > LONG or n * t * min(t, self.longest) > GRID):
                 n //= 2
             yield order[at : at + n], Lattice(self, [words[i] for i in order[at : at + n]])
             at += n
@@ -134,18 +147,19 @@ class Pieces:
         """Natural logarithms of the words' marginal probabilities over all segmentations."""
         out = np.empty(len(words))
         for numbers, lattice in self.batches(words):
-            out[numbers] = lattice.forward()[np.arange(len(numbers)), lattice.lengths]
+            out[numbers] = lattice.totals()
         return out
 
-    def add_expected(self, words: list[bytes], c: np.ndarray, n_words: int, novel: float, expected: np.ndarray) -> None:
-        """Expected counts of pieces in words' ``c`` occurrences among ``n_words``, each held against the whole-word arc of the others."""
+    def add_expected(self, words: list[bytes], c: np.ndarray, expected: np.ndarray, n_words: int = 0, novel: float = 1.0) -> None:
+        """Expected counts of pieces in words' ``c`` occurrences among ``n_words``; with a mass of the pieces (``novel``) under 1,
+        each occurrence is held against the whole-word arc of the others."""
         for numbers, lattice in self.batches(words):
-            own = c[numbers].astype(np.float64)
-            alpha = lattice.forward()
-            total = alpha[np.arange(len(numbers)), lattice.lengths]
-            with np.errstate(divide="ignore"):
-                whole = np.log((1 - novel) * (own - 1) / n_words)
-            lattice.add_expected(alpha, own * np.exp(-np.logaddexp(0, whole - math.log(novel) - total)), expected)
+            times = c[numbers].astype(np.float64)
+            if novel < 1:
+                with np.errstate(divide="ignore"):
+                    whole = np.log((1 - novel) * (times - 1) / n_words)
+                times = times * np.exp(-np.logaddexp(0, whole - math.log(novel) - lattice.totals()))
+            lattice.add_expected(times, expected)
 
 
 class Lattice:
@@ -170,9 +184,8 @@ class Lattice:
         self.weights = np.where(self.ids >= 0, pieces.logp[self.ids], -np.inf)
         # a character that is no piece has one arc, its byte pieces'
         lead = grid[:, : self.top]
-        width = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
-        begins = inside & ((lead & 0xC0) != 0x80)
-        width = np.where(begins, np.minimum(width, self.lengths[:, None] - np.arange(self.top)), 1)
+        begins, width = characters(lead, self.lengths[:, None] - np.arange(self.top))
+        begins &= inside
         rows, firsts = np.nonzero(begins & (np.take_along_axis(self.ids, np.minimum(width, self.reach)[:, :, None] - 1, axis=2)[:, :, 0] < 0))
         self.bytewise = []
         for r, f in zip(rows.tolist(), firsts.tolist(), strict=True):
@@ -180,21 +193,26 @@ class Lattice:
             spelled = pieces.byte_ids[grid[r, f : f + w]] if pieces.byte_ids is not None else np.zeros(0, dtype=np.int64)
             self.weights[r, f, w - 1] = pieces.logp[spelled].sum() if len(spelled) else FLOOR
             self.bytewise.append((r, f, w, spelled))
+        self.alpha: np.ndarray | None = None
 
     def forward(self) -> np.ndarray:
         """By word and end: the logarithm of the summed weight of all ways to get there."""
-        alpha = np.full((len(self.lengths), self.top + 1), -np.inf)
-        alpha[:, 0] = 0
-        k = np.arange(self.reach)
-        for j in range(1, self.top + 1):
-            n = min(j, self.reach)
-            alpha[:, j] = log_sum(alpha[:, j - 1 - k[:n]] + self.weights[:, j - 1 - k[:n], k[:n]])
-        return alpha
-
-    def add_expected(self, alpha: np.ndarray, times: np.ndarray, expected: np.ndarray) -> None:
+        if self.alpha is None:
+            alpha = np.full((len(self.lengths), self.top + 1), -np.inf)
+            alpha[:, 0] = 0
+            k = np.arange(self.reach)
+            for j in range(1, self.top + 1):
+                n = min(j, self.reach)
+                alpha[:, j] = log_sum(alpha[:, j - 1 - k[:n]] + self.weights[:, j - 1 - k[:n], k[:n]])
+            self.alpha = alpha
+        return self.alpha
+
+    def totals(self) -> np.ndarray:
+        return self.forward()[np.arange(len(self.lengths)), self.lengths]
+
+    def add_expected(self, times: np.ndarray, expected: np.ndarray) -> None:
         """Adds ``times`` the posterior of every arc to the counts of its piece."""
-        rows = np.arange(len(self.lengths))
-        total = alpha[rows, self.lengths]
+        alpha, total, rows = self.forward(), self.totals(), np.arange(len(self.lengths))
         beta = np.full((len(rows), self.top + self.reach + 1), -np.inf)
         beta[rows, self.lengths] = 0
         for t in range(self.top - 1, -1, -1):
@@ -207,6 +225,92 @@ class Lattice:
             np.add.at(expected, spelled, np.exp(min(0.0, alpha[r, t] + self.weights[r, t, w - 1] + beta[r, t + w] - total[r])) * times[r])
 
 
+class LongLattice:
+    """The lattice of one long word. Its arcs are found range by range, as often as they are needed."""
+
+    def __init__(self, pieces: Pieces, word: bytes):
+        self.pieces, self.data = pieces, np.frombuffer(b" " + word, dtype=np.uint8)
+        self.alpha: np.ndarray | None = None
+
+    def arcs(self, a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, end, piece, weight) of the arcs that begin in [a, a + RANGE), by first byte; the arc of a character that
+        its bytes spell has piece -1."""
+        p, n = self.pieces, len(self.data)
+        b = min(a + RANGE, n)
+        part = self.data[a : min(b + p.longest, n)]
+        prefix, first = prefix_sums(part), np.arange(b - a)
+        starts, ends, ids = [], [], []
+        found = np.full((b - a, 4), -1, dtype=np.int64)
+        for k in range(1, p.longest + 1):
+            s = first[first + k <= len(part)]
+            i = p.find(span_hashes(part, s, s + k, prefix))
+            if k <= 4:
+                found[: len(s), k - 1] = i
+            has = i >= 0
+            starts.append(s[has])
+            ends.append(s[has] + k)
+            ids.append(i[has])
+        begins, width = characters(part[: b - a], n - a - first)
+        width = np.minimum(width, p.longest)
+        alone = first[begins & (found[first, np.minimum(width, 4) - 1] < 0)]
+        starts.append(alone)
+        ends.append(alone + width[alone])
+        ids.append(np.full(len(alone), -1))
+        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids).astype(np.int64)
+        weight = np.where(piece >= 0, p.logp[piece], FLOOR)
+        if p.byte_ids is not None and len(alone):
+            sums = np.concatenate(([0.0], np.cumsum(p.logp[p.byte_ids[part]])))
+            at = slice(len(start) - len(alone), None)
+            weight[at] = sums[end[at]] - sums[start[at]]
+        order = np.argsort(start, kind="stable")
+        return start[order] + a, end[order] + a, piece[order], weight[order]
+
+    def forward(self) -> np.ndarray:
+        if self.alpha is None:
+            alpha = array("d", [-math.inf]) * (len(self.data) + 1)
+            alpha[0] = 0.0
+            for a in range(0, len(self.data), RANGE):
+                start, end, _, weight = self.arcs(a)
+                for s, e, w in zip(start.tolist(), end.tolist(), weight.tolist(), strict=True):
+                    alpha[e] = log_add(alpha[e], alpha[s] + w)
+            self.alpha = np.frombuffer(alpha, dtype=np.float64)
+        return self.alpha
+
+    def totals(self) -> np.ndarray:
+        return self.forward()[-1:]
+
+    def add_expected(self, times: np.ndarray, expected: np.ndarray) -> None:
+        alpha, p = self.forward(), self.pieces
+        beta = array("d", [-math.inf]) * (len(self.data) + 1)
+        beta[len(self.data)] = 0.0
+        for a in range((len(self.data) - 1) // RANGE * RANGE, -1, -RANGE):
+            start, end, piece, weight = self.arcs(a)
+            for s, e, w in zip(start[::-1].tolist(), end[::-1].tolist(), weight[::-1].tolist(), strict=True):
+                beta[s] = log_add(beta[s], beta[e] + w)
+            b = np.frombuffer(beta, dtype=np.float64)
+            share = np.exp(np.minimum(0, alpha[start] + weight + b[end] - alpha[-1])) * times[0]
+            own = piece >= 0
+            expected += np.bincount(piece[own], weights=share[own], minlength=len(expected))
+            if p.byte_ids is not None:
+                for s, e, x in zip(start[~own].tolist(), end[~own].tolist(), share[~own].tolist(), strict=True):
+                    np.add.at(expected, p.byte_ids[self.data[s:e]], x)
+            del b
+
+
+def characters(lead: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where characters begin, and how many bytes each has, no more than are left; broken ones have one."""
+    width = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    begins = (lead & 0xC0) != 0x80
+    return begins, np.where(begins, np.maximum(1, np.minimum(width, left)), 1)
+
+
+def log_add(x: float, y: float) -> float:
+    """log of the sum of two exponentials."""
+    if x < y:
+        x, y = y, x
+    return x if y == -math.inf else x + math.log1p(math.exp(y - x))
+
+
 def log_sum(x: np.ndarray) -> np.ndarray:
     """log of the sum of exponentials over the last axis."""
     top = x.max(axis=1)
@@ -215,32 +319,53 @@ def log_sum(x: np.ndarray) -> np.ndarray:
         return safe + np.log(np.exp(x - safe[:, None]).sum(axis=1))
 
 
+def split_words(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of words of each text, number of each word among the distinct ones, the distinct words as bytes); A-Z in lower case."""
+    low = pc.ascii_lower(pc.fill_null(column(batch, text), ""))
+    # white space goes at both ends first, so that no empty words come of it
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(low))
+    words = split.values.dictionary_encode()
+    counts = np.where(pc.equal(pc.ascii_trim_whitespace(low), "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(split).to_numpy())
+    at, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.cast(pa.binary())
+    lengths = pc.list_value_length(split).to_numpy()
+    if (counts != lengths).any():  # a text without words has one, the empty one
+        at = at[np.repeat(counts == lengths, lengths)]
+    return counts.astype(np.int64), at.astype(np.int64), names
+
+
+def summed(tables: list[pa.Table]) -> pa.Table:
+    """Counts of words, added up."""
+    out = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("c", "sum"), ("all", "sum")])
+    return out.select(["word", "c_sum", "all_sum"]).rename_columns(["word", "c", "all"])
+
+
 def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
     """(word, c, all): occurrences in training documents and in all; words are lower-cased UTF-8."""
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("all", pa.int64())])
 
     def counted(batches):
-        own, rest = Counter(), Counter()
-
-        def flush():
-            words = list(own.keys() | rest.keys())
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([own[w] for w in words], pa.int64()), pa.array([own[w] + rest[w] for w in words], pa.int64())], schema=schema)
-
-        for batch in slices(batches, text):
-            for body, of in zip(utf8(batch, text), values(batch, train), strict=True):
-                (own if of else rest).update(body.lower().split())
-            if len(own) + len(rest) > FLUSH:
-                yield flush()
-                own.clear()
-                rest.clear()
-        if own or rest:
-            yield flush()
+        held: list[pa.Table] = []
+        rows = 0
+        for batch in slices(batches, text, rows=1 << 16):
+            n, at, names = split_words(batch, text)
+            every = np.bincount(at, minlength=len(names))
+            own = np.bincount(at[np.repeat(column(batch, train).to_numpy(zero_copy_only=False), n)], minlength=len(names))
+            seen = np.flatnonzero(every)
+            held.append(pa.table({"word": names.take(pa.array(seen)), "c": pa.array(own[seen], pa.int64()), "all": pa.array(every[seen], pa.int64())}))
+            rows += len(seen)
+            if rows > 2 * FLUSH:
+                held = [summed(held)]
+                rows = held[0].num_rows
+                if rows > FLUSH:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from summed(held).to_batches()
 
     return docs.select(text, train).mapInArrow(counted, "word binary, c long, all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
 
 
 def marginals(pieces: Pieces, words: list[bytes], c: np.ndarray, n: int, novel: float) -> np.ndarray:
-    """log10 of words' probabilities: the whole-word arc and all segmentations into pieces."""
+    """log10 of words' probabilities: all segmentations into pieces and, with a mass of the pieces under 1, the whole-word arc."""
     by_pieces = math.log(novel) + pieces.log_probabilities(words)
     if novel < 1:
         with np.errstate(divide="ignore"):
@@ -258,20 +383,20 @@ def expected_counts(words: DataFrame, pieces: Pieces, n: int, novel: float) -> n
     sent = words.sparkSession.sparkContext.broadcast(pieces)
     schema = pa.schema([("piece", pa.int32()), ("n", pa.float64())])
 
-    def summed(batches):
+    def added(batches):
         expected = np.zeros(len(sent.value.logp))
         for batch in batches:
-            sent.value.add_expected(values(batch, "word"), column(batch, "c").to_numpy(), n, novel, expected)
+            sent.value.add_expected(values(batch, "word"), column(batch, "c").to_numpy(), expected, n, novel)
         at = np.flatnonzero(expected)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(expected[at])], schema=schema)
 
     out = np.zeros(len(pieces.logp))
-    for piece, k in words.mapInArrow(summed, "piece int, n double").groupBy("piece").agg(F.sum("n")).collect():
+    for piece, k in words.mapInArrow(added, "piece int, n double").groupBy("piece").agg(F.sum("n")).collect():
         out[piece] = k
     return out
 
 
-def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, fit_steps: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, fit_steps: int = 2, word_arcs: bool = False) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score per document (logarithms to base 10)."""
     spark = docs.sparkSession
     ensure_importable(spark)
@@ -282,11 +407,13 @@ def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
     types, known, once, words_in, all_in = counts.select(F.count("*"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
     n, v, tokens = words_in + ends, known + (ends > 0), all_in + all_docs
     floor = n + 0.1 * (v + 1)
-    novel = min(0.5, (once + 1) / (n + 1)) if n else 1.0  # the pieces' mass
+    novel = min(0.5, (once + 1) / (n + 1)) if n and word_arcs else 1.0  # the pieces' mass
 
     pieces = Pieces.from_sentencepiece(vocabulary_path)
     for _ in range(fit_steps if n else 0):
         expected = expected_counts(spread(counts.where("c > 0").select("word", "c"), known), pieces, n, novel)
+        if not word_arcs:
+            expected[pieces.end] += ends
         pieces = pieces.fitted(expected)
     sent = spark.sparkContext.broadcast(pieces)
 
@@ -298,6 +425,7 @@ def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([column(batch, "word"), pa.array((c > 0).astype(np.int32)), pa.array(np.log10((c + 0.1) / floor)), pa.array(marginals(sent.value, values(batch, "word"), c, n, novel)), column(batch, "all")], schema=schema)
 
     prices = materialize(spread(counts, types).mapInArrow(priced, "word binary, known int, base double, model double, all long"), "prices")
+    release(counts)
     hot = {bytes(r[0]): (r[1], r[2], r[3]) for r in prices.where(F.col("all") * HOT >= tokens).select("word", "known", "base", "model").collect()}  # at most HOT words
     hot_sent = spark.sparkContext.broadcast(hot)
     by_pieces = novel * math.exp(pieces.logp[pieces.end])
@@ -306,29 +434,40 @@ def score_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
     posting = pa.schema([("row", pa.int64()), ("__id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def split(batches):
-        """Per document one row with the sums over frequent words and the end, and one per other word."""
+        """Per document one row with the sums over frequent words and the end, and one per other word, with null elsewhere."""
         frequent, number = hot_sent.value, TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "__text", rows=256, size=1 << 20):
-            rows: list[tuple] = []
-            for doc, train, body in zip(values(batch, "__id"), values(batch, "__train"), utf8(batch, "__text"), strict=True):
-                number += 1
-                words = Counter(body.lower().split())
-                total, have, base, model = 1, end[0], end[1], end[2]
-                for w, k in words.items():
-                    price = frequent.get(w)
-                    if price is None:
-                        rows.append((number, doc, not train, w, k, 0, 0, 0.0, 0.0))
-                    else:
-                        have += k * price[0]
-                        base += k * price[1]
-                        model += k * price[2]
-                    total += k
-                rows.append((number, doc, not train, b" %d" % number, 0, total, have, base, model))  # no word has a space
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), posting, strict=True)], schema=posting)
+        for batch in slices(batches, "__text", rows=4096, size=2 << 20):
+            docs_here = batch.num_rows
+            n_words, at, names = split_words(batch, "__text")
+            # the words of each document and how often it has them
+            pairs, times = np.unique(np.repeat(np.arange(docs_here), n_words) * max(1, len(names)) + at, return_counts=True)
+            doc, word = pairs // max(1, len(names)), pairs % max(1, len(names))
+            price = [frequent.get(w) for w in byte_list(names)]
+            is_hot = np.array([p is not None for p in price], dtype=bool)
+            table = np.array([p or (0, 0.0, 0.0) for p in price], dtype=np.float64).reshape(-1, 3)
+            hot_here = is_hot[word]
+            sums = [np.bincount(doc[hot_here], weights=times[hot_here] * table[word[hot_here], k], minlength=docs_here) + end[k] for k in range(3)]
+            rows = np.arange(number + 1, number + 1 + docs_here)
+            number += docs_here
+            doc, word, times = doc[~hot_here], word[~hot_here], times[~hot_here]
+            of = np.concatenate((np.arange(docs_here), doc))
+            nothing = lambda k: np.zeros(k, dtype=np.int64)
+            none = len(doc)
+            own = pa.array([b" %d" % r for r in rows.tolist()], pa.binary())  # no word has a space
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rows[of]), column(batch, "__id").take(pa.array(of)), pa.array(~column(batch, "__train").to_numpy(zero_copy_only=False)[of]), pa.concat_arrays([own, names.take(pa.array(word))]),
+                    pa.array(np.concatenate((nothing(docs_here), times))), pa.array(np.concatenate((n_words + 1, nothing(none)))), pa.array(np.concatenate((sums[0].astype(np.int64), nothing(none)))),
+                    pa.array(np.concatenate((sums[1], np.zeros(none)))), pa.array(np.concatenate((sums[2], np.zeros(none)))),
+                ], schema=posting,
+            )
 
     rows = source.mapInArrow(split, f"row long, __id {kind.simpleString()}, held_out boolean, word binary, times long, n_tokens long, n_known long, base_score double, score double")
-    # One pass over the texts: a second one might number the rows of a shuffled input differently.
-    joined = rows.join(prices.where(F.col("all") * HOT < tokens).drop("all"), "word", "left")
+    # One pass over the texts: a second one might number the rows of a shuffled input differently. Both sides are dealt by
+    # word over as many partitions as keep the words of one in memory, so neither is sorted.
+    parts = max(8, types // WORDS_PER_JOIN + 1)
+    rare = prices.where(F.col("all") * HOT < tokens).drop("all").repartition(parts, "word")
+    joined = rows.repartition(parts, "word").join(rare.hint("shuffle_hash"), "word", "left")
     more = lambda own, price: F.sum(F.col(own) + F.col("times") * F.coalesce(price, F.lit(0))).alias(own)
     out = joined.groupBy("row", "__id", "held_out").agg(F.sum("n_tokens").alias("n_tokens"), more("n_known", "known"), more("base_score", "base"), more("score", "model"))
     return out.select(F.col("__id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

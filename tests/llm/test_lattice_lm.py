@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -64,7 +65,7 @@ def test_batches_agree_with_single_words(pieces):
 def test_expected_counts_are_posteriors(pieces, names):
     words, c, novel, n = ["thlyou", "the", "aneaer", "x日"], np.array([1, 50, 2, 1]), 0.1, 54
     got = np.zeros(len(pieces.logp))
-    pieces.add_expected([w.encode() for w in words], c, n, novel, got)
+    pieces.add_expected([w.encode() for w in words], c, got, n, novel)
     want = np.zeros(len(pieces.logp))
     for word, times in zip(words, c, strict=True):
         cuts = segmentations(word, names)
@@ -77,6 +78,53 @@ def test_expected_counts_are_posteriors(pieces, names):
     assert np.allclose(got, want)
 
 
+def test_long_words_in_ranges(pieces, monkeypatch):
+    words = [w.encode() for w in ("thlyou" * 9, "x日\U0001f9ffyüber" * 7, "the" + "\U0001f9ff" * 20, "a" * 50)] + [b"\xff\xfeab\xc3" * 12]
+    c, want, got = np.array([1, 4, 2, 9, 3]), np.zeros(len(pieces.logp)), np.zeros(len(pieces.logp))
+    totals = pieces.log_probabilities(words)
+    pieces.add_expected(words, c, want)
+    monkeypatch.setattr(lm, "LONG", 8)
+    for size in (7, 16, 1000):
+        monkeypatch.setattr(lm, "RANGE", size)
+        assert np.allclose(pieces.log_probabilities(words), totals, rtol=1e-12)
+        got[:] = 0
+        pieces.add_expected(words, c, got)
+        assert np.allclose(got, want)
+
+
+def test_memory_of_a_long_word(pieces):
+    word = (b"thlyou" * 40_000)[:200_000]
+    tracemalloc.start()
+    assert math.isfinite(pieces.log_probabilities([word])[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_score_is_that_of_plain_python(spark, pieces, names):
+    """The whole query with a fitting step: every segmentation listed, counts and sums in plain Python."""
+    texts = [(i, t) for i, t in enumerate(["The cat", "the  a x日", "a", "cat the\nA ab", "", None, "Cat x日 x日", "dog a", "dog", "the dog", "a a a cat", "ab"])]
+    train = {i: zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in texts}
+    words = {i: (t or "").lower().split() for i, t in texts}
+    counts = Counter(w for i in words if train[i] for w in words[i])
+    expected = np.zeros(len(pieces.logp))
+    expected[pieces.end] = sum(train.values())
+    weigh = lambda ids, logp: math.exp(sum(logp[k] for k in ids))
+    for w, k in counts.items():
+        cuts = segmentations(w, names)
+        total = sum(weigh(ids, pieces.logp) for ids in cuts)
+        for ids in cuts:
+            for x in ids:
+                expected[x] += k * weigh(ids, pieces.logp) / total
+    with np.errstate(divide="ignore"):
+        logp = np.log(expected + lm.PRIOR * np.exp(pieces.logp))
+    logp -= np.logaddexp.reduce(logp)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for r in lm.score_texts(df, PATH, fit_steps=1).collect():
+        want = logp[pieces.end] + sum(math.log(sum(weigh(ids, logp) for ids in segmentations(w, names))) for w in words[r.doc_id])
+        assert r.score == pytest.approx(want / math.log(10), rel=1e-9) and r.held_out != train[r.doc_id]
+
+
 def test_whole_query_on_odd_rows(spark, pieces):
     out = lm.score_texts(docs(spark), PATH).collect()
     counts, held = Counter(), {}
@@ -104,6 +152,8 @@ def test_rare_and_frequent_words_agree(spark, monkeypatch):
     """Sending words to the workers or joining them gives the same scores."""
     a = {(r.doc_id, r.n_tokens): (r.base_score, r.score, r.n_known) for r in lm.score_texts(docs(spark), PATH).collect()}
     monkeypatch.setattr(lm, "HOT", 20)
+    monkeypatch.setattr(lm, "WORDS_PER_JOIN", 5)
+    monkeypatch.setattr(lm, "FLUSH", 10)
     b = {(r.doc_id, r.n_tokens): (r.base_score, r.score, r.n_known) for r in lm.score_texts(docs(spark), PATH).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
@@ -114,3 +164,19 @@ def test_fitting_raises_held_out_probability(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     total = lambda steps: sum(r.score for r in lm.score_texts(df, PATH, fit_steps=steps).collect() if r.held_out)
     assert total(1) > total(0)
+
+
+def test_words_of_a_batch():
+    import pyarrow as pa
+
+    texts = ["", None, " ", "A b  a\n", "é É b", "\x1c x\x0b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    n, at, names = lm.split_words(batch, "t")
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in want] and [names[i].as_py() for i in at] == [w for x in want for w in x]
+
+
+def test_whole_word_arcs_are_an_option(spark):
+    df = spark.createDataFrame([(i, "zyxgrmblq common words") for i in range(40)], "doc_id long, text string")
+    total = lambda arcs: sum(r.score for r in lm.score_texts(df, PATH, word_arcs=arcs).collect())
+    assert total(True) > total(False)
