@@ -14,7 +14,8 @@ All documents of a slice are sketched and peeled together in numpy.
 
 Defined results: null text is the empty text; two texts without words are alike
 (1.0); the next document of the last is the first, of a single one itself; rows of
-one id are ordered by text, rows that repeat follow each other; null ids come last;
+one id are ordered by a hash of their text, so rows that repeat follow each other;
+null ids come last;
 a text of any length is taken whole, in ranges; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -305,7 +306,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             rows = compare(strings(batch, "__text"), strings(batch, "next_text"))
             yield pa.RecordBatch.from_arrays([pa.array(values(batch, "__id"), arrow_kind), *(pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _RESULT, strict=True))], schema=out)
 
-    dealt = source.repartitionByRange(F.desc("__id")).sortWithinPartitions(F.desc("__id"), "__text")
+    # rows of one id may be many, so a hash of the text and a row number tell them apart in the ranges
+    order = F.desc("__id"), F.col("__hash"), F.col("__row")
+    keyed = source.withColumns({"__hash": F.xxhash64("__text"), "__row": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("__id", "__text")
     done = materialize(dealt.mapInArrow(in_order, f"edge string, part int, __id {kind.simpleString()}, __text string, {_RESULT_SQL}"), "fingerprints")
     firsts = done.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("__text").alias("next_text"))
     everything = Window.orderBy("next_part")  # a number per partition
