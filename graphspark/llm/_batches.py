@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -72,6 +73,14 @@ def ranges(text: bytes, size: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+_UNBROKEN = re.compile(rb"[^ \t-\r]{4096}")
+
+
+def broken(text: bytes) -> bytes:
+    """With a space after every 4,096 bytes of a run that has no white space, so that no word is longer."""
+    return _UNBROKEN.sub(rb"\g<0> ", text)
+
+
 def avalanche(h: np.ndarray) -> np.ndarray:
     """Mix 64-bit hashes (finalizer of splitmix64)."""
     h = h.astype(np.uint64, copy=True)

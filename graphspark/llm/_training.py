@@ -3,29 +3,47 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest text, in characters, that a training sample takes (texts are scored whole, whatever their length).
-LONGEST = 20_000
+#: Characters of one text that a training sample holds by default, and the spans that a longer text gives them in.
+SAMPLE_CHARS, SPANS = 20_000, 16
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, keep_sql: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray, dict]:
-    """(texts, labels, rows per label before sampling) of about ``per_class`` documents a label value, drawn by a hash of the id.
+#: Hashes that decide on samples are taken modulo this.
+DRAWS = 1 << 40
 
-    ``keep_sql`` says which ids may be learnt from. Bounds: four times ``per_class`` labels a class, texts of at most LONGEST characters.
+
+def drawing_bound(k: int, n: int) -> int:
+    """Of ``n`` rows, those whose hash modulo DRAWS is below this are more than ``k`` but for chances not worth mentioning,
+    and not many more; the ``k`` of least hash are then taken among them."""
+    return min(DRAWS, int(DRAWS * (1.5 * k + 40) / n))
+
+
+def spans_of(text: str, chars: int) -> Column:
+    """A text of up to ``chars`` characters as it is; of a longer one SPANS spans of equal length, evenly spread from its first
+    character to its last, joined by line breaks. Only fitting looks at spans; texts are scored whole."""
+    span = max(1, chars // SPANS)
+    spread = f"transform(sequence(0, {SPANS - 1}), i -> substring(`{text}`, cast(1 + i * (length(`{text}`) - {span}) div {SPANS - 1} as int), {span}))"
+    return F.when(F.length(text) <= chars, F.col(text)).otherwise(F.expr(f"array_join({spread}, '\\n')"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, keep_sql: str, id_col: str = "doc_id", text_col: str = "text", chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, dict]:
+    """(texts, labels, rows per label before sampling) of up to ``per_class`` documents a label value, those of least hash of the id.
+
+    ``keep_sql`` says which ids may be learnt from. An id that has several labels has the greatest of them; an id that has several
+    texts gives the least of them. What comes to the driver is bounded by ``per_class`` texts a label and ``spans_of(chars)``.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(keep_sql).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     counts = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
     if not counts:
         return [], np.zeros(0), {}
-    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(label_col)), F.lit(1_000_000))
-    chosen = None
-    for label, n in sorted(counts.items()):
-        part = known.where(F.col("__label") == label).where(drawn < int(1_000_000 * min(1.0, per_class / n)) if n > per_class else F.lit(True))
-        chosen = part if chosen is None else chosen.union(part)
-    chosen = chosen.limit(4 * per_class * len(counts))
-    found = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).where(F.length("__text") <= LONGEST).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("__text").alias("__text"), F.max("__label").alias("__label"))
+    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(label_col)), F.lit(DRAWS))
+    share = F.create_map(*[x for label, n in counts.items() for x in (F.lit(label), F.lit(drawing_bound(per_class, n)))])
+    least = F.row_number().over(Window.partitionBy("__label").orderBy("__drawn", id_col))
+    chosen = known.withColumn("__drawn", drawn).where(F.col("__drawn") < share[F.col("__label")]).withColumn("__place", least).where(F.col("__place") <= per_class).select(id_col, "__label")
+    text = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).select(id_col, spans_of("__text", chars).alias("__text"))
+    found = text.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("__text").alias("__text"), F.max("__label").alias("__label"))
     rows = sorted((r[0], r[1], r[2]) for r in found.collect())
     rng = np.random.default_rng(7)
     order = rng.permutation(len(rows))

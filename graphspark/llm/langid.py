@@ -7,12 +7,17 @@ by how often each bit's classifier is right for that language; the nearest
 codeword wins, and a small lead over the second is flagged as ambiguous.
 
 Up to seven languages get the exhaustive code; more get the best of fifty random
-codes of 10 log2(k) bits. The training sample is bounded (``per_lang`` documents a
-language, drawn by a hash of the id); every document is scored on its whole text.
+codes of 10 log2(k) bits. Every language is learnt. The training sample is bounded:
+``per_lang`` documents a language, or, so that no more than SAMPLE of all languages
+are held at once, an equal share of that and at least one; those of least hash of id
+and text, and of each no more than ``chars`` characters, in spans spread over the
+whole text. Every document is scored on its whole text, in ranges of RANGE bytes.
 
 Defined results: a null text or one without letters is ``und`` with score 0; if
-nothing can be learnt every document is ``und``; rows that repeat are scored each
-on its own; a null id is in the training part; other columns are ignored.
+nothing can be learnt every document is ``und``; with a single language every text
+with letters has it; of languages at equal loss the first in order wins; rows that
+repeat are scored each on its own; equal texts have equal results; a null id is in
+the training part; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,18 +27,20 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from graphspark.llm._batches import column, crc_remainder_sql, slices, values
-from graphspark.llm._training import LONGEST, Adam, sigmoid
+from graphspark.llm._training import DRAWS, SAMPLE_CHARS, Adam, drawing_bound, sigmoid, spans_of
 from graphspark.session import ensure_importable
 
 ROWS = 1 << 12
-PER_LANG = 700
-MOST_LANGS = 4096
+PER_LANG, SAMPLE = 700, 8192
+#: Lead of the nearest codeword over the next, in mean loss a bit, below which a text is ambiguous.
 AMBIGUOUS = 0.5
+#: Bytes whose n-grams are looked at together.
+RANGE = 1 << 19
 
 _FOLD = np.full(256, 32, dtype=np.uint64)
 _FOLD[128:] = np.arange(128, 256)
@@ -41,22 +48,30 @@ for _c in range(26):
     _FOLD[[65 + _c, 97 + _c]] = 97 + _c
 
 
-def ngram_features(texts: list[bytes]) -> np.ndarray:
+def ngram_features(texts: list[bytes], size: int | None = None) -> np.ndarray:
     """Square roots of the shares of hashed n-grams; (documents, ROWS) of float32."""
-    data = _FOLD[np.frombuffer(b" ".join([b"", *texts, b"   "]), dtype=np.uint8)]
-    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    doc = np.repeat(np.arange(len(texts)), lengths) * ROWS
-    n = len(doc)
+    size = size or RANGE
+    raw = np.frombuffer(b" ".join([b"", *texts, b"   "]), dtype=np.uint8)
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+    total = int(ends[-1]) if len(texts) else 0
     out = np.zeros(len(texts) * ROWS, dtype=np.float32)
-    gram = data[:n]
-    for k in (1, 2, 3):
-        gram = (gram << np.uint64(8)) | data[k : k + n]
-        # grams within a word, or from the space before it
-        inside = data[k : k + n] != 32
-        for j in range(1, k):
-            inside &= data[j : j + n] != 32
-        row = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64)
-        out += np.bincount((doc + row)[inside], minlength=len(out)).astype(np.float32)
+    for at in range(0, total, size):  # n-grams by their first byte
+        n = min(size, total - at)
+        data = _FOLD[raw[at : at + n + 3]]
+        first, last = np.searchsorted(ends, [at, at + n - 1], side="right")
+        edges = np.concatenate(([0], np.clip(ends[first : last + 1] - at, 0, n)))
+        doc = np.repeat(np.arange(last - first + 1), np.diff(edges)) * ROWS
+        held = np.zeros((last - first + 1) * ROWS, dtype=np.float32)
+        gram = data[:n]
+        for k in (1, 2, 3):
+            gram = (gram << np.uint64(8)) | data[k : k + n]
+            # grams within a word, or from the space before it
+            inside = data[k : k + n] != 32
+            for j in range(1, k):
+                inside &= data[j : j + n] != 32
+            row = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64)
+            held += np.bincount((doc + row)[inside], minlength=len(held)).astype(np.float32)
+        out[first * ROWS : (last + 1) * ROWS] += held
     out = out.reshape(len(texts), ROWS)
     return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1))
 
@@ -124,28 +139,25 @@ def has_letter(text: str) -> bool:
     return bool(re.search("[A-Za-z]", text)) or any(c.isalpha() for c in text)
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, modulus: int = 4, held: int = 2) -> Languages:
-    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.col(lang_col).cast("string").alias("__lang")).where(F.col("__lang").isNotNull() & F.expr(f"{crc_remainder_sql('__id', modulus)} <> {held}"))
-    counts = {r[0]: r[1] for r in own.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MOST_LANGS).collect()}
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, modulus: int = 4, held: int = 2, chars: int = SAMPLE_CHARS) -> Languages:
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.col(lang_col).cast("string").alias("__lang")).where(F.col("__lang").isNotNull() & F.col("__text").isNotNull() & F.expr(f"{crc_remainder_sql('__id', modulus)} <> {held}"))
+    counts = {r[0]: r[1] for r in own.groupBy("__lang").count().collect()}  # a row a language
     if not counts:
         return Languages([], [])
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1_000_000, int(1.3e6 * per_lang / n) + 1)))])
-    drawn = own.where(F.col("__text").isNotNull() & (F.length("__text") <= LONGEST)).where(F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("lang")), F.lit(1_000_000)) < share[F.col("__lang")])
-    taken: dict[str, list[str]] = {}
-    for lang, text in sorted((r[0], r[1]) for r in drawn.select("__lang", "__text").limit(2 * per_lang * len(counts)).collect()):
-        taken.setdefault(lang, []).append(text)
-    pairs = []
-    for lang, found in taken.items():
-        found = [t for t in found if has_letter(t)]
-        pairs += [(lang, found[i]) for i in np.random.default_rng(1).permutation(len(found))[:per_lang]]
+    each = min(per_lang, max(1, SAMPLE // len(counts)))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(drawing_bound(each, n)))])
+    drawn = own.withColumn("__drawn", F.xxhash64(F.col("__id").cast("string"), "__text")).where(F.pmod("__drawn", F.lit(DRAWS)) < share[F.col("__lang")])
+    least = F.row_number().over(Window.partitionBy("__lang").orderBy("__drawn"))
+    taken = drawn.where(F.col("__text").rlike(r"\p{L}")).select("__lang", "__drawn", spans_of("__text", chars).alias("__text")).dropDuplicates(["__lang", "__drawn"]).withColumn("__place", least).where(F.col("__place") <= each)
+    pairs = sorted((r[0], r[1]) for r in taken.select("__lang", "__text").collect() if has_letter(r[1]))
     return Languages([t.encode() for _, t in pairs], [k for k, _ in pairs])
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2, per_lang: int = PER_LANG) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2, per_lang: int = PER_LANG, chars: int = SAMPLE_CHARS) -> DataFrame:
     """id, held_out, lang_pred, score, ambiguous."""
     spark = docs.sparkSession
     ensure_importable(spark)
-    sent = spark.sparkContext.broadcast(fit_languages(docs, id_col, text_col, lang_col, per_lang, modulus, held))  # ROWS x bits
+    sent = spark.sparkContext.broadcast(fit_languages(docs, id_col, text_col, lang_col, per_lang, modulus, held, chars))  # ROWS x bits
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     kind = source.schema["__id"].dataType
     schema = pa.schema([("__id", to_arrow_type(kind)), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])

@@ -9,13 +9,17 @@ words never seen before. A document is the mean of its words' vectors in both
 streams; a two-layer numpy network scores it; a temperature fitted on a part of the
 sample that the network hasn't seen calibrates the probabilities.
 
-The training sample is bounded (``per_class`` documents a label); every document is
-scored on its whole text.
+The training sample is bounded (``per_class`` documents a label, and of each no more
+than ``chars`` characters, in spans spread over the whole text); every document is
+scored on its whole text, a long one in ranges of RANGE bytes.
 
 Defined results: null text is the empty text, whose pooled vector is zero and which
 gets the network's score for it; without any labels the score is 0.5; rows that
-repeat are scored each on its own; a null id is never learnt from; other columns,
-among them lang and source, are ignored.
+repeat are scored each on its own; equal texts have equal scores; an id with several
+labels has the greatest; a null id is never learnt from; in a text of over RANGE
+bytes a run of over 4,096 bytes without white space counts as several words; an
+empty table gives an empty result; other columns, among them lang and source, are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphspark.llm._batches import SPACES, WordRuns, column, crc_remainder_sql, slices, utf8
-from graphspark.llm._training import Adam, blocks, cross_entropy, labelled_sample, sigmoid, temperature
+from graphspark.llm._batches import SPACES, WordRuns, broken, column, crc_remainder_sql, ranges, slices, utf8
+from graphspark.llm._training import SAMPLE_CHARS, Adam, blocks, cross_entropy, labelled_sample, sigmoid, temperature
 from graphspark.session import ensure_importable
 
 ROWS, DIM, NONZERO = 1 << 14, 48, 8
 HIDDEN = 24
 PER_CLASS = 1500
 FOLDS = 5
+#: Bytes of a text whose words are looked at together.
+RANGE = 1 << 19
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("a") : ord("z") + 1] = ord("a")
@@ -87,16 +93,39 @@ def word_vectors(context: np.ndarray, index: np.ndarray) -> np.ndarray:
     return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
 
 
-def pool(texts: list[bytes], vectors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Means of the words' and of the shapes' vectors; (documents, 2 * DIM)."""
+def _sums(texts: list[bytes], vectors: tuple[np.ndarray, np.ndarray], skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the words' and of the shapes' vectors, and the numbers of words; without the first ``skip`` words of a single text."""
     doc, *rows = streams(texts)
-    out = np.zeros((len(texts), 2 * DIM), dtype=np.float32)
+    doc, rows = doc[skip:], [r[skip:] for r in rows]
+    out, n = np.zeros((len(texts), 2 * DIM), dtype=np.float32), np.bincount(doc, minlength=len(texts))
     if len(doc):
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        n = np.diff(np.concatenate((first, [len(doc)])))[:, None]
         for k in (0, 1):
-            out[doc[first], k * DIM : (k + 1) * DIM] = np.add.reduceat(vectors[k][rows[k]], first, axis=0) / n
-    return out
+            out[doc[first], k * DIM : (k + 1) * DIM] = np.add.reduceat(vectors[k][rows[k]], first, axis=0)
+    return out, n
+
+
+def _long_sums(text: bytes, vectors: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, int]:
+    """As ``_sums`` of one text, range by range; each range sees the word before it, which a repeat is told by."""
+    text = broken(text)
+    total, words, before = np.zeros(2 * DIM), 0, b""
+    for start, end in ranges(text, size):
+        part = text[start:end]
+        own, n = _sums([before + b" " + part], vectors, 1 if before else 0)
+        total += own[0]
+        words += int(n[0])
+        before = (part.rstrip().rsplit(None, 1) or [before])[-1]
+    return total.astype(np.float32), words
+
+
+def pool(texts: list[bytes], vectors: tuple[np.ndarray, np.ndarray], size: int | None = None) -> np.ndarray:
+    """Means of the words' and of the shapes' vectors; (documents, 2 * DIM)."""
+    size = size or RANGE
+    long = [i for i, t in enumerate(texts) if len(t) > size]
+    out, n = _sums([b"" if len(t) > size else t for t in texts], vectors)
+    for i in long:
+        out[i], n[i] = _long_sums(texts[i], vectors, size)
+    return out / np.maximum(n, 1)[:, None].astype(np.float32)
 
 
 class Quality:
@@ -148,8 +177,8 @@ class Quality:
         return sigmoid(self._logits((pool(texts, self.vectors) - self.mean) / self.scale) / self.temperature)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Quality:
-    texts, y, counts = labelled_sample(docs, labels, label_col, per_class, f"{crc_remainder_sql(id_col, FOLDS)} <> 0", id_col, text_col)
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, chars: int = SAMPLE_CHARS) -> Quality:
+    texts, y, counts = labelled_sample(docs, labels, label_col, per_class, f"{crc_remainder_sql(id_col, FOLDS)} <> 0", id_col, text_col, chars)
     return Quality([t.encode() for t in texts], y, counts)
 
 

@@ -12,12 +12,16 @@ one of each clean document). A document's score is that of its strongest window,
 over all windows of its whole text, calibrated on sample documents that the
 network hasn't learnt from.
 
-The training sample is bounded (``per_class`` documents a label).
-
-Defined results: null text is the empty text; a text without words scores as the
-weakest evidence there is (the network's bias); without any labels the score is
-that of the only label, or 0; rows that repeat are scored each on its own; a null
-id is never learnt from; other columns are ignored.
+The training sample is bounded (``per_class`` documents a label, and of each no more
+than ``chars`` characters, in spans spread over the whole text). A long text is
+scored in ranges of RANGE bytes, whose windows are those of the whole text.
+
+Defined results: null text is the empty text; a text without words has the score of
+the network's bias; with one label only the score is that label, without any it is
+0; rows that repeat are scored each on its own; equal texts have equal scores; an id
+with several labels has the greatest; a null id is never learnt from; in a text of
+over RANGE bytes a run of over 4,096 bytes without white space counts as several
+words; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from graphspark.llm._batches import SPACES, WordRuns, crc_remainder_sql
-from graphspark.llm._training import Adam, blocks, labelled_sample, sigmoid
+from graphspark.llm._batches import SPACES, WordRuns, broken, crc_remainder_sql, ranges
+from graphspark.llm._training import SAMPLE_CHARS, Adam, blocks, labelled_sample, sigmoid
 from graphspark.llm.quality import FOLDS, score_documents
 
 WINDOW, STEP = 24, 12
@@ -35,6 +39,8 @@ WORD_ROWS, GRAM_ROWS, EMBED_ROWS = 1 << 20, 1 << 18, 1 << 12
 PER_CLASS = 900
 EPOCHS, STEPS = 12, 30
 INPUT = 5 + 2 * EMBED
+#: Bytes of a text whose words are looked at together.
+RANGE = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -46,7 +52,7 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         runs = WordRuns(texts)
-        self.n_docs, self.doc, self.n = len(texts), runs.doc, len(runs.start)
+        self.n_docs, self.doc, self.n, self.start = len(texts), runs.doc, len(runs.start), runs.start
         self.counts = runs.counts()
         if not self.n:
             return
@@ -68,7 +74,10 @@ class Words:
         mixed = gram * np.uint64(0xC2B2AE3D27D4EB4F)
         self.five, self.has_five = (mixed >> np.uint64(46)).astype(np.int64), rest >= 5
         self.gram_doc = np.repeat(self.doc, lengths)
-        self.head = self.five[self.first] % EMBED_ROWS
+        head = np.zeros(self.n, dtype=np.uint64)  # the space and up to four bytes of the word, nothing of what follows it
+        for k in range(5):
+            head = (head << np.uint64(8)) | np.where(start + k < end, wide[start + k], np.uint64(32))
+        self.head = ((head * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(46)).astype(np.int64) % EMBED_ROWS
 
     def evidence(self, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """(words, 5): log-odds of the word, and the most and the mean of its 4-grams' and 5-grams' log-odds."""
@@ -276,16 +285,47 @@ class Toxicity:
             out[i : i + 4096] = self.net.forward(x[lo:hi], start[i : i + 4096] - lo, length[i : i + 4096])
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        if not self.fitted:
-            return np.full(len(texts), self.constant)
-        logits = np.full(len(texts), float(self.net.w["bias"][0]))
+    def logits(self, texts: list[bytes]) -> np.ndarray:
+        """Per text the strongest window's."""
+        out = np.full(len(texts), float(self.net.w["bias"][0]))
         words = Words(texts)
         if words.n:
             doc, start, length = words.windows()
             window = self._window_logits(words.evidence(self.tables), words.word, words.head, start, length)
             first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            logits[doc[first]] = np.maximum.reduceat(window, first)
+            out[doc[first]] = np.maximum.reduceat(window, first)
+        return out
+
+    def long_logit(self, text: bytes, size: int) -> float:
+        """As ``logits`` of one text, range by range: a range begins with a window, and has all full windows but for the last
+        word's, as what follows that word isn't seen; the next range begins with the first window that wasn't taken."""
+        text = broken(text)
+        parts, held, best = list(ranges(text, size)), b"", -np.inf
+        for i, (start, end) in enumerate(parts):
+            held += text[start:end]
+            words = Words([held])
+            last = i == len(parts) - 1
+            if not words.n or last and i and best > -np.inf and words.n <= WINDOW - STEP:
+                break
+            _, first, length = words.windows()
+            if not last:
+                whole = first + WINDOW < words.n
+                if not whole.any():
+                    continue
+                first, length = first[whole], length[whole]
+            best = max(best, float(self._window_logits(words.evidence(self.tables), words.word, words.head, first, length).max()))
+            if not last:
+                held = held[words.start[first[-1] + STEP] :]
+        return best if best > -np.inf else float(self.net.w["bias"][0])
+
+    def score(self, texts: list[bytes], size: int | None = None) -> np.ndarray:
+        if not self.fitted:
+            return np.full(len(texts), self.constant)
+        size = size or RANGE
+        logits = self.logits([b"" if len(t) > size else t for t in texts])
+        for i, t in enumerate(texts):
+            if len(t) > size:
+                logits[i] = self.long_logit(t, size)
         return sigmoid(self.slope * logits + self.shift)
 
 
@@ -306,8 +346,8 @@ def calibrate(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return max(0.05, float(a)), float(b)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Toxicity:
-    texts, y, counts = labelled_sample(docs, labels, label_col, per_class, f"{crc_remainder_sql(id_col, FOLDS)} <> 0", id_col, text_col)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, chars: int = SAMPLE_CHARS) -> Toxicity:
+    texts, y, counts = labelled_sample(docs, labels, label_col, per_class, f"{crc_remainder_sql(id_col, FOLDS)} <> 0", id_col, text_col, chars)
     return Toxicity([t.encode() for t in texts], y, counts)
 
 
