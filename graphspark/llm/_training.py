@@ -42,8 +42,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     share = F.create_map(*[x for label, n in counts.items() for x in (F.lit(label), F.lit(drawing_bound(per_class, n)))])
     least = F.row_number().over(Window.partitionBy("__label").orderBy("__drawn", id_col))
     chosen = known.withColumn("__drawn", drawn).where(F.col("__drawn") < share[F.col("__label")]).withColumn("__place", least).where(F.col("__place") <= per_class).select(id_col, "__label")
-    text = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).select(id_col, spans_of("__text", chars).alias("__text"))
-    found = text.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("__text").alias("__text"), F.max("__label").alias("__label"))
+    text = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).join(F.broadcast(chosen), id_col)
+    found = text.select(id_col, "__label", spans_of("__text", chars).alias("__text")).groupBy(id_col).agg(F.min("__text").alias("__text"), F.max("__label").alias("__label"))
     rows = sorted((r[0], r[1], r[2]) for r in found.collect())
     rng = np.random.default_rng(7)
     order = rng.permutation(len(rows))
