@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.graph import Graph, dedup, symmetrize
-from graphspark.session import loop_materialize, materialize
+from graphspark.session import dealt, drop_path, loop_materialize, loop_measured, materialize, measured, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -52,10 +52,14 @@ def connected_components(g: Graph) -> DataFrame:
 def afforest(g: Graph, rounds: int = 2) -> DataFrame:
     """As ``connected_components``: the first ``rounds`` neighbours of each vertex are linked first, then only
     edges that leave the largest component so far."""
-    both = dedup(symmetrize(g.edges.select("src", "dst")))
-    order = Window.partitionBy("src").orderBy("dst")
-    sampled = both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rounds)
-    first = materialize(component_labels(sampled.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "afforest")
+    both, links = dealt(dedup(symmetrize(g.edges.select("src", "dst"))), "src", tag="edges"), None
+    # the least neighbour above the last one taken, so often: plain minima, however many neighbours a hub has
+    taken = None
+    for _ in range(rounds):
+        rest = both if taken is None else both.join(taken.select("src", F.col("dst").alias("last")), "src").where("dst > last")
+        taken = rest.groupBy("src").agg(F.min("dst").alias("dst"))
+        links = taken if links is None else links.unionByName(taken)
+    first = materialize(component_labels(links.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "afforest")
     giant = first.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select(F.col("label").alias("giant"))
     of = g.vertices.select("v").join(first, F.col("v") == F.col("node"), "left").select("v", F.coalesce("label", "v").alias("c"))
     a, b = of.select(F.col("v").alias("src"), F.col("c").alias("a")), of.select(F.col("v").alias("dst"), F.col("c").alias("b"))
@@ -67,14 +71,23 @@ def afforest(g: Graph, rounds: int = 2) -> DataFrame:
 def _reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, color, way) reachable from seeds(v, color, way) along edges(src, dst, color, way) of the same color and way."""
     paths: list[str] = []
-    frontier, levels = materialize(seeds, "reach"), []
-    while not frontier.isEmpty():
+    frontier, size = measured(seeds, "reach")
+    levels: list[DataFrame] = []
+    tables: list[DataFrame] = []
+    while size["n"]:
         levels.append(frontier)
+        tables.append(frontier)
         if len(levels) > 12:
             levels = [loop_materialize(_union(levels), "reached", paths)]
-        step = frontier.withColumnRenamed("v", "src").join(edges, ["src", "color", "way"]).select(F.col("dst").alias("v"), "color", "way").distinct()
-        frontier = materialize(step.join(_union(levels), ["v", "color", "way"], "left_anti"), "reach")
-    return _union(levels) if levels else seeds
+            release(*tables[:-1])
+            tables = tables[-1:]
+        step = edges.join(frontier.withColumnRenamed("v", "src"), ["src", "color", "way"], "left_semi").select(F.col("dst").alias("v"), "color", "way").distinct()
+        frontier, size = measured(step.join(_union(levels), ["v", "color", "way"], "left_anti"), "reach")
+    out = materialize(_union(levels), "reached") if levels else seeds
+    release(*tables, frontier)
+    for path in paths:
+        drop_path(seeds.sparkSession, path)
+    return out
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -84,8 +97,9 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-#: Edges that one task may take: what is left of a graph is finished there once it is no larger.
-LOCAL_EDGES = 500_000
+#: Edges that one task may take by default: none, so that every graph goes through the distributed rounds. A caller that knows
+#: what a task holds may have the rest of a graph finished in one.
+LOCAL_EDGES = 0
 
 
 def _in_one_task(edges: DataFrame, solve, schema: str) -> DataFrame:
@@ -165,72 +179,129 @@ def _peel(src: list[int], dst: list[int]) -> pd.DataFrame:
 
 
 def strongly_connected_components(g: Graph, trims: int = 2, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(v, component): least vertex id of the strong component, by forward-backward search.
+    """(v, component): least vertex id of the strong component, by forward-backward search in two phases.
 
-    A round trims vertices without in- or out-edges in their color (``trims`` times), then takes the least live vertex of
-    each color as its pivot and goes forwards and backwards from all pivots at once: what both reach is a component, and
-    what is left of a color splits in three. Once no more than ``local_edges`` edges are live, one task finishes them.
+    The first phase has one color and one pivot, the vertex with the most in-edges times out-edges, whose component is the
+    giant one if there is one. In the second, the colors are the weak components of what is left. A round trims vertices
+    without in- or out-edges in their color (``trims`` times) and pairs that have only each other, then goes forwards and
+    backwards from the pivots of all colors at once: what both reach is a component, and what is left of a color splits by
+    how it was reached and into weak components. With ``local_edges``, one task finishes what has no more edges than that.
     """
     paths: list[str] = []
+    edge_paths: list[str] = []
     state = loop_materialize(g.vertices.select("v", F.lit(0).cast("long").alias("color"), F.lit(None).cast("long").alias("component")), "scc", paths)
-    edges = materialize(g.edges.select("src", "dst"), "scc-edges")
+    edges, size = loop_measured(g.edges.where("src <> dst").select("src", "dst", F.lit(0).cast("long").alias("color")), "scc-edges", edge_paths)
+
+    def settle(state: DataFrame, found: DataFrame) -> tuple[DataFrame, dict]:
+        """Components ``found`` (v, own) put into the state."""
+        return loop_measured(state.join(found, "v", "left").select("v", "color", F.coalesce("component", "own").alias("component")), "scc", paths, live=F.count_if(F.col("component").isNull()))
+
+    def inner(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, dict]:
+        """The edges between live vertices of one color."""
+        live = state.where("component is null").select("v", "color")
+        s, d = live.select(F.col("v").alias("src"), "color"), live.select(F.col("v").alias("dst"), F.col("color").alias("cd"))
+        return loop_measured(edges.select("src", "dst").join(s, "src").join(d, "dst").where("color = cd").select("src", "dst", "color"), "scc-edges", edge_paths)
+
+    first, before = True, size["n"] + 1
     while True:
-        for _ in range(trims if edges.count() > local_edges else 0):
-            live = state.where("component is null").select("v", "color")
-            s, d = live.select(F.col("v").alias("src"), "color"), live.select(F.col("v").alias("dst"), F.col("color").alias("cd"))
-            edges = materialize(edges.select("src", "dst").join(s, "src").join(d, "dst").where("color = cd").select("src", "dst", "color"), "scc-live")
-            both = edges.select(F.col("src").alias("v")).distinct().join(edges.select(F.col("dst").alias("v")).distinct(), "v", "left_semi").withColumn("stays", F.lit(True))
-            state = loop_materialize(state.join(both, "v", "left").select("v", "color", F.when(F.col("component").isNull() & F.col("stays").isNull(), F.col("v")).otherwise(F.col("component")).alias("component")), "scc", paths)
-        live = state.where("component is null")
-        if live.isEmpty():
+        for _ in range(trims):
+            both = edges.select(F.col("src").alias("v")).distinct().join(edges.select(F.col("dst").alias("v")).distinct(), "v", "left_semi")
+            state, found = settle(state, state.where("component is null").select("v").join(both, "v", "left_anti").select("v", F.col("v").alias("own")))
+            edges, size = inner(edges, state)
+            if size["n"] == before:
+                break
+            before = size["n"]
+        state, found = settle(state, _closed_pairs(edges))
+        if not found["live"]:
             return state.select("v", "component")
-        if edges.count() <= local_edges:
+        edges, size = inner(edges, state)
+        before = size["n"]
+        if before <= local_edges:
             rest = _in_one_task(edges, _tarjan, "v long, component long").withColumnRenamed("component", "found")
             return state.join(rest, "v", "left").select("v", F.coalesce("component", "found", "v").alias("component"))
+        live = state.where("component is null").select("v", "color")
+        if first:
+            degree = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("o")).join(edges.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("i")), "v")
+            best = degree.agg(F.max(F.struct(F.col("o") * F.col("i"), "v"))["v"].alias("pivot"))
+            pivots = materialize(best.where("pivot is not null").select(F.lit(0).cast("long").alias("color"), "pivot"), "scc-pivots")
+        else:
+            weak = component_labels(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+            state = loop_materialize(state.join(weak.select(F.col("node").alias("v"), "label"), "v", "left").select("v", F.when(F.col("component").isNull(), F.coalesce("label", "v")).otherwise(F.col("color")).alias("color"), "component"), "scc", paths)
+            edges, size = inner(edges, state)
+            live = state.where("component is null").select("v", "color")
+            pivots = materialize(live.groupBy("color").agg(F.min("v").alias("pivot")), "scc-pivots")
         ways = F.explode(F.array(F.lit(1), F.lit(2))).alias("way")
-        pivots = materialize(live.groupBy("color").agg(F.min("v").alias("pivot")), "scc-pivots")
-        inner = edges.select("src", "dst", "color", F.lit(1).alias("way")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "color", F.lit(2).alias("way")))
-        reached = _reach(pivots.select(F.col("pivot").alias("v"), "color", ways), inner).groupBy("v", "color").agg(F.sum("way").alias("ways"))
-        marked = state.join(reached, ["v", "color"], "left").join(pivots, "color", "left")
+        steps = dealt(edges.select("src", "dst", "color", F.lit(1).alias("way")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "color", F.lit(2).alias("way"))), "src", tag="scc-steps")
+        reached = _reach(pivots.select(F.col("pivot").alias("v"), "color", ways), steps)
+        ways_of = reached.groupBy("v").agg(F.sum("way").alias("ways"))
+        marked = state.join(ways_of, "v", "left")
+        members = materialize(marked.where((F.col("ways") == 3) & F.col("component").isNull()).select("v", "color"), "scc-members")
+        least = members.groupBy("color").agg(F.min("v").alias("own"))
         alive = F.col("component").isNull()
         state = loop_materialize(
-            marked.select("v", F.when(alive, F.xxhash64("color", "pivot", F.coalesce("ways", F.lit(0)))).otherwise(F.col("color")).alias("color"), F.when(alive & (F.col("ways") == 3), F.col("pivot")).otherwise(F.col("component")).alias("component")), "scc", paths
+            marked.join(members.join(least, "color").select("v", "own"), "v", "left").select("v", F.when(alive, F.xxhash64("color", F.coalesce("ways", F.lit(0)))).otherwise(F.col("color")).alias("color"), F.coalesce("component", "own").alias("component")), "scc", paths
         )
+        release(pivots, steps, reached, members)
+        edges, size = inner(edges, state)
+        first = False
+
+
+def _closed_pairs(edges: DataFrame) -> DataFrame:
+    """(v, own): vertices whose only out-edge, or only in-edge, goes to a vertex of which the same holds the other way round, so
+    that the two are a component by themselves."""
+    both = edges.select("src", "dst").join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+    found = None
+    for end, other in (("src", "dst"), ("dst", "src")):
+        single = edges.groupBy(F.col(end).alias("x")).agg(F.count("*").alias("n")).where("n = 1").select("x")
+        pairs = both.where("src < dst").join(single.withColumnRenamed("x", "src"), "src", "left_semi").join(single.withColumnRenamed("x", "dst"), "dst", "left_semi").select("src", "dst")
+        found = pairs if found is None else found.unionByName(pairs).distinct()
+    return found.select(F.explode(F.array("src", "dst")).alias("v"), F.col("src").alias("own")).groupBy("v").agg(F.min("own").alias("own"))
 
 
 def k_core(g: Graph, k: int) -> DataFrame:
     """Vertices of the maximal subgraph of an undirected graph in which every degree is at least k."""
     paths: list[str] = []
-    edges = loop_materialize(g.edges.select("src", "dst"), "core", paths)
-    n = edges.count()
+    edges, size = loop_measured(g.edges.select("src", "dst"), "core", paths)
+    n = size["n"]
     while True:
         keep = edges.groupBy("src").count().where(F.col("count") >= k).select(F.col("src").alias("v"))
-        edges = loop_materialize(edges.join(keep, edges["src"] == keep["v"], "left_semi").join(keep, edges["dst"] == keep["v"], "left_semi"), "core", paths)
-        left = edges.count()
+        edges, size = loop_measured(edges.join(keep, edges["src"] == keep["v"], "left_semi").join(keep, edges["dst"] == keep["v"], "left_semi"), "core", paths)
+        left = size["n"]
         if left == n:
             return edges.select(F.col("src").alias("v")).distinct()
         n = left
 
 
 def core_numbers(g: Graph, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(v, core): the largest k whose k-core holds the vertex, peeled level by level; a graph of no more than ``local_edges``
-    directed edges is peeled in one task."""
+    """(v, core): the largest k whose k-core holds the vertex, peeled level by level; with ``local_edges``, a graph of no more
+    directed edges than that is peeled in one task."""
     paths: list[str] = []
+    done_paths: list[str] = []
     done: list[DataFrame] = [g.vertices.select("v").join(g.edges.select(F.col("src").alias("v")).distinct(), "v", "left_anti").select("v", F.lit(0).alias("core"))]
-    edges, k = loop_materialize(g.edges.select("src", "dst"), "peel", paths), 1
-    n = edges.count()
-    if n <= local_edges:
+    edges, size = loop_measured(g.edges.select("src", "dst"), "peel", paths)
+    n = size["n"]
+    if n and n <= local_edges:
         return done[0].unionByName(_in_one_task(edges, _peel, "v long, core int"))
+    k = 1
     while n:
-        low = materialize(edges.groupBy(F.col("src").alias("v")).count().where(F.col("count") <= k).select("v", F.lit(k).alias("core")), "peeled")
+        # The vertices of degree k or less go, and with them their edges; what has lost all its edges by that goes along.
+        degree = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
+        low, found = measured(degree.where(F.col("d") <= k).select("v", F.lit(k).alias("core")), "peeled")
+        if not found["n"]:
+            k = max(k + 1, degree.agg(F.min("d")).first()[0])
+            release(low)
+            continue
         kept = edges.join(low, edges["src"] == low["v"], "left_anti")
-        gone = kept.join(low, kept["dst"] == low["v"], "left_anti")
-        # a vertex that loses all its edges at once has core number k as well
+        gone, size = loop_measured(kept.join(low, kept["dst"] == low["v"], "left_anti"), "peel", paths)
         lost = materialize(kept.select(F.col("src").alias("v")).distinct().join(gone.select(F.col("src").alias("v")).distinct(), "v", "left_anti").select("v", F.lit(k).alias("core")), "peeled")
-        edges = loop_materialize(gone, "peel", paths)
-        left = edges.count()
         done += [low, lost]
-        if left == n:
-            k += 1
-        n = left
+        edges, n = gone, size["n"]
+        if len(done) > COMPACT:
+            whole = loop_materialize(_union(done), "cores", done_paths)
+            release(*done)
+            done = [whole]
     return _union(done)
+
+
+#: Tables of peeled vertices that are kept apart before they are written as one.
+COMPACT = 24

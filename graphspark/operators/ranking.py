@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
-from graphspark.session import loop_materialize, materialize
+from graphspark.session import dealt, loop_materialize, loop_measured
 
 
 def _contributions(g: Graph) -> DataFrame:
@@ -21,7 +21,7 @@ def pagerank(g: Graph, damping: float = 0.85, tolerance: float | None = 1e-4, it
     ``tolerance=None`` runs exactly ``iterations`` steps; then ``batch`` of them make one job.
     """
     n = g.vertices.count()
-    edges = materialize(_contributions(g), "pr-edges")
+    edges = dealt(_contributions(g), "src", tag="pr-edges")
     base = (1 - damping) / n
     paths: list[str] = []
     scores = loop_materialize(g.vertices.select("v", F.lit(1.0 / n).alias("score")), "pr", paths)
@@ -34,8 +34,8 @@ def pagerank(g: Graph, damping: float = 0.85, tolerance: float | None = 1e-4, it
             if (step + 1) % batch == 0 or step + 1 == iterations:
                 scores = loop_materialize(scores, "pr", paths)
             continue
-        new = loop_materialize(new, "pr", paths)
-        errors.append(new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0])
+        new, found = loop_measured(new, "pr", paths, error=F.sum(F.abs(F.col("score") - F.col("old"))))
+        errors.append(found["error"])
         scores = new.select("v", "score")
         if errors[-1] < tolerance:
             break
@@ -45,7 +45,7 @@ def pagerank(g: Graph, damping: float = 0.85, tolerance: float | None = 1e-4, it
 def pagerank_delta(g: Graph, damping: float = 0.85, tolerance: float = 1e-3, iterations: int = 100) -> tuple[DataFrame, int]:
     """((v, score), iterations): only vertices whose residual exceeds ``tolerance`` times their score send it on."""
     n = g.vertices.count()
-    edges = materialize(_contributions(g), "pr-edges")
+    edges = dealt(_contributions(g), "src", tag="pr-edges")
     paths: list[str] = []
     base = (1 - damping) / n
     state = loop_materialize(g.vertices.select("v", F.lit(0.0).alias("score"), F.lit(1.0 / n).alias("delta"), F.lit(True).alias("active")), "pr-delta", paths)
@@ -56,8 +56,8 @@ def pagerank_delta(g: Graph, damping: float = 0.85, tolerance: float = 1e-3, ite
         delta = got + base - 1.0 / n if step == 0 else got
         score = F.col("score") + delta + (1.0 / n if step == 0 else 0.0)
         moved = state.join(into, state["v"] == into["dst"], "left").select("v", score.alias("score"), delta.alias("delta"))
-        state = loop_materialize(moved.withColumn("active", F.abs("delta") > tolerance * F.col("score")), "pr-delta", paths)
-        if state.where("active").isEmpty():
+        state, found = loop_measured(moved.withColumn("active", F.abs("delta") > tolerance * F.col("score")), "pr-delta", paths, active=F.count_if("active"))
+        if not found["active"]:
             break
     return state.select("v", "score"), step + 1
 

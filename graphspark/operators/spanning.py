@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
 from graphspark.operators.connectivity import _union, component_labels
-from graphspark.session import loop_materialize, materialize
+from graphspark.session import loop_materialize, materialize, measured, release
 
 
 def minimum_spanning_forest(g: Graph) -> DataFrame:
@@ -21,12 +21,13 @@ def minimum_spanning_forest(g: Graph) -> DataFrame:
         a, b = comp.select(F.col("v").alias("src"), F.col("c").alias("a")), comp.select(F.col("v").alias("dst"), F.col("c").alias("b"))
         across = edges.join(a, "src").join(b, "dst").where("a <> b").select("a", "b", F.struct("weight", "src", "dst").alias("e"))
         least = across.unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "e")).groupBy("a").agg(F.min(F.struct("e", "b")).alias("m"))
-        picked = materialize(least.select("a", F.col("m.b").alias("b"), F.col("m.e.*")), "mst-picked")
-        if picked.isEmpty():
+        picked, size = measured(least.select("a", F.col("m.b").alias("b"), F.col("m.e.*")), "mst-picked")
+        if not size["n"]:
             return _union(chosen) if chosen else edges.limit(0)
         chosen.append(materialize(picked.select("src", "dst", "weight").distinct(), "mst-chosen"))
         merged = component_labels(picked.select("a", "b"))
         comp = loop_materialize(comp.join(merged, F.col("c") == F.col("node"), "left").select("v", F.coalesce("label", "c").alias("c")), "mst", paths)
+        release(picked)
 
 
 def forest_summary(g: Graph, forest: DataFrame | None = None) -> DataFrame:

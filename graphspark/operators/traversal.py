@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
 from graphspark.operators.connectivity import _union
-from graphspark.session import loop_materialize, materialize
+from graphspark.session import dealt, loop_materialize, loop_measured, materialize, measured, release
 
 #: Levels kept as separate tables before they are written as one.
 COMPACT = 16
@@ -19,28 +19,48 @@ def bfs(g: Graph, source: int, mode: str = "push", max_depth: int | None = None)
     ``mode``: ``push`` joins the frontier to its out-edges; ``pull`` joins unvisited
     vertices to their in-edges; ``auto`` pulls while the frontier's edges are over a
     fifteenth of all and pushes otherwise. The result is the same.
+
+    Edges lie in buckets by the end that is joined, so a level moves the frontier and what it reaches, never all edges;
+    a level is one job.
     """
     if mode not in ("push", "pull", "auto"):
         raise ValueError(f"unknown mode {mode}")
-    edges = g.edges.select("src", "dst")
-    frontier = materialize(g.vertices.where(F.col("v") == source).select("v", F.lit(0).alias("depth")), "bfs")
-    total = edges.count() if mode == "auto" else 0
-    levels, depth, paths = [], 0, []
-    while not frontier.isEmpty() and (max_depth is None or depth <= max_depth):
-        levels.append(frontier)
+    pulls, pushes = mode != "push", mode != "pull"
+    out_edges = dealt(g.edges.select("src", "dst"), "src", tag="edges", written=True) if pushes else None
+    in_edges = dealt(g.edges.select("src", "dst"), "dst", tag="edges", written=True) if pulls else None
+    total, degrees = 0, None
+    if mode == "auto":
+        degrees = dealt(out_edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("out")), "v", tag="degrees")
+        total = degrees.agg(F.sum("out")).first()[0] or 0
+
+    def next_level(found: DataFrame, depth: int) -> tuple[DataFrame, dict]:
+        """Writes a level; with ``auto``, its vertices know how many edges go out of them."""
+        level = found.select("v", F.lit(depth).alias("depth"))
+        if mode != "auto":
+            return measured(level, "bfs")
+        return measured(level.join(degrees, "v", "left").select("v", "depth", F.coalesce("out", F.lit(0)).alias("out")), "bfs", out=F.sum("out"))
+
+    frontier, size = next_level(g.vertices.where(F.col("v") == source), 0)
+    levels, tables, depth, paths = [], [], 0, []
+    while size["n"] and (max_depth is None or depth <= max_depth):
+        levels.append(frontier.select("v", "depth"))
+        tables.append(frontier)
         if len(levels) > COMPACT:
             levels = [loop_materialize(_union(levels), "bfs-levels", paths)]
+            release(*tables[:-1])  # the last one is the frontier
+            tables = tables[-1:]
         depth += 1
         seen = _union(levels).select("v")
-        pull = mode == "pull" or mode == "auto" and edges.join(frontier, edges["src"] == frontier["v"], "left_semi").count() * 15 > total
-        if pull:
+        if mode == "pull" or mode == "auto" and (size["out"] or 0) * 15 > total:
             open_ = g.vertices.select("v").join(seen, "v", "left_anti")
-            into = edges.join(frontier, edges["src"] == frontier["v"], "left_semi").select("dst")
-            new = open_.join(into, open_["v"] == into["dst"], "left_semi")
+            own = frontier.select(F.col("v").alias("src"))
+            # every open vertex looks at its in-edges; the frontier is what may be sent around
+            new = in_edges.join(own, "src", "left_semi").select(F.col("dst").alias("v")).join(open_, "v", "left_semi").distinct()
         else:
-            new = edges.join(frontier.select("v"), edges["src"] == frontier["v"]).select(edges["dst"].alias("v")).distinct().join(seen, "v", "left_anti")
-        frontier = materialize(new.select("v", F.lit(depth).alias("depth")), "bfs")
-    return _union(levels) if levels else frontier
+            own = frontier.select(F.col("v").alias("src"))
+            new = out_edges.join(own, "src", "left_semi").select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti")
+        frontier, size = next_level(new, depth)
+    return _union(levels) if levels else frontier.select("v", "depth")
 
 
 def bfs_all(g: Graph, source: int, unreachable: int | None = None, **options) -> DataFrame:
@@ -61,19 +81,20 @@ def sssp(g: Graph, source: int, delta: int | None = None, unit: bool = False) ->
     paths: list[str] = []
     kind = edges.schema["weight"].dataType.simpleString()
     kind = "long" if kind in ("int", "bigint") else kind
-    state = loop_materialize(g.vertices.where(F.col("v") == source).select("v", F.lit(0).cast(kind).alias("distance"), F.lit(True).alias("active")), "sssp", paths)
+    edges = dealt(edges, "src", tag="edges", written=True)
+    nearest = F.min(F.when(F.col("active"), F.col("distance")))
+    state, found = loop_measured(g.vertices.where(F.col("v") == source).select("v", F.lit(0).cast(kind).alias("distance"), F.lit(True).alias("active")), "sssp", paths, bound=nearest)
     limit = delta
-    while True:
-        bound = state.where("active").agg(F.min("distance")).first()[0]
-        if bound is None:
-            return state.select("v", "distance")
-        if delta is not None and bound >= limit:
-            limit = (bound // delta + 1) * delta
+    while found["bound"] is not None:
+        if delta is not None and found["bound"] >= limit:
+            limit = (found["bound"] // delta + 1) * delta
         near = F.col("active") if delta is None else F.col("active") & (F.col("distance") < limit)
-        step = state.where(near).join(edges, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), (F.col("distance") + F.col("weight")).cast(kind).alias("distance"), F.lit(None).cast(kind).alias("old"), F.lit(False).alias("waits"))
+        sending = state.where(near).select(F.col("v").alias("src"), "distance")
+        step = edges.join(sending, "src").groupBy(F.col("dst").alias("v")).agg(F.min(F.col("distance") + F.col("weight")).cast(kind).alias("distance")).select("v", "distance", F.lit(None).cast(kind).alias("old"), F.lit(False).alias("waits"))
         kept = state.select("v", "distance", F.col("distance").alias("old"), (F.col("active") & ~near).alias("waits"))
         best = kept.unionByName(step).groupBy("v").agg(F.min("distance").alias("distance"), F.min("old").alias("old"), F.max("waits").alias("waits"))
-        state = loop_materialize(best.select("v", "distance", (F.col("waits") | F.col("old").isNull() | (F.col("distance") < F.col("old"))).alias("active")), "sssp", paths)
+        state, found = loop_measured(best.select("v", "distance", (F.col("waits") | F.col("old").isNull() | (F.col("distance") < F.col("old"))).alias("active")), "sssp", paths, bound=nearest)
+    return state.select("v", "distance")
 
 
 def betweenness(g: Graph, source: int) -> DataFrame:
@@ -81,21 +102,21 @@ def betweenness(g: Graph, source: int) -> DataFrame:
 
     Vertices that can't be reached have null depth, no paths and score 0.
     """
-    edges = g.edges.select("src", "dst")
-    level = materialize(g.vertices.where(F.col("v") == source).select("v", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")), "bc")
+    edges, backwards = dealt(g.edges.select("src", "dst"), "src", tag="edges", written=True), dealt(g.edges.select("src", "dst"), "dst", tag="edges", written=True)
+    level, size = measured(g.vertices.where(F.col("v") == source).select("v", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")), "bc")
     levels: list[DataFrame] = []
-    while not level.isEmpty():
+    while size["n"]:
         levels.append(level)
         seen = _union(levels).select("v")
-        step = edges.join(level, edges["src"] == level["v"]).groupBy("dst").agg(F.sum("paths").alias("paths"))
-        level = materialize(step.join(seen, step["dst"] == seen["v"], "left_anti").select(F.col("dst").alias("v"), F.lit(len(levels)).alias("depth"), "paths"), "bc")
+        step = edges.join(level.select(F.col("v").alias("src"), "paths"), "src").groupBy("dst").agg(F.sum("paths").alias("paths"))
+        level, size = measured(step.join(seen, step["dst"] == seen["v"], "left_anti").select(F.col("dst").alias("v"), F.lit(len(levels)).alias("depth"), "paths"), "bc")
     none = g.edges.sparkSession.createDataFrame([], "v long, delta double")
     deltas: list[DataFrame] = []
     below, later = none, None
     for own in reversed(levels):
         if later is not None:
             onward = later.join(below, "v", "left").select(F.col("v").alias("dst"), ((1 + F.coalesce("delta", F.lit(0.0))) / F.col("paths")).alias("share"))
-            below = materialize(edges.join(onward, "dst").join(own.select(F.col("v").alias("src"), "paths"), "src").groupBy(F.col("src").alias("v")).agg(F.sum(F.col("paths") * F.col("share")).alias("delta")), "bc-back")
+            below = materialize(backwards.join(onward, "dst").join(own.select(F.col("v").alias("src"), "paths"), "src").groupBy(F.col("src").alias("v")).agg(F.sum(F.col("paths") * F.col("share")).alias("delta")), "bc-back")
             deltas.append(below)
         later = own
     scores = _union(deltas) if deltas else none

@@ -14,7 +14,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -85,9 +86,40 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def loop_materialize(df: DataFrame, tag: str, previous: list[str]) -> DataFrame:
     """As ``materialize`` for a loop: keeps the paths written so far in ``previous``
     and deletes all but the two latest, so that a loop's disk use doesn't grow."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    previous.append(path)
+    return loop_measured(df, tag, previous)[0]
+
+
+def measured(df: DataFrame, tag: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``materialize``, and aggregates of what was written (``n``, the number of rows, among them) from the same job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in metrics.items()]), tag)
+    return out, seen.get
+
+
+def loop_measured(df: DataFrame, tag: str, previous: list[str], **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``measured`` for a loop. A stage that runs twice may count twice, so loops only ask for zero or for extremes."""
+    out, found = measured(df, tag, **metrics)
+    previous.append(_PATHS.pop(id(out)))
     while len(previous) > 2:
         drop_path(df.sparkSession, previous.pop(0))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return out, found
+
+
+#: Estimated bytes up to which a table that a loop joins isn't worth dealing: its joins are broadcasts or one small shuffle.
+SMALL = 64 << 20
+
+
+def dealt(df: DataFrame, *keys: str, tag: str = "dealt", written: bool = False) -> DataFrame:
+    """``df`` written to the shared folder in buckets by ``keys`` and read back: a join or aggregation on these keys moves only
+    the other side. For tables that every round of a loop joins, as a graph's edges. What the planner takes for small is
+    written without buckets, or, if it's a scan of a ``written`` table, left as it is."""
+    spark = df.sparkSession
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL:
+        return df if written else materialize(df, tag)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, name = scratch_path(spark, tag), f"graphspark_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphspark import graph as G
+from graphspark import session
 from graphspark.operators import coloring, connectivity, factor, fsm, linalg, motifs, patterns, ranking, sets, spanning, traversal
 
 
@@ -59,6 +60,21 @@ def test_bfs(directed, mode):
     assert {r.v for r in traversal.bfs_all(directed, 0).where("depth is null").collect()} == set(range(16)) - set(distances(near(DIRECTED), 0))
 
 
+def test_dealt_edges(spark, directed, monkeypatch):
+    """Edges in buckets: the same results, and only the other side of a join is moved."""
+    monkeypatch.setattr(session, "SMALL", 0)
+    for mode in ("push", "pull", "auto"):
+        assert {r.v: r.depth for r in traversal.bfs(directed, 0, mode).collect()} == distances(near(DIRECTED), 0)
+    test_sssp(spark, None)
+    test_betweenness(directed)
+    test_pagerank(spark)
+    own = session.dealt(directed.edges, "src")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = own.join(spark.range(5).withColumnRenamed("id", "src"), "src")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("delta", [None, 3])
 def test_sssp(spark, delta):
     edges = [(a, b, 1 + (7 * a + 3 * b) % 9) for a, b in DIRECTED] + [(0, 5, 9), (0, 5, 2)]
