@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--tolerance", type=float, default=1e-4)
     p.add_argument("--delta", type=int)
     p.add_argument("--minsup", type=int, default=1)
-    p.add_argument("--pattern", default="diamond")
+    p.add_argument("--pattern", default="diamond", help="the name of a pattern, or a file of its pairs")
     p.add_argument("--induced", action="store_true")
     p.add_argument("--unit", action="store_true", help="unit weights")
     p.add_argument("--to", help="target format of convert")
@@ -53,11 +53,19 @@ def run(spark: SparkSession, args: argparse.Namespace):
         "pr": lambda: ranking.pagerank(g, tolerance=args.tolerance, iterations=args.iterations)[0], "cc": lambda: connectivity.connected_components(g), "afforest": lambda: connectivity.afforest(g),
         "scc": lambda: connectivity.strongly_connected_components(g), "mst": lambda: spanning.forest_summary(ones), "vc": lambda: coloring.color(g), "kcore": lambda: connectivity.k_core(g, args.k),
         "spmv": lambda: linalg.spmv(g, g.vertices.select("v", F.lit(0.3).alias("value")), weight=0.2), "tc": lambda: motifs.triangle_count(g.edges), "kcl": lambda: motifs.clique_count(g.edges, args.k),
-        "motif": lambda: motifs.motifs(g.edges, args.k), "sgl": lambda: patterns.count_pattern(g.edges, args.pattern, args.induced),
+        "motif": lambda: motifs.motifs(g.edges, args.k), "sgl": lambda: _listing(spark, g, args),
         "fsm": lambda: fsm.frequent_subgraphs(g.edges, (g if "label" in g.vertices.columns else readers.with_labels(g)).vertices, args.k, args.minsup),
     }[args.kernel]()
 
 
+def _listing(spark: SparkSession, g: Graph, args: argparse.Namespace):
+    if args.pattern in patterns.PATTERNS:
+        return patterns.count_pattern(g.edges, args.pattern, args.induced)
+    edges, apart, labels = readers.read_pattern_pairs(spark, args.pattern)
+    own = labels if any(x is not None for x in labels) else None
+    return patterns.count_pattern(g.edges, edges, args.induced, vertices=g.vertices, labels=own, apart=apart)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("graphspark").getOrCreate()

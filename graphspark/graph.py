@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphspark.session import materialize
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -22,11 +24,11 @@ class Graph:
 
     @classmethod
     def of(cls, edges: DataFrame, vertices: DataFrame | None = None, directed: bool = True) -> Graph:
-        """A normalized graph: long ids, no loops, no duplicates (of weighted ones the least weight stays); an
-        undirected graph holds both directions of every edge."""
+        """A normalized graph: long ids, no loops, no duplicates (of weighted ones the least weight stays, those of
+        different ``elabel`` are apart); an undirected graph holds both directions of every edge."""
         if not {"src", "dst"} <= set(edges.columns):
             raise ValueError("edges need columns src and dst")
-        keep = ["src", "dst"] + (["weight"] if "weight" in edges.columns else [])
+        keep = ["src", "dst"] + [c for c in ("weight", "elabel") if c in edges.columns]
         e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), *keep[2:])
         v = e.select(F.col("src").alias("v")).union(e.select(F.col("dst").alias("v"))).distinct() if vertices is None else vertices.withColumn("v", F.col("v").cast("long"))
         e = e.where("src <> dst")
@@ -50,8 +52,10 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 
 
 def dedup(edges: DataFrame) -> DataFrame:
-    """Duplicate edges become one; of weighted duplicates the least weight stays."""
-    return edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")) if "weight" in edges.columns else edges.select("src", "dst").distinct()
+    """Duplicate edges become one; of weighted duplicates the least weight stays. Edges with labels (``elabel``) are duplicates
+    only if their labels agree."""
+    keys = ["src", "dst"] + (["elabel"] if "elabel" in edges.columns else [])
+    return edges.groupBy(*keys).agg(F.min("weight").alias("weight")) if "weight" in edges.columns else edges.select(*keys).distinct()
 
 
 def out_degrees(g: Graph) -> DataFrame:
@@ -86,19 +90,21 @@ def half_edges(edges: DataFrame, ascending: bool = True) -> DataFrame:
     return edges.where("src < dst" if ascending else "src > dst")
 
 
-def relabel_by_degree(g: Graph) -> tuple[Graph, DataFrame]:
-    """New ids 0.. by falling (degree, id); also (v, new_id).
+def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """Adds the place of each row in ``order``, from 0. Rows are dealt by range of all of ``order``, each range counts its own, and
+    the few ranges' sizes give each its start: no task sees all rows, nor all rows of one value."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))  # a row a range
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.withColumn(name, within).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col(name)).drop("__part", "__start")
 
-    Ranks of whole degrees come from a table of distinct degrees; within a degree
-    ids are numbered by a window over that degree alone, never over all vertices.
-    """
+
+def relabel_by_degree(g: Graph) -> tuple[Graph, DataFrame]:
+    """New ids 0.. by falling (degree, id); also (v, new_id)."""
     if g.directed:
         raise ValueError("relabelling takes an undirected graph")
-    deg = out_degrees(g)
-    sizes = deg.groupBy("degree").agg(F.count("*").alias("n"))
-    before = sizes.select("degree", (F.sum("n").over(Window.orderBy(F.desc("degree"))) - F.col("n")).alias("base"))
-    within = Window.partitionBy("degree").orderBy(F.desc("v"))
-    ids = deg.join(before, "degree").select("v", (F.col("base") + F.row_number().over(within) - 1).alias("new_id"))
+    ids = materialize(numbered(out_degrees(g), F.desc("degree"), F.desc("v"), name="new_id").select("v", "new_id"), "relabelled")
     a, b = ids.select(F.col("v").alias("src"), F.col("new_id").alias("s")), ids.select(F.col("v").alias("dst"), F.col("new_id").alias("d"))
     rest = [c for c in g.edges.columns if c not in ("src", "dst")]
     edges = g.edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), *rest)
@@ -111,8 +117,11 @@ def label_frequency(g: Graph) -> DataFrame:
 
 
 def label_index(g: Graph) -> DataFrame:
-    """(label, v, position): the vertices of each label, numbered in order; rows rather than one array per label."""
-    return g.vertices.select("label", "v", F.row_number().over(Window.partitionBy("label").orderBy("v")).alias("position"))
+    """(label, v, position): the vertices of each label, numbered in order from 1; rows rather than one array per label."""
+    places = numbered(g.vertices.select("label", "v"), F.col("label"), F.col("v"))
+    sizes = label_frequency(g)  # a row a label
+    before = sizes.select("label", (F.sum("frequency").over(Window.orderBy("label")) - F.col("frequency")).alias("before"))
+    return places.join(before, "label").select("label", "v", (F.col("number") - F.col("before") + 1).alias("position"))
 
 
 def frequent_labels(g: Graph, threshold: int) -> DataFrame:

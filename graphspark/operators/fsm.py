@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.session import materialize
+from graphspark.session import materialize, measured, release
 
 
 def canonical_code(labels: list[int], edges: list[tuple[int, int, int]]) -> tuple[str, list[int]]:
@@ -43,20 +43,17 @@ def _canonical(quick: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["code", "positions"])
 
 
-def _coded(embeddings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Embeddings (e) with the array ``vs`` of their vertices, their pattern's ``code`` and the vertices' ``positions``."""
-    vs = F.array_sort(F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(x["a"], x["b"])))))
-    named = embeddings.withColumn("vs", vs)
-    # labels come by a join per vertex, then each embedding is put together again by its edges
-    seen = named.select("e", "vs", F.posexplode("vs").alias("at", "v")).join(labels.select("v", "label"), "v")
-    own = seen.groupBy("e", "vs").agg(F.sort_array(F.collect_list(F.struct("at", "label"))).alias("ls"))
+def _coded(embeddings: DataFrame) -> DataFrame:
+    """Embeddings (e, ls: labels by vertex) with the array ``vs`` of their vertices, their pattern's ``code`` and the vertices'
+    ``positions``."""
+    named = embeddings.withColumn("vs", F.array_sort(F.map_keys("ls")))
     text = F.concat(
-        F.array_join(F.transform("ls", lambda x: x["label"].cast("string")), ","), F.lit("|"),
+        F.array_join(F.transform("vs", lambda v: F.element_at("ls", v).cast("string")), ","), F.lit("|"),
         F.array_join(F.array_sort(F.transform("e", lambda x: F.concat((F.array_position("vs", x["a"]) - 1).cast("string"), F.lit("-"), (F.array_position("vs", x["b"]) - 1).cast("string"), F.lit(":"), x["l"].cast("string")))), " "),
     )
-    quick = own.select("e", "vs", text.alias("quick"))
+    quick = named.select("e", "ls", "vs", text.alias("quick"))
     codes = quick.select("quick").distinct().withColumn("c", _canonical("quick")).select("quick", "c.code", "c.positions")
-    return quick.join(codes, "quick").select("e", "vs", "code", "positions")
+    return quick.join(codes, "quick").select("e", "ls", "vs", "code", "positions")
 
 
 def _support(coded: DataFrame) -> DataFrame:
@@ -72,22 +69,31 @@ def frequent_subgraphs(edges: DataFrame, labels: DataFrame, max_edges: int, min_
     and the edges over their places, with edge labels (0 where there are none).
     """
     el = F.col("elabel").cast("int") if "elabel" in edges.columns else F.lit(0)
-    one = materialize(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), el.alias("l")).distinct(), "fsm-edges")
-    now = one.select(F.array(F.struct("a", "b", "l")).alias("e"))
-    out, kept_edges = None, None
+    la, lb = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+    one = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), el.alias("l")).distinct().join(la, "a").join(lb, "b")
+    edge = F.struct("a", "b", "l")
+    now = one.select(F.array(edge).alias("e"), F.create_map("a", "la", "b", "lb").alias("ls"))
+    out, kept_edges, grown_by = None, None, None
     for size in range(1, max_edges + 1):
-        coded = materialize(_coded(now, labels), "fsm")
-        frequent = materialize(_support(coded).where(F.col("support") >= min_support), "fsm-frequent")
-        found = frequent.select(F.lit(size).alias("edges"), "code", "support")
-        out = found if out is None else out.unionByName(found)
-        if size == max_edges or frequent.isEmpty():
+        coded = materialize(_coded(now), "fsm")
+        frequent, found = measured(_support(coded).where(F.col("support") >= min_support), "fsm-frequent")
+        rows = frequent.select(F.lit(size).alias("edges"), "code", "support")
+        out = rows if out is None else out.unionByName(rows)
+        if grown_by is not None:
+            release(grown_by)
+        if size == max_edges or not found["n"]:
+            release(coded)
             break
-        kept = coded.join(frequent, "code", "left_semi").select("e", "vs")
+        kept = coded.join(frequent, "code", "left_semi").select("e", "ls", "vs")
         if kept_edges is None:  # an edge of an infrequent pattern is in no frequent one
-            kept_edges = materialize(kept.select(F.col("e")[0].alias("x")).select("x.*"), "fsm-kept")
-        arms = kept_edges.select(F.col("a").alias("v"), F.struct("a", "b", "l").alias("x")).unionByName(kept_edges.select(F.col("b").alias("v"), F.struct("a", "b", "l").alias("x")))
-        grown = kept.select("e", F.explode("vs").alias("v")).join(arms, "v").where(~F.array_contains("e", F.col("x")))
-        now = materialize(grown.select(F.array_sort(F.array_append("e", F.col("x"))).alias("e")).distinct(), "fsm-grown")
+            kept_edges = materialize(kept.select(F.col("e")[0].alias("x"), "ls").select("x.*", F.element_at("ls", F.col("x.a")).alias("la"), F.element_at("ls", F.col("x.b")).alias("lb")), "fsm-kept")
+        arms = kept_edges.select(F.col("a").alias("v"), edge.alias("x"), F.col("b").alias("w"), F.col("lb").alias("lw")).unionByName(kept_edges.select(F.col("b").alias("v"), edge.alias("x"), F.col("a").alias("w"), F.col("la").alias("lw")))
+        grown = kept.select("e", "ls", F.explode("vs").alias("v")).join(arms, "v").where(~F.array_contains("e", F.col("x")))
+        new = F.when(F.map_contains_key("ls", F.col("w")), F.col("ls")).otherwise(F.map_concat("ls", F.create_map("w", "lw")))
+        # an embedding is found once for each edge that may have come last; its labels are the same each time
+        grown_by = materialize(grown.select(F.array_sort(F.array_append("e", F.col("x"))).alias("e"), new.alias("ls")).groupBy("e").agg(F.first("ls").alias("ls")), "fsm-grown")
+        release(coded)
+        now = grown_by
     return out
 
 

@@ -54,11 +54,14 @@ def clique_count(edges: DataFrame, k: int) -> DataFrame:
     return cliques(edges, k).agg(F.count("*").alias("total"))
 
 
-def motifs(edges: DataFrame, k: int) -> DataFrame:
+def motifs(edges: DataFrame, k: int, listed: bool = False) -> DataFrame:
     """(motif, total): vertex-induced connected subgraphs of k = 3, 4 or 5 vertices; names for 3 and 4, for 5 the class
-    (edges; degrees; triangles), of which there are 21."""
+    (edges; degrees; triangles), of which there are 21. Three and four vertices are counted by formula, or, if ``listed``, by
+    matching every motif, which lists the stars of a hub."""
     if k == 5:
         return motif_classes(edges, 5)
+    if not listed:
+        return motifs_by_formula(edges, k)
     if k not in MOTIFS:
         raise ValueError("k is 3, 4 or 5")
     out = None

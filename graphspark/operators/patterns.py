@@ -34,20 +34,26 @@ PATTERNS: dict[str, list[tuple[int, int]]] = {
 
 @dataclass(frozen=True)
 class Plan:
-    """Order of the vertices, edges back and pairs that may not be edges by place, and inequalities (less, greater) by place."""
+    """Order of the vertices; by place, edges back, pairs that aren't edges of the pattern and those that must not be edges; and
+    inequalities (less, greater) by place."""
 
     order: tuple[int, ...]
     back: tuple[tuple[int, ...], ...]
     apart: tuple[tuple[int, ...], ...]
+    banned: tuple[tuple[int, ...], ...]
     less: tuple[tuple[int, int], ...]
 
 
-def automorphisms(n: int, edges: set[frozenset[int]], labels: Sequence | None = None) -> list[tuple[int, ...]]:
-    return [p for p in permutations(range(n)) if (labels is None or all(labels[p[i]] == labels[i] for i in range(n))) and all(frozenset(p[x] for x in e) in edges for e in edges)]
+def automorphisms(n: int, edges: set[frozenset[int]], labels: Sequence | None = None, apart: set[frozenset[int]] = frozenset()) -> list[tuple[int, ...]]:
+    kept = lambda p, pairs: all(frozenset(p[x] for x in e) in pairs for e in pairs)
+    return [p for p in permutations(range(n)) if (labels is None or all(labels[p[i]] == labels[i] for i in range(n))) and kept(p, edges) and kept(p, apart)]
 
 
-def compile_pattern(pattern: Sequence[tuple[int, int]], labels: Sequence | None = None) -> Plan:
-    edges = {frozenset(e) for e in pattern}
+def compile_pattern(pattern: Sequence[tuple[int, int]], labels: Sequence | None = None, apart: Sequence[tuple[int, int]] = ()) -> Plan:
+    """``apart`` are pairs of the pattern that must not be edges."""
+    edges, never = {frozenset(e) for e in pattern}, {frozenset(e) for e in apart}
+    if edges & never:
+        raise ValueError("a pair is an edge and must not be one")
     n = 1 + max(max(e) for e in pattern)
     if any(len(e) != 2 for e in edges) or set().union(*edges) != set(range(n)):
         raise ValueError("a pattern has edges between different vertices, numbered from 0 without gaps")
@@ -61,24 +67,26 @@ def compile_pattern(pattern: Sequence[tuple[int, int]], labels: Sequence | None
         order.append(best)
     place = {v: i for i, v in enumerate(order)}
     back = tuple(tuple(place[u] for u in order[:i] if frozenset((u, v)) in edges) for i, v in enumerate(order))
-    apart = tuple(tuple(place[u] for u in order[:i] if frozenset((u, v)) not in edges) for i, v in enumerate(order))
-    group, less = automorphisms(n, edges, labels), []
+    free = tuple(tuple(place[u] for u in order[:i] if frozenset((u, v)) not in edges) for i, v in enumerate(order))
+    banned = tuple(tuple(place[u] for u in order[:i] if frozenset((u, v)) in never) for i, v in enumerate(order))
+    group, less = automorphisms(n, edges, labels, never), []
     for v in order:  # fix one vertex after the other to the least of its orbit
         less += [(place[v], place[u]) for u in sorted({p[v] for p in group} - {v})]
         group = [p for p in group if p[v] == v]
-    return Plan(tuple(order), back, apart, tuple(less))
+    return Plan(tuple(order), back, free, banned, tuple(less))
 
 
-def match(edges: DataFrame, pattern: str | Sequence[tuple[int, int]], induced: bool = False, vertices: DataFrame | None = None, labels: Sequence | None = None) -> DataFrame:
+def match(edges: DataFrame, pattern: str | Sequence[tuple[int, int]], induced: bool = False, vertices: DataFrame | None = None, labels: Sequence | None = None, apart: Sequence[tuple[int, int]] = ()) -> DataFrame:
     """One row (v0, v1, ..) per subgraph of an undirected graph (both directions in ``edges``) that matches.
 
-    ``labels`` gives each pattern vertex a label of ``vertices(v, label)``; None leaves one free.
+    ``labels`` gives each pattern vertex a label of ``vertices(v, label)``; None leaves one free. ``apart`` are pairs of the
+    pattern that must not be edges; ``induced`` says so of all pairs that aren't its edges.
     """
     if isinstance(pattern, str):
         if pattern not in PATTERNS:
             raise ValueError(f"unknown pattern {pattern}")
         pattern = PATTERNS[pattern]
-    plan = compile_pattern(pattern, labels)
+    plan = compile_pattern(pattern, labels, apart)
     e = edges.select("src", "dst")
 
     def labelled(df: DataFrame, place: int) -> DataFrame:
@@ -98,9 +106,8 @@ def match(edges: DataFrame, pattern: str | Sequence[tuple[int, int]], induced: b
         rows = labelled(rows, i)
         for j in others:
             rows = rows.join(e.select(F.col("src").alias(f"p{j}"), F.col("dst").alias(f"p{i}")), [f"p{j}", f"p{i}"], "left_semi")
-        if induced:
-            for j in plan.apart[i]:
-                rows = rows.join(e.select(F.col("src").alias(f"p{j}"), F.col("dst").alias(f"p{i}")), [f"p{j}", f"p{i}"], "left_anti")
+        for j in plan.apart[i] if induced else plan.banned[i]:
+            rows = rows.join(e.select(F.col("src").alias(f"p{j}"), F.col("dst").alias(f"p{i}")), [f"p{j}", f"p{i}"], "left_anti")
     place = {v: i for i, v in enumerate(plan.order)}
     return rows.select(*[F.col(f"p{place[v]}").alias(f"v{v}") for v in range(len(place))])
 

@@ -30,9 +30,12 @@ def weighted_seq_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(g.edges.withColumn("weight", F.lit(1) + (F.lit(31) * F.col("src") + F.lit(17) * F.col("dst")) % 255), g.vertices, True)
 
 
-def scc_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """A sparse part of the sequence graph, with many strong components."""
-    edges = materialize(seq_edges(spark, sf_dir).where("(src * 31 + dst * 17) % 16 = 0"), "scc-graph")
+def directed_pairs_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Directed, with many strong components: each pair of parts in two common orders, towards the greater part if
+    (31 u + 17 v) is even and towards the lesser if not."""
+    up = F.pmod(F.lit(31) * F.col("u") + F.lit(17) * F.col("v"), F.lit(2)) == 0
+    pairs = common_order_edges(spark, sf_dir, 2).select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("src"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("dst"))
+    edges = materialize(pairs, "directed-pairs")
     return Graph(edges, edges.select(F.col("src").alias("v")).union(edges.select(F.col("dst").alias("v"))).distinct(), True)
 
 
@@ -54,13 +57,6 @@ def cop2_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return _both(materialize(common_order_edges(spark, sf_dir, 2), "cop2"))
 
 
-def mid_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Undirected and denser: parts of the lowest fifth of ids in a common order."""
-    top = table(spark, sf_dir, "part").agg((F.count("*") / 5).alias("top"))
-    pairs = common_order_edges(spark, sf_dir, 1).crossJoin(F.broadcast(top)).where("u < top and v < top").select("u", "v")
-    return _both(materialize(pairs, "mid"))
-
-
 def cop_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Undirected, whole: parts in any common order."""
     return _both(materialize(common_order_edges(spark, sf_dir, 1), "cop"))

@@ -11,8 +11,8 @@ from graphspark import graph as G
 from graphspark.graph import Graph
 from graphspark.operators import coloring, connectivity, factor, fsm, linalg, motifs, patterns, ranking, sets, spanning, traversal
 from graphspark.plans import datasets as D
-from graphspark.session import ensure_importable
-from graphspark.sources import generators, writers
+from graphspark.session import ensure_importable, materialize, scratch_path
+from graphspark.sources import convert, generators, readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,9 +20,8 @@ ORACLES: dict[str, str] = {}
 #: Derived graphs as common table expressions.
 SEQ = "seq AS MATERIALIZED (SELECT DISTINCT s src, d dst FROM (SELECT l_partkey s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) d FROM lineitem) WHERE d IS NOT NULL AND s <> d), vs AS MATERIALIZED (SELECT DISTINCT v FROM (SELECT src v FROM seq UNION ALL SELECT dst FROM seq))"
 COP2 = "half AS MATERIALIZED (SELECT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(DISTINCT a.l_orderkey) >= 2), e AS MATERIALIZED (SELECT u, v FROM half UNION ALL SELECT v, u FROM half)"
-MID = "half AS MATERIALIZED (SELECT DISTINCT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE b.l_partkey < (SELECT count(*) / 5 FROM part)), e AS MATERIALIZED (SELECT u, v FROM half UNION ALL SELECT v, u FROM half)"
 COP = "half AS MATERIALIZED (SELECT DISTINCT a.l_partkey u, b.l_partkey v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey), e AS MATERIALIZED (SELECT u, v FROM half UNION ALL SELECT v, u FROM half)"
-SCC = "escc AS MATERIALIZED (SELECT DISTINCT s, d FROM (SELECT l_partkey s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) d FROM lineitem) WHERE d IS NOT NULL AND s <> d AND (s * 31 + d * 17) % 16 = 0), n AS MATERIALIZED (SELECT s v FROM escc UNION SELECT d FROM escc)"
+DIRECTED = COP2 + ", dp AS MATERIALIZED (SELECT CASE WHEN (31 * u + 17 * v) % 2 = 0 THEN u ELSE v END src, CASE WHEN (31 * u + 17 * v) % 2 = 0 THEN v ELSE u END dst FROM half), n AS (SELECT src v FROM dp UNION SELECT dst FROM dp)"
 RATINGS = "r AS MATERIALIZED (SELECT o_custkey u, l_suppkey i, avg(l_quantity) r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 LABELS = "lab AS (SELECT p_partkey v, CAST(p_size % 4 AS INTEGER) label FROM part)"
 
@@ -59,15 +58,8 @@ def bfs_level_hist(spark, sf):
     return traversal.bfs(D.seq_graph(spark, sf), SOURCE, mode="auto").groupBy("depth").agg(F.count("*").alias("vertices"))
 
 
-@query(f"WITH RECURSIVE {SCC}, r(v, d) AS (SELECT min(s), 0 FROM escc UNION SELECT escc.d, r.d + 1 FROM r JOIN escc ON escc.s = r.v WHERE r.d < 60) SELECT n.v, min(r.d) AS depth FROM n LEFT JOIN r ON n.v = r.v GROUP BY n.v")
-def bfs_pull_all(spark, sf):
-    g = D.scc_graph(spark, sf)
-    return traversal.bfs_all(g, g.edges.agg(F.min("src")).first()[0], mode="pull")
-
-
 @query(f"WITH RECURSIVE {SEQ}, r(v, d) AS (SELECT min(src), 0 FROM seq UNION SELECT seq.dst, r.d + 1 FROM r JOIN seq ON seq.src = r.v WHERE r.d < 12) SELECT vs.v, min(r.d) AS depth FROM vs LEFT JOIN r ON vs.v = r.v GROUP BY vs.v")
-def bfs_pull_whole(spark, sf):
-    """As bfs_pull_all, on the whole sequence graph."""
+def bfs_pull_all(spark, sf):
     g = D.seq_graph(spark, sf)
     return traversal.bfs_all(g, g.edges.agg(F.min("src")).first()[0], mode="pull")
 
@@ -110,7 +102,7 @@ def bc_single_source(spark, sf):
 def _pr_sql(rounds: int, out: str) -> str:
     return f"""WITH RECURSIVE {SEQ}, m AS (SELECT count(*) m FROM vs), od AS MATERIALIZED (SELECT src, count(*) k FROM seq GROUP BY src),
         r AS (SELECT 0 it, v, CAST(1 AS DOUBLE) / m s FROM vs, m UNION ALL SELECT * FROM (
-            SELECT r.it + 1, seq.dst, 0.15 / (SELECT m FROM m) + 0.85 * sum(r.s / od.k) FROM r JOIN seq ON seq.src = r.v JOIN od ON od.src = r.v WHERE r.it < {rounds} GROUP BY r.it, seq.dst))
+            SELECT it + 1, v, 0.15 / (SELECT m FROM m) + 0.85 * sum(c) FROM (SELECT r.it, seq.dst v, r.s / od.k c FROM r JOIN seq ON seq.src = r.v JOIN od ON od.src = r.v UNION ALL SELECT it, v, 0 FROM r) WHERE it < {rounds} GROUP BY it, v))
         {out}"""
 
 
@@ -128,12 +120,11 @@ def pagerank_converged(spark, sf):
     return scores.select("v", F.round(F.col("score") * g.vertices.count(), 2).alias("score"))
 
 
-@query("SELECT true AS within")
+@query(_pr_sql(60, "SELECT v, round(s * (SELECT m FROM m), 3) AS score FROM r WHERE it = 60"))
 def pagerank_delta(spark, sf):
-    """Whether the residual of the approximate scores is within the tolerance of its active vertices."""
     g = D.seq_graph(spark, sf)
-    scores, _ = ranking.pagerank_delta(g)
-    return spark.createDataFrame([(ranking.pagerank_residual(g, scores) < 1e-2,)], "within boolean")
+    scores, _ = ranking.pagerank_delta(g, tolerance=1e-10)
+    return scores.select("v", F.round(F.col("score") * g.vertices.count(), 3).alias("score"))
 
 
 # Connectivity
@@ -156,36 +147,56 @@ def cc_sizes(spark, sf):
     return connectivity.connected_components(D.cop2_graph(spark, sf)).groupBy("component").agg(F.count("*").alias("vertices"))
 
 
-_SCC = f"WITH RECURSIVE {SCC}, r(a, b) AS (SELECT v, v FROM n UNION SELECT r.a, escc.d FROM r JOIN escc ON escc.s = r.b), c AS (SELECT x.a v, min(x.b) component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)"
+# The component of one vertex by what it reaches and what reaches it, the rest by closure among themselves.
+_SCC = f"""WITH RECURSIVE {SEQ}, f(v) AS (SELECT min(v) FROM vs UNION SELECT dst FROM f JOIN seq ON src = f.v), b(v) AS (SELECT min(v) FROM vs UNION SELECT src FROM b JOIN seq ON dst = b.v),
+    giant AS MATERIALIZED (SELECT v FROM f INTERSECT SELECT v FROM b), re AS MATERIALIZED (SELECT src, dst FROM seq WHERE src NOT IN (SELECT v FROM giant) AND dst NOT IN (SELECT v FROM giant)),
+    r(a, b) AS (SELECT v, v FROM vs WHERE v NOT IN (SELECT v FROM giant) UNION SELECT r.a, re.dst FROM r JOIN re ON re.src = r.b),
+    c AS (SELECT v, (SELECT min(v) FROM giant) component FROM giant UNION ALL SELECT x.a, min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)"""
+_SIZES = "SELECT size, count(*) AS components FROM (SELECT component, count(*) AS size FROM c GROUP BY component) GROUP BY size"
+_SCC_PAIRS = f"WITH RECURSIVE {DIRECTED}, r(a, b) AS (SELECT v, v FROM n UNION SELECT r.a, dp.dst FROM r JOIN dp ON dp.src = r.b), c AS (SELECT x.a v, min(x.b) component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)"
 
 
 @query(f"{_SCC} SELECT v, component FROM c")
 def scc_labels(spark, sf):
-    return connectivity.strongly_connected_components(D.scc_graph(spark, sf))
+    return connectivity.strongly_connected_components(D.seq_graph(spark, sf))
 
 
-@query(f"{_SCC} SELECT size, count(*) AS components FROM (SELECT component, count(*) AS size FROM c GROUP BY component) GROUP BY size")
+@query(f"{_SCC} {_SIZES}")
 def scc_sizes(spark, sf):
-    return writers.component_report(connectivity.strongly_connected_components(D.scc_graph(spark, sf)))
+    return writers.component_report(connectivity.strongly_connected_components(D.seq_graph(spark, sf)))
 
 
-@query()
-def scc_labels_whole(spark, sf):
-    """As scc_labels, on the whole sequence graph; its closure is too large for SQL, tests hold it against plain Python."""
-    return connectivity.strongly_connected_components(D.seq_graph(spark, sf))
+@query(f"{_SCC_PAIRS} SELECT v, component FROM c")
+def scc_pairs_labels(spark, sf):
+    """Many components: the rounds of the second phase."""
+    return connectivity.strongly_connected_components(D.directed_pairs_graph(spark, sf))
 
 
-@query()
-def scc_sizes_whole(spark, sf):
-    return writers.component_report(connectivity.strongly_connected_components(D.seq_graph(spark, sf)))
+@query(f"{_SCC_PAIRS} {_SIZES}")
+def scc_pairs_sizes(spark, sf):
+    return writers.component_report(connectivity.strongly_connected_components(D.directed_pairs_graph(spark, sf)))
 
 
-@query()
+#: Core numbers are the greatest values that are the h-index of their neighbours' values.
+_CORES = f"""WITH RECURSIVE {COP2}, c(v, k) USING KEY (v) AS (SELECT u, count(*) FROM e GROUP BY u UNION SELECT * FROM (
+    SELECT h.v, h.k FROM (SELECT v, max(least(x, place)) k FROM (SELECT e.u v, y.k x, row_number() OVER (PARTITION BY e.u ORDER BY y.k DESC) place FROM e JOIN recurring.c y ON y.v = e.v) GROUP BY v) h JOIN recurring.c o ON o.v = h.v WHERE h.k < o.k))
+    SELECT v, CAST(k AS INTEGER) AS core FROM c"""
+
+
+@query(_CORES)
 def kcore(spark, sf):
     return connectivity.core_numbers(D.cop2_graph(spark, sf))
 
 
-@query()
+#: A forest of least weight has, for each weight w, as many edges over w as there are components of the edges of weight w or less, beyond those of all.
+_MST = f"""WITH RECURSIVE {COP2}, we AS MATERIALIZED (SELECT u, v, 1 + (31 * least(u, v) + 17 * greatest(u, v)) % 255 w FROM e), vs AS MATERIALIZED (SELECT DISTINCT u v FROM e), t AS (SELECT unnest(range(0, 256)) t),
+    r(t, v, l) USING KEY (t, v) AS (SELECT CAST(t.t AS BIGINT), vs.v, vs.v FROM t, vs UNION SELECT * FROM (
+        SELECT r.t, we.v, min(r.l) FROM r JOIN we ON we.u = r.v AND we.w <= r.t JOIN recurring.r o ON o.t = r.t AND o.v = we.v WHERE r.l < o.l GROUP BY r.t, we.v)),
+    k AS (SELECT t, count(DISTINCT l) k FROM r GROUP BY t)
+    SELECT CAST(sum(k.k - z.k) AS BIGINT) AS weight, (SELECT count(*) FROM vs) - any_value(z.k) AS edges, any_value(z.k) AS components FROM k, (SELECT k FROM k WHERE t = 255) z"""
+
+
+@query(_MST)
 def mst_weight(spark, sf):
     g = D.cop2_graph(spark, sf)
     return spanning.forest_summary(Graph(g.edges.withColumn("weight", F.lit(1) + (F.lit(31) * F.least("src", "dst") + F.lit(17) * F.greatest("src", "dst")) % 255), g.vertices, False))
@@ -212,17 +223,22 @@ def spmv_weighted(spark, sf):
     return linalg.spmv(g, g.vertices.select("v", (1.0 + F.col("v") % 7).alias("value")))
 
 
-@query("SELECT true AS lower")
+def _symgs_sql(classes: int) -> str:
+    steps, rounds = "x0 AS MATERIALIZED (SELECT v, CAST(0 AS DOUBLE) x FROM d)", [*range(classes), *reversed(range(classes))]
+    for i, c in enumerate(rounds):
+        steps += f", x{i + 1} AS MATERIALIZED (SELECT o.v, CASE WHEN o.v % {classes} = {c} THEN (1 + coalesce(s.s, 0)) / (2 * d.k + 1) ELSE o.x END x FROM x{i} o JOIN d ON d.v = o.v LEFT JOIN (SELECT e.u v, sum(y.x) s FROM e JOIN x{i} y ON y.v = e.v GROUP BY 1) s ON s.v = o.v)"
+    return f"WITH {COP2}, d AS MATERIALIZED (SELECT u v, count(*) k FROM e GROUP BY u), {steps} SELECT v, round(x, 9) AS value FROM x{len(rounds)}"
+
+
+@query(_symgs_sql(3))
 def symgs_sweep(spark, sf):
-    """Whether a sweep lowers the residual of a diagonally dominant system."""
+    """A sweep up and down over three classes of rows (v modulo 3) of a diagonally dominant system; rows of a class move together."""
     g = D.cop2_graph(spark, sf)
     matrix = g.edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(-1.0).alias("value"))
     diagonal = G.out_degrees(g).select("v", (2.0 * F.col("degree") + 1.0).alias("value"))
-    b = g.vertices.select("v", F.lit(1.0).alias("value"))
-    x = linalg.symmetric_gauss_seidel(matrix, diagonal, b, coloring.color(g))
-    zero = g.vertices.select("v", F.lit(0.0).alias("value"))
-    size = lambda x: linalg.residual(matrix, diagonal, b, x).agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("r"))
-    return size(x).withColumnRenamed("r", "after").crossJoin(size(zero)).select((F.col("after") < 0.5 * F.col("r")).alias("lower"))
+    classes = g.vertices.select("v", (F.col("v") % 3).cast("int").alias("color"))
+    x = linalg.symmetric_gauss_seidel(matrix, diagonal, g.vertices.select("v", F.lit(1.0).alias("value")), classes)
+    return x.select("v", F.round("value", 9).alias("value"))
 
 
 @query(f"WITH {RATINGS} SELECT round(sqrt(sum((r - 0.05) * (r - 0.05)) / count(*)), 6) AS rmse FROM r")
@@ -243,6 +259,15 @@ def sgd_batch_epoch(spark, sf):
     return factor.rmse(r, users, items).select(F.round("rmse", 6).alias("rmse"))
 
 
+@query()
+def sgd_rows_epoch(spark, sf):
+    """An epoch of updates in row order (user, item), which is one task by its nature; SQL has no such loop, a test in plain Python has."""
+    r = D.ratings(spark, sf)
+    users, items = (factor.initial_latents(r.select(F.col(c).alias("id")).distinct(), value=0.05) for c in ("u", "i"))
+    out = factor.sgd_sequential(r, users, items, eta=1e-4, iterations=1)
+    return out.groupBy("side").agg(F.count("*").alias("rows"), F.round(F.max(F.col("rmses")[0]), 6).alias("rmse"), F.round(F.sum(F.aggregate("latent", F.lit(0.0), lambda a, x: a + x)), 4).alias("total"))
+
+
 # Triangles, cliques, motifs
 
 @query(f"WITH {COP2} SELECT count(*) AS total FROM half a JOIN half b ON a.v = b.u JOIN half x ON x.u = a.u AND x.v = b.v")
@@ -250,19 +275,27 @@ def triangle_count(spark, sf):
     return motifs.triangle_count(D.cop2_graph(spark, sf).edges)
 
 
-@query(f"WITH {MID}, t AS (SELECT a.u x, a.v y, b.v z FROM half a JOIN half b ON a.v = b.u JOIN half c ON c.u = a.u AND c.v = b.v) SELECT v, count(*) AS triangles FROM (SELECT x v FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY v")
+_T3 = "t AS (SELECT a.u x, a.v y, b.v z FROM half a JOIN half b ON a.v = b.u JOIN half c ON c.u = a.u AND c.v = b.v)"
+
+
+@query(f"WITH {COP}, {_T3} SELECT v, count(*) AS triangles FROM (SELECT x v FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY v")
 def triangles_per_vertex(spark, sf):
-    return motifs.triangles_per_vertex(D.mid_graph(spark, sf).edges)
+    return motifs.triangles_per_vertex(D.cop_graph(spark, sf).edges)
+
+
+@query(f"WITH {COP} SELECT count(*) AS total FROM half a JOIN half b ON a.v = b.u JOIN half x ON x.u = a.u AND x.v = b.v")
+def triangle_count_all_pairs(spark, sf):
+    return motifs.triangle_count(D.cop_graph(spark, sf).edges)
 
 
-def _clique_sql(k: int, out: str, graph: str = MID) -> str:
+def _clique_sql(k: int, out: str, graph: str = COP) -> str:
     joins = "".join(f" JOIN half e{i} ON e{i}.u = e{i - 1}.v" + "".join(f" JOIN half c{j}_{i} ON c{j}_{i}.u = e{j + 1}.u AND c{j}_{i}.v = e{i}.v" for j in range(i - 1)) for i in range(2, k))
     return f"WITH {graph} SELECT {out} FROM half e1{joins}"
 
 
 for _k in (3, 4, 5):
     def _cliques(spark, sf, k=_k):
-        return motifs.clique_count(D.mid_graph(spark, sf).edges, k)
+        return motifs.clique_count(D.cop_graph(spark, sf).edges, k)
 
     _cliques.__name__ = f"clique{_k}_count"
     query(_clique_sql(_k, "count(*) AS total"))(_cliques)
@@ -270,7 +303,7 @@ for _k in (3, 4, 5):
 
 @query(_clique_sql(4, "e1.u AS v0, e1.v AS v1, e2.v AS v2, e3.v AS v3"))
 def clique4_list(spark, sf):
-    c = motifs.cliques(D.mid_graph(spark, sf).edges, 4).select(F.array_sort(F.array("v0", "v1", "v2", "v3")).alias("c"))
+    c = motifs.cliques(D.cop_graph(spark, sf).edges, 4).select(F.array_sort(F.array("v0", "v1", "v2", "v3")).alias("c"))
     return c.select(*[F.col("c")[i].alias(f"v{i}") for i in range(4)])
 
 
@@ -278,14 +311,14 @@ _M3 = "SELECT 'triangle' AS motif, t AS total FROM tt UNION ALL SELECT 'wedge',
 _T = "tt AS (SELECT count(*) t FROM half a JOIN half b ON a.v = b.u JOIN half x ON x.u = a.u AND x.v = b.v), ww AS (SELECT CAST(sum(k * (k - 1) // 2) AS BIGINT) w FROM (SELECT u, count(*) k FROM e GROUP BY u))"
 
 
-@query(f"WITH {MID}, {_T} {_M3}")
+@query(f"WITH {COP}, {_T} {_M3}")
 def motif3(spark, sf):
-    return motifs.motifs(D.mid_graph(spark, sf).edges, 3)
+    return motifs.motifs(D.cop_graph(spark, sf).edges, 3)
 
 
-@query(f"WITH {MID}, {_T} {_M3}")
+@query(f"WITH {COP}, {_T} {_M3}")
 def motif3_formula(spark, sf):
-    return motifs.motifs_by_formula(D.mid_graph(spark, sf).edges, 3)
+    return motifs.motifs_by_formula(D.cop_graph(spark, sf).edges, 3)
 
 
 def _motif_sql(graph: str) -> str:
@@ -309,12 +342,23 @@ def motif4(spark, sf):
     return motifs.motifs(D.cop2_graph(spark, sf).edges, 4)
 
 
-@query(_motif_sql(MID))
+@query(_motif_sql(COP))
 def motif4_formula(spark, sf):
-    return motifs.motifs_by_formula(D.mid_graph(spark, sf).edges, 4)
+    return motifs.motifs_by_formula(D.cop_graph(spark, sf).edges, 4)
 
 
-@query()
+#: Connected sets grow by one neighbour at a time; a class is told by edges, sorted degrees and triangles.
+_MOTIF5 = f"""WITH {COP2}, s2 AS (SELECT [u, v] s FROM half),
+    s3 AS MATERIALIZED (SELECT DISTINCT list_sort(list_append(s, e.v)) s FROM (SELECT s, unnest(s) x FROM s2) JOIN e ON e.u = x WHERE NOT list_contains(s, e.v)),
+    s4 AS MATERIALIZED (SELECT DISTINCT list_sort(list_append(s, e.v)) s FROM (SELECT s, unnest(s) x FROM s3) JOIN e ON e.u = x WHERE NOT list_contains(s, e.v)),
+    s5 AS MATERIALIZED (SELECT row_number() OVER () i, s FROM (SELECT DISTINCT list_sort(list_append(s, e.v)) s FROM (SELECT s, unnest(s) x FROM s4) JOIN e ON e.u = x WHERE NOT list_contains(s, e.v))),
+    m AS MATERIALIZED (SELECT i, unnest(s) v FROM s5), en AS MATERIALIZED (SELECT a.i, a.v a, b.v b FROM m a JOIN m b ON a.i = b.i JOIN e ON e.u = a.v AND e.v = b.v),
+    d AS (SELECT i, list_sort(list(k)) ds, CAST(sum(k) AS BIGINT) // 2 es FROM (SELECT i, a, count(*) k FROM en GROUP BY i, a) GROUP BY i),
+    tr AS (SELECT x.i, count(*) // 6 t FROM en x JOIN en y ON y.i = x.i AND y.a = x.b JOIN en z ON z.i = x.i AND z.a = y.b AND z.b = x.a GROUP BY x.i)
+    SELECT concat(d.es, '; ', array_to_string(d.ds, ' '), '; ', coalesce(tr.t, 0)) AS motif, count(*) AS total FROM d LEFT JOIN tr USING (i) GROUP BY 1"""
+
+
+@query(_MOTIF5)
 def motif5(spark, sf):
     return motifs.motifs(D.cop2_graph(spark, sf).edges, 5)
 
@@ -348,74 +392,36 @@ for _name, _sql in _SGL.items():
 
 # Frequent subgraphs
 
-@query(f"WITH {MID}, {LABELS} SELECT x.label AS la, y.label AS lb, least(count(DISTINCT e.u), count(DISTINCT e.v)) AS support FROM e JOIN lab x ON x.v = e.u JOIN lab y ON y.v = e.v WHERE x.label <= y.label GROUP BY 1, 2")
+@query(f"WITH {COP}, {LABELS} SELECT x.label AS la, y.label AS lb, least(count(DISTINCT e.u), count(DISTINCT e.v)) AS support FROM e JOIN lab x ON x.v = e.u JOIN lab y ON y.v = e.v WHERE x.label <= y.label GROUP BY 1, 2")
 def fsm_edge_patterns(spark, sf):
-    return fsm.edge_pattern_support(D.mid_graph(spark, sf).edges, D.part_labels(spark, sf))
+    return fsm.edge_pattern_support(D.cop_graph(spark, sf).edges, D.part_labels(spark, sf))
 
 
-@query(f"WITH {MID}, {LABELS} SELECT z.label AS lc, x.label AS la, y.label AS lb, least(count(DISTINCT a.u), count(DISTINCT a.v), count(DISTINCT b.v)) AS support FROM e a JOIN e b ON a.u = b.u AND a.v <> b.v JOIN lab z ON z.v = a.u JOIN lab x ON x.v = a.v JOIN lab y ON y.v = b.v WHERE x.label <= y.label GROUP BY 1, 2, 3")
+@query(f"WITH {COP}, {LABELS} SELECT z.label AS lc, x.label AS la, y.label AS lb, least(count(DISTINCT a.u), count(DISTINCT a.v), count(DISTINCT b.v)) AS support FROM e a JOIN e b ON a.u = b.u AND a.v <> b.v JOIN lab z ON z.v = a.u JOIN lab x ON x.v = a.v JOIN lab y ON y.v = b.v WHERE x.label <= y.label GROUP BY 1, 2, 3")
 def fsm_wedge_patterns(spark, sf):
-    return fsm.wedge_pattern_support(D.mid_graph(spark, sf).edges, D.part_labels(spark, sf))
-
-
-@query()
-def fsm_k(spark, sf):
-    """Patterns of up to two edges; their number must agree with the two queries above."""
-    return fsm.frequent_subgraphs(D.cop2_graph(spark, sf).edges, D.part_labels(spark, sf), 2, 20)
-
-
-# The same kernels on all pairs of parts in a common order
-
-_T3 = "t AS (SELECT a.u x, a.v y, b.v z FROM half a JOIN half b ON a.v = b.u JOIN half c ON c.u = a.u AND c.v = b.v)"
-
-
-@query(f"WITH {COP}, {_T3} SELECT v, count(*) AS triangles FROM (SELECT x v FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY v")
-def triangles_per_vertex_whole(spark, sf):
-    return motifs.triangles_per_vertex(D.cop_graph(spark, sf).edges)
-
-
-@query(f"WITH {COP} SELECT count(*) AS total FROM half a JOIN half b ON a.v = b.u JOIN half x ON x.u = a.u AND x.v = b.v")
-def triangle_count_whole(spark, sf):
-    return motifs.triangle_count(D.cop_graph(spark, sf).edges)
-
-
-for _k in (3, 4, 5):
-    def _whole_cliques(spark, sf, k=_k):
-        return motifs.clique_count(D.cop_graph(spark, sf).edges, k)
-
-    _whole_cliques.__name__ = f"clique{_k}_count_whole"
-    query(_clique_sql(_k, "count(*) AS total", COP))(_whole_cliques)
-
-
-@query(_clique_sql(4, "e1.u AS v0, e1.v AS v1, e2.v AS v2, e3.v AS v3", COP))
-def clique4_list_whole(spark, sf):
-    c = motifs.cliques(D.cop_graph(spark, sf).edges, 4).select(F.array_sort(F.array("v0", "v1", "v2", "v3")).alias("c"))
-    return c.select(*[F.col("c")[i].alias(f"v{i}") for i in range(4)])
-
-
-@query(f"WITH {COP}, {_T} {_M3}")
-def motif3_whole(spark, sf):
-    return motifs.motifs(D.cop_graph(spark, sf).edges, 3)
-
-
-@query(f"WITH {COP}, {_T} {_M3}")
-def motif3_formula_whole(spark, sf):
-    return motifs.motifs_by_formula(D.cop_graph(spark, sf).edges, 3)
+    return fsm.wedge_pattern_support(D.cop_graph(spark, sf).edges, D.part_labels(spark, sf))
 
 
-@query(_motif_sql(COP))
-def motif4_formula_whole(spark, sf):
-    return motifs.motifs_by_formula(D.cop_graph(spark, sf).edges, 4)
+def _fsm_sql(graph: str, support: int, e: str = "e", label: str = "0") -> str:
+    """Single edges and wedges by their canonical codes: sorted labels, and the least places of the edges over them."""
+    return f"""WITH {graph}, {LABELS}, one AS (SELECT x.label la, y.label lb, least(count(DISTINCT e.u), count(DISTINCT e.v)) support FROM e JOIN lab x ON x.v = e.u JOIN lab y ON y.v = e.v WHERE x.label <= y.label GROUP BY 1, 2),
+        two AS (SELECT z.label lc, x.label la, y.label lb, least(count(DISTINCT a.u), count(DISTINCT a.v), count(DISTINCT b.v)) support FROM e a JOIN e b ON a.u = b.u AND a.v <> b.v JOIN lab z ON z.v = a.u JOIN lab x ON x.v = a.v JOIN lab y ON y.v = b.v WHERE x.label <= y.label GROUP BY 1, 2, 3)
+        SELECT CAST(1 AS INTEGER) AS edges, concat(la, ',', lb, '|0-1:0') AS code, support FROM one WHERE support >= {support}
+        UNION ALL SELECT 2, concat(array_to_string(list_sort([la, lb, lc]), ','), '|', CASE CAST(la < lc AS INTEGER) + CAST(lb < lc AS INTEGER) WHEN 0 THEN '0-1:0 0-2:0' WHEN 1 THEN '0-1:0 1-2:0' ELSE '0-2:0 1-2:0' END), support FROM two WHERE support >= {support}"""
 
 
-@query(f"WITH {COP}, {LABELS} SELECT x.label AS la, y.label AS lb, least(count(DISTINCT e.u), count(DISTINCT e.v)) AS support FROM e JOIN lab x ON x.v = e.u JOIN lab y ON y.v = e.v WHERE x.label <= y.label GROUP BY 1, 2")
-def fsm_edge_patterns_whole(spark, sf):
-    return fsm.edge_pattern_support(D.cop_graph(spark, sf).edges, D.part_labels(spark, sf))
+@query(f"WITH {COP2}, {LABELS}, le AS MATERIALIZED (SELECT e.u, e.v, (31 * least(e.u, e.v) + 17 * greatest(e.u, e.v)) % 3 l FROM e) SELECT concat(x.label, ',', y.label, '|0-1:', le.l) AS code, least(count(DISTINCT le.u), count(DISTINCT le.v)) AS support FROM le JOIN lab x ON x.v = le.u JOIN lab y ON y.v = le.v WHERE x.label <= y.label GROUP BY x.label, y.label, le.l HAVING least(count(DISTINCT le.u), count(DISTINCT le.v)) >= 20")
+def fsm_edge_labels(spark, sf):
+    """Single edges with labels of their own."""
+    g = D.cop2_graph(spark, sf)
+    labelled = g.edges.withColumn("elabel", ((F.lit(31) * F.least("src", "dst") + F.lit(17) * F.greatest("src", "dst")) % 3).cast("int"))
+    return fsm.frequent_subgraphs(labelled, D.part_labels(spark, sf), 1, 20).select("code", "support")
 
 
-@query(f"WITH {COP}, {LABELS} SELECT z.label AS lc, x.label AS la, y.label AS lb, least(count(DISTINCT a.u), count(DISTINCT a.v), count(DISTINCT b.v)) AS support FROM e a JOIN e b ON a.u = b.u AND a.v <> b.v JOIN lab z ON z.v = a.u JOIN lab x ON x.v = a.v JOIN lab y ON y.v = b.v WHERE x.label <= y.label GROUP BY 1, 2, 3")
-def fsm_wedge_patterns_whole(spark, sf):
-    return fsm.wedge_pattern_support(D.cop_graph(spark, sf).edges, D.part_labels(spark, sf))
+@query(_fsm_sql(COP2, 20))
+def fsm_k(spark, sf):
+    """Patterns of up to two edges."""
+    return fsm.frequent_subgraphs(D.cop2_graph(spark, sf).edges, D.part_labels(spark, sf), 2, 20)
 
 
 # The graph model, sources and set algebra
@@ -450,11 +456,29 @@ def label_frequency(spark, sf):
 
 @query(f"WITH {COP2} SELECT half.u AS a, half.v AS b, (SELECT count(*) FROM e x JOIN e y ON x.v = y.v WHERE x.u = half.u AND y.u = half.v) AS both, (SELECT count(*) FROM e x WHERE x.u = half.u AND x.v <> half.v AND NOT EXISTS (SELECT 1 FROM e y WHERE y.u = half.v AND y.v = x.v)) AS only FROM half")
 def set_algebra(spark, sf):
-    """Common and unshared neighbours of the ends of each edge, by arrays."""
+    """Numbers of common and of unshared neighbours of the ends of each edge, by joins: no array of neighbours is carried about."""
+    edges = D.cop2_graph(spark, sf).edges
+    pairs = G.half_edges(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    both = sets.neighbors_in_common(pairs, edges).groupBy("a", "b").agg(F.count("*").alias("both"))
+    only = sets.neighbors_not_shared(pairs, edges).groupBy("a", "b").agg(F.count("*").alias("only"))
+    return pairs.join(both, ["a", "b"], "left").join(only, ["a", "b"], "left").select("a", "b", F.coalesce("both", F.lit(0)).cast("long").alias("both"), F.coalesce("only", F.lit(0)).cast("long").alias("only"))
+
+
+@query(f"WITH {COP2} SELECT half.u AS a, half.v AS b, (SELECT count(*) FROM e x JOIN e y ON x.v = y.v WHERE x.u = half.u AND y.u = half.v AND x.v < half.u) AS below, (SELECT count(*) FROM e x WHERE x.u = half.u AND x.v < half.v AND x.v <> half.v AND NOT EXISTS (SELECT 1 FROM e y WHERE y.u = half.v AND y.v = x.v)) AS only_below, (SELECT count(*) FROM (SELECT v FROM e x WHERE x.u = half.u UNION SELECT v FROM e y WHERE y.u = half.v)) AS either FROM half")
+def set_algebra_bounded(spark, sf):
+    """The bounded forms and the union, by arrays of one row."""
     edges = D.cop2_graph(spark, sf).edges
     near = G.adjacency(edges)
     pairs = G.half_edges(edges).join(near.select("src", F.col("neighbors").alias("na")), "src").join(near.select(F.col("src").alias("dst"), F.col("neighbors").alias("nb")), "dst")
-    return pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), sets.intersection_count("na", "nb").cast("long").alias("both"), sets.difference_count("na", "nb", F.col("dst")).cast("long").alias("only"))
+    return pairs.select(
+        F.col("src").alias("a"), F.col("dst").alias("b"), sets.intersection_count("na", "nb", F.col("src")).cast("long").alias("below"), sets.difference_count("na", "nb", F.col("dst"), F.col("dst")).cast("long").alias("only_below"), F.size(sets.union("na", "nb")).cast("long").alias("either")
+    )
+
+
+@query(f"WITH {COP2}, {LABELS} SELECT half.u AS a, half.v AS b, count(*) AS n FROM half JOIN e x ON x.u = half.u JOIN e y ON y.u = half.v AND y.v = x.v JOIN lab ON lab.v = x.v AND lab.label = 1 GROUP BY 1, 2")
+def labelled_common(spark, sf):
+    edges = D.cop2_graph(spark, sf).edges
+    return sets.labelled_common_count(G.half_edges(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")), edges, D.part_labels(spark, sf), 1)
 
 
 @query(f"WITH {COP2} SELECT half.u AS a, half.v AS b, x.v FROM half JOIN e x ON x.u = half.u JOIN e y ON y.u = half.v AND y.v = x.v")
@@ -470,5 +494,111 @@ def prefix_sum(spark, sf):
 
 @query()
 def generated_rmat(spark, sf):
-    """Out-degree histogram of a generated graph (the same on every run)."""
-    return G.out_degrees(generators.generate(spark, 10, 8)).groupBy("degree").agg(F.count("*").alias("vertices"))
+    """Out-degree histogram of a generated graph with about as many vertices as there are parts (the same on every run)."""
+    scale = max(1, D.table(spark, sf, "part").count().bit_length())
+    return G.out_degrees(generators.generate(spark, scale, 8)).groupBy("degree").agg(F.count("*").alias("vertices"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) * 8 AS edges, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS badly_weighted FROM (SELECT unnest(range(0, CAST(pow(2, CAST(floor(log2(count(*))) AS INTEGER) + 1) AS BIGINT))) FROM part)")
+def generated_uniform(spark, sf):
+    """Edges, those with an end outside the vertices, and weights outside 1..255, of a uniform graph of that size."""
+    scale = max(1, D.table(spark, sf, "part").count().bit_length())
+    e = generators.random_weights(generators.uniform_edges(spark, scale, 8))
+    outside = (F.col("src") < 0) | (F.col("dst") < 0) | (F.col("src") >= 1 << scale) | (F.col("dst") >= 1 << scale)
+    return e.agg(F.count("*").alias("edges"), F.count_if(outside).alias("outside"), F.count_if((F.col("weight") < 1) | (F.col("weight") > 255)).alias("badly_weighted"))
+
+
+# Files: tables written in a format and read back
+
+def _written(spark: SparkSession, write, read) -> DataFrame:
+    path = scratch_path(spark, "file")
+    write(path)
+    return read(path)
+
+
+@query(f"WITH {SEQ} SELECT src, dst FROM seq")
+def file_mtx(spark, sf):
+    g = D.seq_graph(spark, sf)
+    return _written(spark, lambda p: writers.write_mtx(g, p), lambda p: readers.read_mtx(spark, p, strict=True)).edges
+
+
+@query(f"WITH {SEQ} SELECT src, dst, CAST(1 + (31 * src + 17 * dst) % 255 AS DOUBLE) AS weight FROM seq")
+def file_mtx_weighted(spark, sf):
+    g = D.weighted_seq_graph(spark, sf)
+    return _written(spark, lambda p: writers.write_mtx(g, p), lambda p: readers.read_mtx(spark, p)).edges
+
+
+@query(f"WITH {RATINGS} SELECT u, i, r FROM r")
+def file_ratings(spark, sf):
+    """A rectangular matrix of ratings."""
+    r = materialize(D.ratings(spark, sf), "ratings")
+    size = r.agg(F.max("u"), F.max("i"), F.count("*")).first()
+    lines = r.select(F.concat_ws(" ", (F.col("u") + 1).cast("string"), (F.col("i") + 1).cast("string"), F.col("r").cast("string")).alias("value"))
+    head = f"%%MatrixMarket matrix coordinate real general\n{size[0] + 1} {size[1] + 1} {size[2]}"
+    return _written(spark, lambda p: writers.write_lines(lines, p, head), lambda p: readers.read_ratings_mtx(spark, p))
+
+
+@query(f"WITH {SEQ} SELECT src, dst FROM seq")
+def file_el(spark, sf):
+    g = D.seq_graph(spark, sf)
+    return _written(spark, lambda p: writers.write_el(g, p, base=1, header=True), lambda p: readers.read_el(spark, p, header=True, base=1)).edges
+
+
+@query(f"WITH {SEQ} SELECT src, dst, CAST(1 + (31 * src + 17 * dst) % 255 AS DOUBLE) AS weight FROM seq")
+def file_wel(spark, sf):
+    g = D.weighted_seq_graph(spark, sf)
+    return _written(spark, lambda p: writers.write_el(g, p), lambda p: readers.load_graph(spark, p, "wel")).edges
+
+
+@query(f"WITH {SEQ} SELECT src, dst, 1 + (31 * src + 17 * dst) % 255 AS weight FROM seq")
+def file_gr(spark, sf):
+    g = D.weighted_seq_graph(spark, sf)
+    return _written(spark, lambda p: writers.write_gr(g, p), lambda p: readers.load_graph(spark, p, "gr")).edges
+
+
+@query(f"WITH {COP2} SELECT u AS src, v AS dst FROM e")
+def file_metis(spark, sf):
+    g = D.cop2_graph(spark, sf)
+    return _written(spark, lambda p: writers.write_metis(g, p), lambda p: readers.load_graph(spark, p, "graph")).edges
+
+
+@query(f"WITH {COP2} SELECT u AS src, v AS dst FROM e")
+def file_adjacency(spark, sf):
+    g = D.cop2_graph(spark, sf)
+    return _written(spark, lambda p: writers.write_adjacency(g, p), lambda p: readers.load_graph(spark, p, "adj")).edges
+
+
+@query(f"WITH {COP2}, {LABELS} SELECT e.u AS src, e.v AS dst, a.label AS la, b.label AS lb, CAST((31 * least(u, e.v) + 17 * greatest(u, e.v)) % 3 AS INTEGER) AS elabel FROM e JOIN lab a ON a.v = e.u JOIN lab b ON b.v = e.v")
+def file_labelled(spark, sf):
+    """Labels of vertices and of edges."""
+    g = D.cop2_graph(spark, sf)
+    own = Graph(g.edges.withColumn("elabel", ((F.lit(31) * F.least("src", "dst") + F.lit(17) * F.greatest("src", "dst")) % 3).cast("int")), D.part_labels(spark, sf), False)
+    back = _written(spark, lambda p: writers.write_labelled(own, p), lambda p: readers.load_graph(spark, p, "lg"))
+    a, b = back.vertices.select(F.col("v").alias("src"), F.col("label").alias("la")), back.vertices.select(F.col("v").alias("dst"), F.col("label").alias("lb"))
+    return back.edges.join(a, "src").join(b, "dst").select("src", "dst", "la", "lb", "elabel")
+
+
+@query(f"WITH {SEQ} SELECT least(src, dst) AS src, greatest(src, dst) AS dst FROM seq GROUP BY 1, 2")
+def convert_cel(spark, sf):
+    """From a matrix file to an edge list of each edge once."""
+    g = D.seq_graph(spark, sf)
+    source = scratch_path(spark, "file")
+    writers.write_mtx(g, source)
+    return _written(spark, lambda p: convert.convert(spark, source, p, "mtx", "cel"), lambda p: readers.load_graph(spark, p, "el")).edges
+
+
+@query(f"WITH {SEQ} SELECT src, dst FROM seq UNION SELECT dst, src FROM seq")
+def convert_sel(spark, sf):
+    """From an edge list to one of both directions."""
+    g = D.seq_graph(spark, sf)
+    source = scratch_path(spark, "file")
+    writers.write_el(g, source)
+    return _written(spark, lambda p: convert.convert(spark, source, p, "el", "sel"), lambda p: readers.load_graph(spark, p, "el")).edges
+
+
+@query(f"WITH {SEQ} SELECT src AS v, count(*) AS degree FROM seq GROUP BY src")
+def file_degrees(spark, sf):
+    """The dump of out-degrees, of those that aren't 0."""
+    g = D.seq_graph(spark, sf)
+    back = _written(spark, lambda p: writers.write_degrees(g, p), lambda p: spark.read.text(f"{p}/out_degree"))
+    return back.select(F.split("value", " ")[0].cast("long").alias("v"), F.split("value", " ")[1].cast("long").alias("degree")).where("degree > 0")

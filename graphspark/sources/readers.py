@@ -6,11 +6,14 @@ all lines: it's the least (file offset) line that isn't a comment, taken as one
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphspark.graph import Graph, symmetrize
+from graphspark.session import materialize
 
 
 def _lines(spark: SparkSession, path: str, comment: str | None = None, keep_empty: bool = False) -> DataFrame:
@@ -24,20 +27,35 @@ def _lines(spark: SparkSession, path: str, comment: str | None = None, keep_empt
 
 
 def _numbered(spark: SparkSession, path: str, comment: str | None = None, keep_empty: bool = False) -> DataFrame:
-    """(number, line, words): lines in order from 0. The whole file comes as one row, as the number of a line depends on
-    all before it; formats whose lines name their vertices don't need this."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("n", "line"))
-    whole = whole.select("n", F.trim("line").alias("line"))
+    """(n, line, words): lines in order from 0, without comments (and empty lines).
+
+    A scan with one split a file block keeps the order of lines in a partition and that of blocks in the partitions' numbers,
+    once partitions are told apart by file name and block start; each counts its lines and the few counts give each its start.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = raw.select("file", "block", "row", F.trim("value").alias("line"))
     if comment:
-        whole = whole.where(~F.col("line").startswith(comment))
+        rows = rows.where(~F.col("line").startswith(comment))
     if not keep_empty:
-        whole = whole.where("line <> ''")
-    return whole.withColumn("words", F.split("line", r"\s+"))
+        rows = rows.where("line <> ''")
+    rows = materialize(rows, "lines")
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("count"))
+    starts = blocks.select("file", "block", (F.sum("count").over(Window.orderBy("file", "block")) - F.col("count")).alias("start"))  # a row a block
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("row")) - 1
+    return rows.withColumn("place", place).join(F.broadcast(starts), ["file", "block"]).select((F.col("start") + F.col("place")).alias("n"), "line", F.split("line", r"\s+").alias("words"))
+
+
+def _first_file(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the first file by name: a folder's header is in its first part, which isn't what Spark reads first."""
+    lines = spark.read.text(path)
+    files = sorted(lines.inputFiles())
+    return lines if len(files) < 2 else lines.where(F.col("_metadata.file_name") == unquote(files[0].rsplit("/", 1)[-1])).select("value")
 
 
 def _first_line(spark: SparkSession, path: str, comment: str) -> list[str]:
-    """The first line that isn't a comment: text sources keep the order of a file, so the first partition has it."""
-    return _lines(spark, path, comment).limit(1).first()["words"]
+    """The words of the first line that isn't a comment: a scan keeps the order of a file, so its first partition has it."""
+    line = F.trim("value")
+    return _first_file(spark, path).where(~line.startswith(comment) & (line != "")).select(F.split(line, r"\s+").alias("words")).limit(1).first()["words"]
 
 
 def read_mtx(spark: SparkSession, path: str, weights: str = "auto", symmetric: bool | None = None, directed: bool = True, strict: bool = False, keep_negative: bool = False) -> Graph:
@@ -47,7 +65,7 @@ def read_mtx(spark: SparkSession, path: str, weights: str = "auto", symmetric: b
     ``symmetric=None`` follows the banner. ``strict`` requires a valid banner and a square matrix.
     Weights are doubles; negative ones become positive unless ``keep_negative``.
     """
-    banner = spark.read.text(path).limit(1).first()
+    banner = _first_file(spark, path).limit(1).first()
     words = (banner[0] if banner else "").strip().lower().split()
     has = bool(words) and words[0] == "%%matrixmarket"
     if strict:
@@ -105,8 +123,8 @@ def read_metis(spark: SparkSession, path: str, directed: bool = False) -> Graph:
     fmt = first["words"][2] if len(first["words"]) > 2 else "0"
     if fmt not in ("0", "00", "000", "100", "1", "001"):
         raise ValueError(f"METIS format {fmt} isn't supported")
-    # comment lines don't count, so a vertex is its line's rank among the others
-    body = rows.where(F.col("n") > first["n"]).withColumn("src", F.row_number().over(_by_line()) - 1).where("line <> ''")
+    # comment lines aren't counted, so a vertex is its line's number after the first line's
+    body = rows.where(F.col("n") > first["n"]).withColumn("src", F.col("n") - (first["n"] + 1)).where("line <> ''")
     if fmt.endswith("1"):
         at = F.sequence(F.lit(0), (F.size("words") / 2).cast("int") - 1)
         pairs = body.select("src", "words", F.explode(at).alias("k")).select("src", (F.col("words")[F.col("k") * 2].cast("long") - 1).alias("dst"), F.col("words")[F.col("k") * 2 + 1].cast("long").alias("weight"))
@@ -115,12 +133,6 @@ def read_metis(spark: SparkSession, path: str, directed: bool = False) -> Graph:
     return Graph.of(pairs, spark.range(int(first["words"][0])).select(F.col("id").alias("v")), directed)
 
 
-def _by_line():
-    from pyspark.sql import Window
-
-    return Window.orderBy("n")
-
-
 def read_el(spark: SparkSession, path: str, header: bool = False, base: int = 0, directed: bool = True) -> Graph:
     """Edge lists of pairs or triples; with ``header`` the first line gives the numbers of vertices and edges."""
     rows, n = _lines(spark, path, "#"), None
@@ -137,9 +149,8 @@ def read_labelled(spark: SparkSession, path: str, directed: bool = False) -> Gra
     """Labelled graphs: t lines, v id label, e src dst [label]; loops and duplicates go, the graph is symmetrized."""
     rows = _lines(spark, path)
     vertices = rows.where(F.col("words")[0] == "v").select(F.col("words")[1].cast("long").alias("v"), F.col("words")[2].cast("int").alias("label"))
-    edges = rows.where(F.col("words")[0] == "e").select(F.col("words")[1].cast("long").alias("src"), F.col("words")[2].cast("long").alias("dst"), F.coalesce(F.get(F.col("words"), F.lit(3)).cast("int"), F.lit(0)).alias("weight"))
-    g = Graph.of(edges, vertices, directed)
-    return Graph(g.edges.withColumnRenamed("weight", "elabel"), vertices, directed)
+    edges = rows.where(F.col("words")[0] == "e").select(F.col("words")[1].cast("long").alias("src"), F.col("words")[2].cast("long").alias("dst"), F.coalesce(F.get(F.col("words"), F.lit(3)).cast("int"), F.lit(0)).alias("elabel"))
+    return Graph.of(edges, vertices, directed)
 
 
 def read_adj(spark: SparkSession, path: str, directed: bool = False) -> Graph:
@@ -151,10 +162,29 @@ def read_adj(spark: SparkSession, path: str, directed: bool = False) -> Graph:
 
 
 def read_pattern(spark: SparkSession, path: str) -> list[tuple[int, int]]:
-    """A pattern's edges from rows ``a b``, or ``a label b label``; vertices are numbered anew from 0."""
-    found = [(int(w[0]), int(w[2] if len(w) >= 4 else w[1])) for (w,) in _lines(spark, path).select("words").limit(1000).collect()]
-    ids = {v: i for i, v in enumerate(sorted({x for e in found for x in e}))}
-    return [(ids[a], ids[b]) for a, b in found]
+    """A pattern's edges from rows ``a b``, or ``a label b label``; vertices are numbered anew from 0. A file with pairs that must
+    not be edges is an error here: see ``read_pattern_pairs``."""
+    edges, apart, _ = read_pattern_pairs(spark, path)
+    if apart:
+        raise ValueError("the pattern has pairs that must not be edges")
+    return edges
+
+
+def read_pattern_pairs(spark: SparkSession, path: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[int | None]]:
+    """(edges, pairs that must not be edges, labels) of a pattern file: rows ``a b`` or ``a label b label``, which end in ``-``
+    if the pair must not be an edge. Vertices are numbered anew from 0; one without a label is free."""
+    edges, apart, labels = [], [], {}
+    for (w,) in _lines(spark, path, "#").select("words").toLocalIterator():
+        pair = w[:-1] if w[-1] == "-" else w
+        if len(pair) not in (2, 4):
+            raise ValueError(f"a pattern row of {len(w)} words")
+        a, b = int(pair[0]), int(pair[2] if len(pair) == 4 else pair[1])
+        if len(pair) == 4:
+            labels[a], labels[b] = int(pair[1]), int(pair[3])
+        (edges if pair is w else apart).append((a, b))
+    ids = {v: i for i, v in enumerate(sorted({x for e in edges + apart for x in e}))}
+    number = lambda pairs: [(ids[a], ids[b]) for a, b in pairs]
+    return number(edges), number(apart), [labels.get(v) for v in ids]
 
 
 def read_csr(spark: SparkSession, prefix: str, directed: bool = True) -> Graph:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from graphspark.graph import Graph, dedup, half_edges, in_degrees, out_degrees, symmetrize
 
 
-def _write(lines: DataFrame, path: str, head: str | None = None) -> None:
-    """Lines as text; a header goes to a part of its own that sorts first."""
+def write_lines(lines: DataFrame, path: str, head: str | None = None) -> None:
+    """Lines as text, a part a partition; a header is a part of its own that sorts first, the others stay where they are."""
     if head is not None:
         spark = lines.sparkSession
-        lines = spark.createDataFrame([(0, head)], "k int, value string").unionByName(lines.select(F.lit(1).alias("k"), F.col(lines.columns[0]).alias("value"))).repartitionByRange("k").sortWithinPartitions("k").select("value")
+        lines = spark.range(1, numPartitions=1).select(F.lit(head).alias("value")).unionByName(lines.select(F.col(lines.columns[0]).alias("value")))
     lines.write.mode("errorifexists").text(path)
 
 
@@ -24,12 +24,27 @@ def write_mtx(g: Graph, path: str) -> None:
     n, m = g.vertices.count(), g.edges.count()
     kind = "real" if g.weighted else "pattern"
     cols = [F.col("src") + 1, F.col("dst") + 1] + (["weight"] if g.weighted else [])
-    _write(g.edges.select(_line(*cols).alias("value")), path, f"%%MatrixMarket matrix coordinate {kind} general\n{n} {n} {m}")
+    write_lines(g.edges.select(_line(*cols).alias("value")), path, f"%%MatrixMarket matrix coordinate {kind} general\n{n} {n} {m}")
 
 
 def write_el(g: Graph, path: str, base: int = 0, header: bool = False) -> None:
     cols = [F.col("src") + base, F.col("dst") + base] + (["weight"] if g.weighted else [])
-    _write(g.edges.select(_line(*cols).alias("value")), path, f"{g.vertices.count()} {g.edges.count()}" if header else None)
+    write_lines(g.edges.select(_line(*cols).alias("value")), path, f"{g.vertices.count()} {g.edges.count()}" if header else None)
+
+
+def write_gr(g: Graph, path: str) -> None:
+    """DIMACS shortest-path lines; weights are whole numbers, 1 where there are none."""
+    weight = F.col("weight").cast("long") if g.weighted else F.lit(1)
+    write_lines(g.edges.select(_line(F.lit("a"), F.col("src") + 1, F.col("dst") + 1, weight).alias("value")), path, f"p sp {g.vertices.agg(F.max('v')).first()[0] + 1} {g.edges.count()}")
+
+
+def write_metis(g: Graph, path: str) -> None:
+    """METIS lines: the neighbours of vertex 0, 1, .. up to the greatest id, empty for those that aren't there."""
+    spark, n = g.edges.sparkSession, g.vertices.agg(F.max("v")).first()[0] + 1
+    near = g.edges.groupBy(F.col("src").alias("v")).agg(F.array_join(F.array_sort(F.collect_list(F.col("dst") + 1)).cast("array<string>"), " ").alias("line"))
+    rows = spark.range(n).select(F.col("id").alias("v")).join(near, "v", "left")
+    ordered = rows.repartitionByRange("v").sortWithinPartitions("v").select(F.coalesce("line", F.lit("")).alias("value"))
+    write_lines(ordered, path, f"{n} {g.edges.count() // 2}")
 
 
 def canonical_edges(g: Graph) -> DataFrame:
@@ -57,17 +72,17 @@ def labelled_lines(g: Graph) -> DataFrame:
 
 
 def write_labelled(g: Graph, path: str) -> None:
-    _write(labelled_lines(g), path)
+    write_lines(labelled_lines(g), path)
 
 
 def write_adjacency(g: Graph, path: str, label: bool = True, degree: bool = False) -> None:
-    _write(adjacency_lines(g, label, degree), path)
+    write_lines(adjacency_lines(g, label, degree), path)
 
 
 def write_degrees(g: Graph, path: str) -> None:
     """Folders in_degree and out_degree of lines ``vertex degree``."""
     for name, table in (("in_degree", in_degrees(g)), ("out_degree", out_degrees(g))):
-        _write(table.select(_line("v", "degree").alias("value")), f"{path}/{name}")
+        write_lines(table.select(_line("v", "degree").alias("value")), f"{path}/{name}")
 
 
 def component_report(components: DataFrame) -> DataFrame:
@@ -78,14 +93,14 @@ def component_report(components: DataFrame) -> DataFrame:
 def write_component_report(components: DataFrame, path: str) -> None:
     """Folders trivial (components of one vertex), labels and distribution."""
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    _write(sizes.where("size = 1").select(_line("component").alias("value")), f"{path}/trivial")
-    _write(components.select(_line("v", "component").alias("value")), f"{path}/labels")
-    _write(component_report(components).select(_line("size", "components").alias("value")), f"{path}/distribution")
+    write_lines(sizes.where("size = 1").select(_line("component").alias("value")), f"{path}/trivial")
+    write_lines(components.select(_line("v", "component").alias("value")), f"{path}/labels")
+    write_lines(component_report(components).select(_line("size", "components").alias("value")), f"{path}/distribution")
 
 
 def write_labels(g: Graph, path: str) -> None:
     """Lines ``vertex label``."""
-    _write(g.vertices.select(_line("v", "label").alias("value")), path)
+    write_lines(g.vertices.select(_line("v", "label").alias("value")), path)
 
 
 def exclusive_prefix_sum(df: DataFrame, order: str, value: str, out: str = "before") -> DataFrame:

@@ -114,6 +114,13 @@ def test_pagerank(spark):
     assert approximate == pytest.approx(exact, abs=1e-3)
 
 
+def test_pagerank_errors_are_the_published_ones(spark):
+    """Four vertices and eight edges, and the errors of fifteen steps that are published for them (fixed values)."""
+    g = make(spark, [(1, 0), (2, 0), (3, 0), (2, 1), (3, 1), (0, 2), (0, 3), (2, 3)], 4)
+    want = [0.354167, 0.240833, 0.085295, 0.043501, 0.035948, 0.020080, 0.007204, 0.005053, 0.003801, 0.001311, 0.000713, 0.000599, 0.000314, 0.000118, 0.000083]
+    assert [round(e, 6) for e in ranking.pagerank(g)[1]] == want
+
+
 def test_components(directed, undirected):
     for g, edges, n in ((directed, DIRECTED, 16), (undirected, UNDIRECTED, 14)):
         adj = near(edges, both=True)
@@ -237,6 +244,7 @@ def test_motifs(undirected):
     for k in (3, 4):
         want = {name: brute_count(UNDIRECTED, 12, patterns.PATTERNS[name], True) for name in motifs.MOTIFS[k]}
         assert {r.motif: r.total for r in motifs.motifs(undirected.edges, k).collect()} == want
+        assert {r.motif: r.total for r in motifs.motifs(undirected.edges, k, listed=True).collect()} == want
         assert {r.motif: r.total for r in motifs.motifs_by_formula(undirected.edges, k).collect()} == want
     adj = near(UNDIRECTED, both=True)
     five = {r.motif: r.total for r in motifs.motifs(undirected.edges, 5).collect()}
@@ -248,6 +256,31 @@ def test_motifs(undirected):
     assert patterns.diamond_count(undirected.edges).first().total == brute_count(UNDIRECTED, 12, patterns.PATTERNS["diamond"], False)
 
 
+def test_pairs_that_must_not_be_edges(undirected):
+    """A square one of whose diagonals must not be an edge, while the other may."""
+    adj, found = near(UNDIRECTED, both=True), set()
+    for a, b, c, d in permutations(range(12), 4):
+        if b in adj[a] and c in adj[b] and d in adj[c] and a in adj[d] and c not in adj[a]:
+            found.add((frozenset((a, c)), frozenset((b, d))))
+    assert patterns.count_pattern(undirected.edges, [(0, 1), (1, 2), (2, 3), (0, 3)], apart=[(0, 2)]).first().total == len(found)
+    with pytest.raises(ValueError):
+        patterns.compile_pattern([(0, 1), (1, 2)], apart=[(0, 1)])
+
+
+def test_numbers(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("label"), F.col("id").alias("v"))
+    got = G.numbered(df, F.desc("label"), F.col("v")).collect()
+    assert sorted((-r.label, r.v, r.number) for r in got) == [(-a, b, i) for i, (a, b) in enumerate(sorted(((i % 3, i) for i in range(500)), key=lambda x: (-x[0], x[1])))]
+    g = G.Graph(spark.createDataFrame([(0, 1)], "src long, dst long"), df)
+    assert {(r.label, r.v): r.position for r in G.label_index(g).collect()} == {(i % 3, i): i // 3 + 1 for i in range(500)}
+
+
+def test_labels_of_edges_stay(spark):
+    e = spark.createDataFrame([(0, 1, 5), (0, 1, 6), (0, 1, 5), (2, 1, 7)], "src long, dst long, elabel int")
+    both = G.Graph.of(e).undirected().edges
+    assert sorted(map(tuple, both.collect())) == [(0, 1, 5), (0, 1, 6), (1, 0, 5), (1, 0, 6), (1, 2, 7), (2, 1, 7)]
+
+
 def test_cliques(undirected):
     adj = near(UNDIRECTED, both=True)
     for k in (3, 4, 5):

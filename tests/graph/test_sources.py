@@ -54,6 +54,12 @@ def test_other_formats(spark, tmp_path):
     assert edges(adj) == [(0, 1), (0, 2), (1, 0), (2, 0)] and {r.v: r.label for r in adj.vertices.collect()} == {0: 5, 1: 6, 2: 5}
     assert readers.read_pattern(spark, put(tmp_path, "p.txt", "1 2\n2 3\n")) == [(0, 1), (1, 2)]
     assert readers.read_pattern(spark, put(tmp_path, "q.txt", "4 0 5 1\n5 1 9 0\n")) == [(0, 1), (1, 2)]
+    marked = put(tmp_path, "m.txt", "1 2\n2 3\n1 3 -\n")
+    assert readers.read_pattern_pairs(spark, marked) == ([(0, 1), (1, 2)], [(0, 2)], [None] * 3)
+    assert readers.read_pattern_pairs(spark, put(tmp_path, "l.txt", "4 2 5 1\n5 1 9 0 -\n")) == ([(0, 1)], [(1, 2)], [2, 1, 0])
+    for bad in (marked, put(tmp_path, "b.txt", "1\n")):
+        with pytest.raises(ValueError):
+            readers.read_pattern(spark, bad)
     with pytest.raises(ValueError):
         readers.load_graph(spark, "x.unknown")
 
@@ -94,6 +100,23 @@ def test_round_trips(spark, tmp_path):
     assert edges(readers.read_el(spark, str(tmp_path / "bip"))) == [(0, 4, 0.25), (1, 2, 0.5)]
 
 
+def test_lines_of_several_blocks_are_numbered(spark, tmp_path):
+    path = put(tmp_path, "n.graph", "% note\n300 299\n" + "".join(" ".join(str(x + 1) for x in (i - 1, i + 1) if 0 <= x < 300) + ("\n% between\n" if i % 50 == 0 else "\n") for i in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 256)
+    try:
+        g = readers.load_graph(spark, path)
+        assert edges(g) == sorted([(i, i + 1) for i in range(299)] + [(i + 1, i) for i in range(299)])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_headers_are_parts_of_their_own(spark, tmp_path):
+    df = spark.range(1000, numPartitions=6).select(F.col("id").cast("string").alias("value"))
+    writers.write_lines(df, str(tmp_path / "h"), "head")
+    parts = sorted(x.name for x in (tmp_path / "h").glob("part-*"))
+    assert len(parts) == 7 and (tmp_path / "h" / parts[0]).read_text() == "head\n"
+
+
 def test_generators(spark):
     assert sorted(r.p for r in spark.range(64).select(generators.permuted(F.col("id"), 6, 3).alias("p")).collect()) == list(range(64))
     a, b = (edges(generators.generate(spark, 6, 4, kind)) for kind in ("rmat", "rmat"))
@@ -134,6 +157,7 @@ def test_command_line(spark, tmp_path):
     assert {r.v: r.depth for r in run("bfs", path, "-r", "1").collect()} == {0: 2, 1: 0, 2: 1, 3: 2}
     assert run("sgl", path, "--pattern", "tailed_triangle").first()[0] == 1
     assert run("kcl", path, "-k", "3").first()[0] == 1
+    assert run("sgl", path, "--pattern", put(tmp_path, "p.graph", "1 2\n2 3\n1 3 -\n")).first()[0] == 2
     with pytest.raises(SystemExit):
         run("tc")
 
