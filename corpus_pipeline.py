@@ -42,7 +42,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = simhash.near_duplicates(rows, ROW)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
     kept = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias(ROW)).select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    # what goes is the smaller part; where the written table of it is small enough for a broadcast, texts stay where they are
+    gone = materialize(found.select(ROW).join(kept, ROW, "left_anti"), "gone")
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
