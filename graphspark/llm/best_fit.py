@@ -42,7 +42,7 @@ BLOCK = 65_536
 #: Pieces that one task of the second round packs.
 GROUP = 200_000
 #: Words whose ids a worker remembers in each of two generations, and the longest such word.
-CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+CACHED_WORDS, CACHED_LENGTH = 200_000, 64
 
 
 class BestFit:

@@ -39,7 +39,7 @@ HIDDEN = 24
 PER_CLASS = 1500
 FOLDS = 5
 #: Bytes of a text whose words are looked at together.
-RANGE = 1 << 19
+RANGE = 1 << 18
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("a") : ord("z") + 1] = ord("a")
@@ -192,7 +192,7 @@ def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
     schema = pa.schema([("__id", to_arrow_type(kind)), ("score", pa.float64())])
 
     def scored(batches):
-        for batch in slices(batches, "__text", rows=256, size=1 << 19):
+        for batch in slices(batches, "__text", rows=128, size=1 << 18):
             yield pa.RecordBatch.from_arrays([column(batch, "__id"), pa.array(np.asarray(sent.value.score(utf8(batch, "__text")), dtype=np.float64))], schema=schema)
 
     out = source.mapInArrow(scored, f"__id {kind.simpleString()}, score double").withColumnRenamed("__id", id_col)
@@ -211,7 +211,7 @@ def keep_documents(docs: DataFrame, model, keep, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
 
     def kept(batches):
-        for batch in slices(batches, text_col, rows=256, size=1 << 19):
+        for batch in slices(batches, text_col, rows=128, size=1 << 18):
             texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(keep(np.asarray(sent.value.score(texts)))))
 

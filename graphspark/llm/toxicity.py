@@ -40,7 +40,7 @@ PER_CLASS = 900
 EPOCHS, STEPS = 12, 30
 INPUT = 5 + 2 * EMBED
 #: Bytes of a text whose words are looked at together.
-RANGE = 1 << 19
+RANGE = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
