@@ -18,10 +18,16 @@ so a partition may return a spanning forest of its verified pairs instead of all
 them: components lose nothing, and a large group of near copies costs a link per
 member.
 
+One fingerprint of 64 bits misses most pairs of documents whose shingle sets have a
+similarity of 0.8: they differ in ten bits or so. ``similar_documents`` therefore takes
+several independent fingerprints of each document and links two documents if any of
+them is within the radius.
+
 Defined results: null text is the empty text; texts without words have fingerprint
 zero, which links like any other; rows that repeat join one component; a row with
 a null id stays in its component and names it only if none of its rows has an id;
-other columns are ignored; an empty table gives an empty result.
+a text of any length is taken whole; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -34,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphspark.llm._batches import column, slices, utf8
+from graphspark.llm._batches import avalanche, column, slices, utf8
 from graphspark.llm._salting import join_groups
 from graphspark.operators.connectivity import component_labels
-from graphspark.session import ensure_importable, materialize
+from graphspark.session import ensure_importable, materialize, release
 
 #: Variants that one partition of the shuffle is meant to hold.
 PART = 1_500_000
@@ -71,19 +77,34 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """id and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, sketches: int = 1) -> DataFrame:
+    """id and ``fp``, the fingerprint as a signed long; with several ``sketches``, id and ``fps``, an array of them. The first is
+    that of the shingles' hashes, the others are of hashes mixed anew."""
     ensure_importable(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     kind = source.schema["__id"].dataType
-    schema = pa.schema([("__id", to_arrow_type(kind)), ("fp", pa.int64())])
+    out = pa.int64() if sketches == 1 else pa.list_(pa.int64())
+    schema = pa.schema([("__id", to_arrow_type(kind)), ("fp", out)])
 
     def printed(batches):
         for batch in slices(batches, "__text"):
-            fps = np.array([fingerprint(shingle_hashes(t, words)) for t in utf8(batch, "__text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([column(batch, "__id"), pa.array(fps.view(np.int64))], schema=schema)
+            found = np.empty((batch.num_rows, sketches), dtype=np.uint64)
+            for i, text in enumerate(utf8(batch, "__text")):
+                h = shingle_hashes(text, words)
+                found[i, 0] = fingerprint(h)
+                for k in range(1, sketches):
+                    found[i, k] = fingerprint(mixed(h, k))
+            flat = pa.array(found.view(np.int64).reshape(-1))
+            own = flat if sketches == 1 else pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketches, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([column(batch, "__id"), own], schema=schema)
+
+    found = source.mapInArrow(printed, f"__id {kind.simpleString()}, fp {'long' if sketches == 1 else 'array<long>'}")
+    return found.withColumnsRenamed({"__id": id_col} if sketches == 1 else {"__id": id_col, "fp": "fps"})
+
 
-    return source.mapInArrow(printed, f"__id {kind.simpleString()}, fp long").withColumnRenamed("__id", id_col)
+def mixed(hashes: np.ndarray, sketch: int) -> np.ndarray:
+    """The hashes of another sketch."""
+    return avalanche(hashes + np.uint64(sketch * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -160,23 +181,27 @@ def links_under(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bit
 
 
 def near_links(distinct: DataFrame, radius: int = 4, bits: int = 64, part: int = PART) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of column ``fp`` (distinct longs) within ``radius``, or a forest of them per partition."""
+    """Links (a, b) that connect all fingerprints of column ``fp`` (distinct longs) within ``radius``, or a forest of them per
+    partition; with a column ``sketch``, among the fingerprints of each sketch, and (sketch, a, b)."""
     spark = distinct.sparkSession
     ensure_importable(spark)
-    n, half = distinct.count(), (radius + 1) // 2
+    many = "sketch" in distinct.columns
+    n, half = distinct.groupBy("sketch").count().agg(F.max("count")).first()[0] or 0 if many else distinct.count(), (radius + 1) // 2
     variants = n * len(ball(bits, half))
     prefix_bits = min(20, max(0, (variants // part).bit_length()))
     near = [int(m) for m in ball(prefix_bits, half)]
     own = F.shiftrightunsigned("fp", bits - prefix_bits) if prefix_bits else F.lit(0).cast("long")
-    sent = distinct.select("fp", F.explode(F.array(*[own.bitwiseXOR(F.lit(m).cast("long")) for m in near])).alias("prefix"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    keys = ["sketch", "prefix"] if many else ["prefix"]
+    sent = distinct.select(*keys[:-1], "fp", F.explode(F.array(*[own.bitwiseXOR(F.lit(m).cast("long")) for m in near])).alias("prefix"))
+    schema = pa.schema(([("sketch", pa.int32())] if many else []) + [("a", pa.int64()), ("b", pa.int64())])
 
     def met(key, table):
         fps = table.column("fp").to_numpy().view(np.uint64)
-        links = np.ascontiguousarray(links_under(np.unique(fps), key[0].as_py(), prefix_bits, radius, bits)).view(np.int64)
-        return pa.Table.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=schema)
+        links = np.ascontiguousarray(links_under(np.unique(fps), key[-1].as_py(), prefix_bits, radius, bits)).view(np.int64)
+        own = [pa.array(np.full(len(links), key[0].as_py()), pa.int32())] if many else []
+        return pa.Table.from_arrays([*own, pa.array(links[:, 0]), pa.array(links[:, 1])], schema=schema)
 
-    return sent.groupBy("prefix").applyInArrow(met, "a long, b long")
+    return sent.groupBy(*keys).applyInArrow(met, ("sketch int, " if many else "") + "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words: int = 4) -> DataFrame:
@@ -193,3 +218,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Documents of one fingerprint that get their component under one key: a larger group is dealt over several.
 ROWS_PER_KEY = 1_000_000
+
+
+def similar_documents(docs: DataFrame, row_col: str, text_col: str = "text", radius: int = 4, words: int = 5, sketches: int = 6) -> DataFrame:
+    """(row_col, component) of rows that are numbered by ``row_col`` (distinct longs): the least number reachable over documents
+    one of whose ``sketches`` fingerprints are within ``radius``.
+
+    Rows of equal fingerprints are one class, named by its least row. A fingerprint that several classes have links them to
+    the least of these, and near fingerprints link the least classes that have them, so links are few and no pairs are listed.
+    """
+    printed = materialize(fingerprints(docs, row_col, text_col, words, sketches), "fingerprints")
+    classes = materialize(printed.groupBy("fps").agg(F.min(row_col).alias("first"), F.count("*").alias("n")), "classes")
+    each = classes.select("first", F.posexplode("fps").alias("sketch", "fp"))
+    owners = materialize(each.groupBy("sketch", "fp").agg(F.min("first").alias("owner"), F.count("*").alias("n")), "owners")
+    near = materialize(near_links(owners.select("sketch", "fp"), radius), "near")
+    a, b = (owners.select("sketch", F.col("fp").alias(x), F.col("owner").alias(f"own_{x}")) for x in ("a", "b"))
+    by_near = near.join(a, ["sketch", "a"]).join(b, ["sketch", "b"]).select(F.col("own_a").alias("a"), F.col("own_b").alias("b"))
+    shared = each.join(owners.where("n > 1").select("sketch", "fp", "owner"), ["sketch", "fp"]).select(F.col("first").alias("a"), F.col("owner").alias("b"))
+    labels = component_labels(by_near.unionByName(shared).where("a <> b"))
+    named = classes.join(labels, F.col("first") == F.col("node"), "left").select("fps", "n", F.coalesce("label", "first").alias("component"))
+    out = materialize(join_groups(printed, named, "fps", per_key=ROWS_PER_KEY).select(row_col, "component"), "components")
+    release(printed, classes, owners, near)
+    return out

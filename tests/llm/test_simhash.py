@@ -89,3 +89,57 @@ def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (None, None)], "doc_id long, text string")
     assert sorted([(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()], key=str) == sorted([(None, 5), (5, 5), (None, None)], key=str)
     assert simhash.near_duplicates(nothing(spark)).count() == 0
+
+
+def plain_sketches(text, words, sketches):
+    """Fingerprints by plain integers: the hashes of shingles, and those hashes mixed anew."""
+    w = text.encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))] if w else []
+    top, out = (1 << 64) - 1, []
+    for k in range(sketches):
+        mixed = []
+        for x in h:
+            if k:
+                x = (x + k * 0x9E3779B97F4A7C15) & top
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+                x ^= x >> 31
+            mixed.append(x)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)))
+    return out
+
+
+def plain_similar(texts, words=5, sketches=6, radius=4):
+    """{number: least number reachable} over texts any of whose sketches are near, by comparing all pairs."""
+    fps = [plain_sketches(t, words, sketches) for t in texts]
+    label = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(fps):
+            for j in range(i):
+                if label[i] != label[j] and any((x ^ y).bit_count() <= radius for x, y in zip(a, fps[j], strict=True)):
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return dict(enumerate(label))
+
+
+def test_similar_documents(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROWS_PER_KEY", 5)
+    rng, texts = random.Random(3), []
+    for i in range(12):
+        base = sentences(150, i).split()
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 8, 30):
+            copy = list(base)
+            for at in rng.sample(range(150), edits):
+                copy[at] = f"edit{at}"
+            texts.append(" ".join(copy))
+    texts += ["", " ", "one word", "one word", *["same text of a large group"] * 20]
+    df = spark.createDataFrame([(i, t or None, 1) for i, t in enumerate(texts)], "row long, text string, n int").repartition(4)
+    got = {r.row: r.component for r in simhash.similar_documents(df, "row").collect()}
+    want = plain_similar(texts)
+    assert got == want and len(set(want.values())) > 12
+    one = simhash.similar_documents(df, "row", sketches=2, radius=3)
+    assert {r.row: r.component for r in one.collect()} == plain_similar(texts, sketches=2, radius=3)
+    assert simhash.similar_documents(df.limit(0), "row").count() == 0
