@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphspark.llm import best_fit, quality, simhash, toxicity
 from graphspark.llm.queries import tokenizer_path
-from graphspark.session import materialize
+from graphspark.session import materialize, release
 
 
 #: The column of row numbers in the near-duplicate stage.
@@ -34,16 +34,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each component of near duplicates.
 
-    Near is what op7 calls near: fingerprints of 4-word shingles within 4 bits. Pairs of 0.8 similarity are mostly farther
-    apart; the README has the measured shares. One row of a component stays: ids that repeat are told apart by a row number
-    (the least stays), and null ids come last.
+    Documents are near if one of their fingerprints of 5-word shingles is within 4 bits: with several fingerprints a document,
+    most pairs of a similarity of 0.8 or more are (the README has the measured shares). One row of a component stays, also
+    where ids repeat: rows are told apart by a row number (the least stays), and null ids come last.
     """
     rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    found = simhash.near_duplicates(rows, ROW)
+    found = simhash.similar_documents(rows, ROW)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
-    kept = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias(ROW)).select(ROW)
+    kept = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component").agg(first.alias(ROW)).select(ROW)
     # what goes is the smaller part; where the written table of it is small enough for a broadcast, texts stay where they are
     gone = materialize(found.select(ROW).join(kept, ROW, "left_anti"), "gone")
+    release(found)
     return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
