@@ -189,19 +189,50 @@ def near_links(distinct: DataFrame, radius: int = 4, bits: int = 64, part: int =
     n, half = distinct.groupBy("sketch").count().agg(F.max("count")).first()[0] or 0 if many else distinct.count(), (radius + 1) // 2
     variants = n * len(ball(bits, half))
     prefix_bits = min(20, max(0, (variants // part).bit_length()))
-    near = [int(m) for m in ball(prefix_bits, half)]
-    own = F.shiftrightunsigned("fp", bits - prefix_bits) if prefix_bits else F.lit(0).cast("long")
-    keys = ["sketch", "prefix"] if many else ["prefix"]
-    sent = distinct.select(*keys[:-1], "fp", F.explode(F.array(*[own.bitwiseXOR(F.lit(m).cast("long")) for m in near])).alias("prefix"))
-    schema = pa.schema(([("sketch", pa.int32())] if many else []) + [("a", pa.int64()), ("b", pa.int64())])
+    near, low = ball(prefix_bits, half), np.uint64(bits - prefix_bits)
+    sent_schema = pa.schema([("sketch", pa.int32()), ("prefix", pa.int64()), ("fps", pa.binary())])
+
+    def deal(sketch: int, fps: np.ndarray) -> pa.RecordBatch:
+        """The fingerprints of one prefix, as bytes, to every prefix that one of their variants has."""
+        fps = np.sort(fps)
+        own = fps >> low if prefix_bits else np.zeros(len(fps), dtype=np.uint64)
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        cuts = np.append(first, len(fps)) * 8
+        data = fps.tobytes()
+        bodies = pa.array([data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+        prefixes = (own[first][:, None] ^ near[None, :]).reshape(-1).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(prefixes), sketch), pa.int32()), pa.array(prefixes), bodies.take(pa.array(np.repeat(np.arange(len(first)), len(near))))], schema=sent_schema)
+
+    def dealt(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        rows = 0
+        for batch in batches:
+            fps = np.ascontiguousarray(column(batch, "fp").to_numpy()).view(np.uint64)
+            of = column(batch, "sketch").to_numpy()
+            for k in np.unique(of).tolist():
+                held.setdefault(k, []).append(fps[of == k])
+            rows += len(fps)
+            if rows > DEALT:
+                for k, parts in held.items():
+                    yield deal(k, np.concatenate(parts))
+                held, rows = {}, 0
+        for k, parts in held.items():
+            yield deal(k, np.concatenate(parts))
+
+    sent = distinct.select(F.col("sketch").cast("int") if many else F.lit(0).alias("sketch"), "fp").mapInArrow(dealt, "sketch int, prefix long, fps binary")
+    schema = pa.schema([("sketch", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def met(key, table):
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        links = np.ascontiguousarray(links_under(np.unique(fps), key[-1].as_py(), prefix_bits, radius, bits)).view(np.int64)
-        own = [pa.array(np.full(len(links), key[0].as_py()), pa.int32())] if many else []
-        return pa.Table.from_arrays([*own, pa.array(links[:, 0]), pa.array(links[:, 1])], schema=schema)
+        fps = np.unique(np.frombuffer(b"".join(table.column("fps").to_pylist()), dtype=np.uint64))
+        links = np.ascontiguousarray(links_under(fps, key[1].as_py(), prefix_bits, radius, bits)).view(np.int64)
+        return pa.Table.from_arrays([pa.array(np.full(len(links), key[0].as_py()), pa.int32()), pa.array(links[:, 0]), pa.array(links[:, 1])], schema=schema)
 
-    return sent.groupBy(*keys).applyInArrow(met, ("sketch int, " if many else "") + "a long, b long")
+    links = sent.groupBy("sketch", "prefix").applyInArrow(met, "sketch int, a long, b long")
+    return links if many else links.select("a", "b")
+
+
+#: Fingerprints that a task deals at a time.
+DEALT = 200_000
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words: int = 4) -> DataFrame:
@@ -220,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 ROWS_PER_KEY = 1_000_000
 
 
-def similar_documents(docs: DataFrame, row_col: str, text_col: str = "text", radius: int = 4, words: int = 5, sketches: int = 6) -> DataFrame:
+def similar_documents(docs: DataFrame, row_col: str, text_col: str = "text", radius: int = 4, words: int = 5, sketches: int = 4) -> DataFrame:
     """(row_col, component) of rows that are numbered by ``row_col`` (distinct longs): the least number reachable over documents
     one of whose ``sketches`` fingerprints are within ``radius``.
 

@@ -109,7 +109,7 @@ def plain_sketches(text, words, sketches):
     return out
 
 
-def plain_similar(texts, words=5, sketches=6, radius=4):
+def plain_similar(texts, words=5, sketches=4, radius=4):
     """{number: least number reachable} over texts any of whose sketches are near, by comparing all pairs."""
     fps = [plain_sketches(t, words, sketches) for t in texts]
     label = list(range(len(texts)))
@@ -126,6 +126,7 @@ def plain_similar(texts, words=5, sketches=6, radius=4):
 
 def test_similar_documents(spark, monkeypatch):
     monkeypatch.setattr(simhash, "ROWS_PER_KEY", 5)
+    monkeypatch.setattr(simhash, "DEALT", 7)
     rng, texts = random.Random(3), []
     for i in range(12):
         base = sentences(150, i).split()
