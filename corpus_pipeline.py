@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and reread as the next one's documents. All but the last return the columns
 of documents. Rows that a stage rejects are gone for the stages after it.
+
+Defined results: null text is the empty text for every stage; rows with a null id, or with an id that repeats, are judged
+each by its own text in the first two stages and packed each on its own in the last; of near duplicates one row stays,
+whatever their ids; an empty table stays empty; columns that clash with a stage's own names pass through.
 """
 
 from __future__ import annotations
