@@ -50,6 +50,11 @@ def test_odd_rows_pass_through(spark, tmp_path):
     assert corpus_pipeline.near_duplicate_stage(spark, docs.where(F.col("doc_id").isNull()), str(tmp_path)).count() <= 2
 
 
+def test_clashing_names_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 7, 8, 9)], "doc_id long, text string, __row long, component long, fps long")
+    assert list(map(tuple, corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())) == [(1, "a b c d e f", 7, 8, 9)]
+
+
 def test_one_row_of_each_component_stays(spark):
     a, b, c, d = ("apple pie with cream", "seven grey ships at sea", "a cold wind blew over", "nobody knew the old song")
     table = [(1, a), (1, a), (None, a), (None, b), (None, b), (None, b), (5, c), (5, d), (9, d)]
