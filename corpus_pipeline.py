@@ -42,14 +42,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     most pairs of a similarity of 0.8 or more are (the README has the measured shares). One row of a component stays, also
     where ids repeat: rows are told apart by a row number (the least stays), and null ids come last.
     """
-    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    found = simhash.similar_documents(rows, ROW)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
-    kept = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component").agg(first.alias(ROW)).select(ROW)
+    row = ROW
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row += "_"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = simhash.similar_documents(rows, row)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row]
+    kept = found.join(rows.select(row, "doc_id"), row).groupBy("component").agg(first.alias(row)).select(row)
     # what goes is the smaller part; where the written table of it is small enough for a broadcast, texts stay where they are
-    gone = materialize(found.select(ROW).join(kept, ROW, "left_anti"), "gone")
+    gone = materialize(found.select(row).join(kept, row, "left_anti"), "gone")
     release(found)
-    return rows.join(gone, ROW, "left_anti").select(docs.columns)
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
