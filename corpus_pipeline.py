@@ -38,8 +38,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each component of near duplicates.
 
-    Documents are near if one of their fingerprints of 5-word shingles is within 4 bits: with several fingerprints a document,
-    most pairs of a similarity of 0.8 or more are (the README has the measured shares). One row of a component stays, also
+    Documents are near if one of several short fingerprints of their 5-word shingles is within 4 bits and all of them together
+    differ as little as those of sets with a similarity of 0.8 do (the README has the measured shares of pairs found). One row of a component stays, also
     where ids repeat: rows are told apart by a row number (the least stays), and null ids come last.
     """
     row = ROW

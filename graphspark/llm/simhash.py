@@ -20,8 +20,10 @@ member.
 
 One fingerprint of 64 bits misses most pairs of documents whose shingle sets have a
 similarity of 0.8: they differ in ten bits or so. ``similar_documents`` therefore takes
-several independent fingerprints of each document and links two documents if any of
-them is within the radius.
+several short independent fingerprints of the set of a document's shingles, finds the
+pairs within the radius in any of them by the same balls, and verifies these pairs on
+the bits of all fingerprints together, whose distance follows from the similarity. As
+links may be refused there, a partition returns a spanning forest of least distances.
 
 Defined results: null text is the empty text; texts without words have fingerprint
 zero, which links like any other; rows that repeat join one component; a row with
@@ -66,20 +68,30 @@ def shingle_hashes(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
     return np.fromiter((hashed(line[s:e], seed) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)), dtype=np.uint64, count=len(starts))
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """64 bits, each set if set in over half the hashes."""
-    if not len(hashes):
-        return 0
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """64 flags from the highest bit on: set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    return ones * 2 > len(hashes)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """64 bits, each set if set in over half the hashes."""
+    return int.from_bytes(np.packbits(majority(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, sketches: int = 1) -> DataFrame:
-    """id and ``fp``, the fingerprint as a signed long; with several ``sketches``, id and ``fps``, an array of them. The first is
-    that of the shingles' hashes, the others are of hashes mixed anew."""
+def short_fingerprints(hashes: np.ndarray, sketches: int, bits: int) -> list[int]:
+    """Fingerprints of ``bits`` bits of the set of hashes: the majority bits of the hashes, then of the hashes mixed anew, cut up."""
+    hashes = np.unique(hashes)
+    rounds = -(-sketches * bits // 64)
+    flags = np.concatenate([majority(mixed(hashes, k) if k else hashes) for k in range(rounds)])[: sketches * bits]
+    return [int.from_bytes(np.packbits(part).tobytes(), "big") >> -bits % 8 for part in flags.reshape(sketches, bits)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, sketches: int = 1, bits: int = 64) -> DataFrame:
+    """id and ``fp``, the fingerprint as a signed long; with several ``sketches``, id and ``fps``, an array of short ones."""
     ensure_importable(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     kind = source.schema["__id"].dataType
@@ -91,9 +103,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.empty((batch.num_rows, sketches), dtype=np.uint64)
             for i, text in enumerate(utf8(batch, "__text")):
                 h = shingle_hashes(text, words)
-                found[i, 0] = fingerprint(h)
-                for k in range(1, sketches):
-                    found[i, k] = fingerprint(mixed(h, k))
+                found[i] = fingerprint(h) if sketches == 1 else short_fingerprints(h, sketches, bits)
             flat = pa.array(found.view(np.int64).reshape(-1))
             own = flat if sketches == 1 else pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketches, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([column(batch, "__id"), own], schema=schema)
@@ -113,28 +123,33 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array(masks, dtype=np.uint64)
 
 
-def spanning_forest(pairs: np.ndarray, n: int) -> np.ndarray:
-    """(node, root) links of the components of ``pairs`` (two columns of node numbers), by hooking and jumping in numpy."""
-    parent = np.arange(n)
-    while len(pairs):
-        a, b = parent[pairs[:, 0]], parent[pairs[:, 1]]
+def spanning_forest(pairs: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
+    """Those of ``pairs`` (two columns of node numbers) that make up a spanning forest of least distances: every component takes
+    its nearest pair to another one, until none is left."""
+    pairs = pairs[np.argsort(distance, kind="stable")]
+    parent, left, chosen = np.arange(n), np.arange(len(pairs)), []
+    while len(left):
+        a, b = parent[pairs[left, 0]], parent[pairs[left, 1]]
         apart = a != b
-        pairs = pairs[apart]
-        if not len(pairs):
-            break
-        a, b = a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-    moved = np.flatnonzero(parent != np.arange(n))
-    return np.stack([moved, parent[moved]], axis=1)
-
-
-def colliding(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bits: int = 64) -> np.ndarray:
-    """Links, as two columns of fingerprints, between those of ``fps`` that share a variant with this prefix."""
+        left, a, b = left[apart], a[apart], b[apart]
+        best = np.full(n, len(pairs))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        taken = np.unique(best[best < len(pairs)])
+        chosen.append(taken)
+        todo = pairs[taken]
+        while len(todo):  # hook along the pairs taken, then jump
+            x, y = parent[todo[:, 0]], parent[todo[:, 1]]
+            todo, x, y = todo[x != y], x[x != y], y[x != y]
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+    return pairs[np.concatenate(chosen)] if chosen else pairs
+
+
+def colliding(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bits: int = 64, chains: bool = False) -> np.ndarray:
+    """Links, as two columns of fingerprints, between those of ``fps`` that share a variant with this prefix. Those of a variant
+    are compared with its first one, with ``chains`` also each with the next, as the first may be refused later."""
     half, low_bits = (radius + 1) // 2, bits - prefix_bits
     fps = np.unique(fps)
     low_mask = np.uint64((1 << low_bits) - 1)
@@ -162,13 +177,16 @@ def colliding(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bits:
     if not len(other):
         return np.zeros((0, 2), dtype=np.uint64)
     a, b = owner[hub[other]], owner[other]
+    if chains:
+        a, b = np.concatenate([a, owner[other - 1]]), np.concatenate([b, b])
     keys = np.unique(np.minimum(a, b) * np.int64(len(fps)) + np.maximum(a, b))
     pairs = np.stack([keys // len(fps), keys % len(fps)], axis=1)
-    near = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius
-    return fps[spanning_forest(pairs[near], len(fps))]
+    distance = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]])
+    near = distance <= radius
+    return fps[spanning_forest(pairs[near], distance[near], len(fps))]
 
 
-def links_under(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bits: int = 64, part: int = PART) -> np.ndarray:
+def links_under(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bits: int = 64, part: int = PART, chains: bool = False) -> np.ndarray:
     """As ``colliding``, in memory of about ``part`` variants: a prefix that too many fingerprints reach is gone through in halves."""
     half = (radius + 1) // 2
     if prefix_bits:
@@ -176,19 +194,20 @@ def links_under(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, bit
     low = bits - prefix_bits
     close = np.count_nonzero(fps >> np.uint64(low) == np.uint64(prefix)) if prefix_bits else len(fps)
     if close * len(ball(low, half)) > 2 * part and prefix_bits < bits // 2:
-        return np.concatenate([links_under(fps, prefix * 2 + b, prefix_bits + 1, radius, bits, part) for b in (0, 1)])
-    return colliding(fps, prefix, prefix_bits, radius, bits)
+        return np.concatenate([links_under(fps, prefix * 2 + b, prefix_bits + 1, radius, bits, part, chains) for b in (0, 1)])
+    return colliding(fps, prefix, prefix_bits, radius, bits, chains)
 
 
-def near_links(distinct: DataFrame, radius: int = 4, bits: int = 64, part: int = PART) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4, bits: int = 64, part: int = PART, group: int = PART) -> DataFrame:
     """Links (a, b) that connect all fingerprints of column ``fp`` (distinct longs) within ``radius``, or a forest of them per
-    partition; with a column ``sketch``, among the fingerprints of each sketch, and (sketch, a, b)."""
+    partition; with a column ``sketch``, among the fingerprints of each sketch, and (sketch, a, b). Prefixes of the shuffle
+    have ``group`` variants or so, which are gone through by ``part`` at a time."""
     spark = distinct.sparkSession
     ensure_importable(spark)
     many = "sketch" in distinct.columns
     n, half = distinct.groupBy("sketch").count().agg(F.max("count")).first()[0] or 0 if many else distinct.count(), (radius + 1) // 2
     variants = n * len(ball(bits, half))
-    prefix_bits = min(20, max(0, (variants // part).bit_length()))
+    prefix_bits = min(20, max(0, (variants // group).bit_length()))
     near, low = ball(prefix_bits, half), np.uint64(bits - prefix_bits)
     sent_schema = pa.schema([("sketch", pa.int32()), ("prefix", pa.int64()), ("fps", pa.binary())])
 
@@ -224,7 +243,7 @@ def near_links(distinct: DataFrame, radius: int = 4, bits: int = 64, part: int =
 
     def met(key, table):
         fps = np.unique(np.frombuffer(b"".join(table.column("fps").to_pylist()), dtype=np.uint64))
-        links = np.ascontiguousarray(links_under(fps, key[1].as_py(), prefix_bits, radius, bits)).view(np.int64)
+        links = np.ascontiguousarray(links_under(fps, key[1].as_py(), prefix_bits, radius, bits, part, many)).view(np.int64)
         return pa.Table.from_arrays([pa.array(np.full(len(links), key[0].as_py()), pa.int32()), pa.array(links[:, 0]), pa.array(links[:, 1])], schema=schema)
 
     links = sent.groupBy("sketch", "prefix").applyInArrow(met, "sketch int, a long, b long")
@@ -251,22 +270,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 ROWS_PER_KEY = 1_000_000
 
 
-def similar_documents(docs: DataFrame, row_col: str, text_col: str = "text", radius: int = 4, words: int = 5, sketches: int = 4) -> DataFrame:
+#: Variants under one prefix of the shuffle for several sketches: fewer prefixes, so fewer copies of a fingerprint.
+GROUP = 32 * PART
+
+
+def expected_distance(similarity: float, bits: int) -> int:
+    """Bits by which the fingerprints of two sets of this similarity differ at most: the mean and half a standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # of sets of equal size
+    return int(bits * share + np.sqrt(bits * share * (1 - share)) / 2)
+
+
+def similar_documents(docs: DataFrame, row_col: str, text_col: str = "text", radius: int = 4, words: int = 5, sketches: int = 8, bits: int = 48, similarity: float = 0.8) -> DataFrame:
     """(row_col, component) of rows that are numbered by ``row_col`` (distinct longs): the least number reachable over documents
-    one of whose ``sketches`` fingerprints are within ``radius``.
+    one of whose ``sketches`` short fingerprints are within ``radius`` and all of them together within the distance that sets
+    of this ``similarity`` have.
 
     Rows of equal fingerprints are one class, named by its least row. A fingerprint that several classes have links them to
     the least of these, and near fingerprints link the least classes that have them, so links are few and no pairs are listed.
     """
-    printed = materialize(fingerprints(docs, row_col, text_col, words, sketches), "fingerprints")
+    printed = materialize(fingerprints(docs, row_col, text_col, words, sketches, bits), "fingerprints")
     classes = materialize(printed.groupBy("fps").agg(F.min(row_col).alias("first"), F.count("*").alias("n")), "classes")
     each = classes.select("first", F.posexplode("fps").alias("sketch", "fp"))
     owners = materialize(each.groupBy("sketch", "fp").agg(F.min("first").alias("owner"), F.count("*").alias("n")), "owners")
-    near = materialize(near_links(owners.select("sketch", "fp"), radius), "near")
+    near = materialize(near_links(owners.select("sketch", "fp"), radius, bits, group=GROUP), "near")
     a, b = (owners.select("sketch", F.col("fp").alias(x), F.col("owner").alias(f"own_{x}")) for x in ("a", "b"))
     by_near = near.join(a, ["sketch", "a"]).join(b, ["sketch", "b"]).select(F.col("own_a").alias("a"), F.col("own_b").alias("b"))
+    pairs = by_near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = (classes.select(F.col("first").alias(x), F.col("fps").alias(f"fps_{x}")) for x in ("a", "b"))
+    apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    verified = pairs.join(a, "a").join(b, "b").where(apart <= expected_distance(similarity, sketches * bits)).select("a", "b")
     shared = each.join(owners.where("n > 1").select("sketch", "fp", "owner"), ["sketch", "fp"]).select(F.col("first").alias("a"), F.col("owner").alias("b"))
-    labels = component_labels(by_near.unionByName(shared).where("a <> b"))
+    labels = component_labels(verified.unionByName(shared.where("a <> b")))
     named = classes.join(labels, F.col("first") == F.col("node"), "left").select("fps", "n", F.coalesce("label", "first").alias("component"))
     out = materialize(join_groups(printed, named, "fps", per_key=ROWS_PER_KEY).select(row_col, "component"), "components")
     release(printed, classes, owners, near)

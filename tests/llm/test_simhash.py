@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -91,12 +92,12 @@ def test_null_ids_and_empty_table(spark):
     assert simhash.near_duplicates(nothing(spark)).count() == 0
 
 
-def plain_sketches(text, words, sketches):
-    """Fingerprints by plain integers: the hashes of shingles, and those hashes mixed anew."""
+def plain_sketches(text, words, sketches, bits):
+    """Short fingerprints by plain integers: the bits of the set of shingle hashes, and of those hashes mixed anew, cut up."""
     w = text.encode().lower().split()
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))] if w else []
-    top, out = (1 << 64) - 1, []
-    for k in range(sketches):
+    h = {xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))} if w else set()
+    top, flags = (1 << 64) - 1, ""
+    for k in range(-(-sketches * bits // 64)):
         mixed = []
         for x in h:
             if k:
@@ -105,25 +106,47 @@ def plain_sketches(text, words, sketches):
                 x = (x ^ x >> 27) * 0x94D049BB133111EB & top
                 x ^= x >> 31
             mixed.append(x)
-        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)))
-    return out
+        flags += "".join("1" if 2 * sum(x >> b & 1 for x in mixed) > len(mixed) else "0" for b in reversed(range(64)))
+    return [int(flags[k * bits : (k + 1) * bits], 2) for k in range(sketches)]
 
 
-def plain_similar(texts, words=5, sketches=4, radius=4):
-    """{number: least number reachable} over texts any of whose sketches are near, by comparing all pairs."""
-    fps = [plain_sketches(t, words, sketches) for t in texts]
+def plain_similar(texts, words=5, sketches=8, bits=48, radius=4, similarity=0.8):
+    """{number: least number reachable} over texts any of whose sketches are near and all together near enough, by comparing all
+    pairs; equal sketches link as they are."""
+    fps = [plain_sketches(t, words, sketches, bits) for t in texts]
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.floor(sketches * bits * share + math.sqrt(sketches * bits * share * (1 - share)) / 2)
     label = list(range(len(texts)))
     changed = True
     while changed:
         changed = False
         for i, a in enumerate(fps):
             for j in range(i):
-                if label[i] != label[j] and any((x ^ y).bit_count() <= radius for x, y in zip(a, fps[j], strict=True)):
-                    label[i] = label[j] = min(label[i], label[j])
-                    changed = True
+                if label[i] != label[j]:
+                    apart = [(x ^ y).bit_count() for x, y in zip(a, fps[j], strict=True)]
+                    if min(apart) == 0 or (min(apart) <= radius and sum(apart) <= most):
+                        label[i] = label[j] = min(label[i], label[j])
+                        changed = True
     return dict(enumerate(label))
 
 
+def test_spanning_forest_has_least_distances():
+    rng = np.random.default_rng(5)
+    pairs, distance = rng.integers(0, 60, (300, 2)), rng.integers(0, 5, 300)
+    got = simhash.spanning_forest(pairs, distance, 60)
+    weight = {}
+    for (a, b), d in zip(pairs.tolist(), distance.tolist(), strict=True):
+        weight[a, b] = min(d, weight.get((a, b), 9))
+    for most in range(5):  # the pairs of every distance connect what all pairs up to it do
+        def labels(edges):
+            of = list(range(60))
+            for a, b in edges * 60:
+                of[a] = of[b] = min(of[a], of[b])
+            return of
+        assert labels([(a, b) for a, b in got.tolist() if weight[a, b] <= most]) == labels([e for e, d in weight.items() if d <= most])
+    assert len(simhash.spanning_forest(np.zeros((0, 2), dtype=np.int64), np.zeros(0), 3)) == 0
+
+
 def test_similar_documents(spark, monkeypatch):
     monkeypatch.setattr(simhash, "ROWS_PER_KEY", 5)
     monkeypatch.setattr(simhash, "DEALT", 7)
@@ -141,6 +164,6 @@ def test_similar_documents(spark, monkeypatch):
     got = {r.row: r.component for r in simhash.similar_documents(df, "row").collect()}
     want = plain_similar(texts)
     assert got == want and len(set(want.values())) > 12
-    one = simhash.similar_documents(df, "row", sketches=2, radius=3)
-    assert {r.row: r.component for r in one.collect()} == plain_similar(texts, sketches=2, radius=3)
+    one = simhash.similar_documents(df, "row", sketches=3, bits=50, radius=3, similarity=0.9)
+    assert {r.row: r.component for r in one.collect()} == plain_similar(texts, sketches=3, bits=50, radius=3, similarity=0.9)
     assert simhash.similar_documents(df.limit(0), "row").count() == 0
