@@ -280,7 +280,7 @@ def expected_distance(similarity: float, bits: int) -> int:
     return int(bits * share + np.sqrt(bits * share * (1 - share)) / 2)
 
 
-def similar_documents(docs: DataFrame, row_col: str, text_col: str = "text", radius: int = 4, words: int = 5, sketches: int = 8, bits: int = 48, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, row_col: str, text_col: str = "text", radius: int = 4, words: int = 5, sketches: int = 12, bits: int = 48, similarity: float = 0.8) -> DataFrame:
     """(row_col, component) of rows that are numbered by ``row_col`` (distinct longs): the least number reachable over documents
     one of whose ``sketches`` short fingerprints are within ``radius`` and all of them together within the distance that sets
     of this ``similarity`` have.

@@ -110,7 +110,7 @@ def plain_sketches(text, words, sketches, bits):
     return [int(flags[k * bits : (k + 1) * bits], 2) for k in range(sketches)]
 
 
-def plain_similar(texts, words=5, sketches=8, bits=48, radius=4, similarity=0.8):
+def plain_similar(texts, words=5, sketches=12, bits=48, radius=4, similarity=0.8):
     """{number: least number reachable} over texts any of whose sketches are near and all together near enough, by comparing all
     pairs; equal sketches link as they are."""
     fps = [plain_sketches(t, words, sketches, bits) for t in texts]
