@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphspark import graph as G
+from graphspark.functions import grids, rates, reductions
 from graphspark.graph import Graph
 from graphspark.operators import coloring, connectivity, factor, fsm, linalg, motifs, patterns, ranking, sets, spanning, traversal
 from graphspark.plans import datasets as D
@@ -602,3 +603,108 @@ def file_degrees(spark, sf):
     g = D.seq_graph(spark, sf)
     back = _written(spark, lambda p: writers.write_degrees(g, p), lambda p: spark.read.text(f"{p}/out_degree"))
     return back.select(F.split("value", " ")[0].cast("long").alias("v"), F.split("value", " ")[1].cast("long").alias("degree")).where("degree > 0")
+
+
+# Set operations, vectors, matrices and grids
+
+@query("""WITH s AS (SELECT l_orderkey AS o, list_sort(list_distinct(list(l_partkey))) AS p FROM lineitem GROUP BY l_orderkey),
+n AS (SELECT o_orderkey AS o, p, lead(p) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS q, (o_orderkey * 7) % 1000 AS k FROM orders JOIN s ON s.o = o_orderkey),
+i AS (SELECT *, list_filter(p, lambda x: list_contains(q, x)) AS shared, list_filter(p, lambda x: NOT list_contains(q, x)) AS own FROM n WHERE q IS NOT NULL)
+SELECT o, CAST(len(list_filter(shared, lambda x: x < k)) AS BIGINT) AS common_below, CAST(len(list_filter(shared, lambda x: x <> p[1])) AS BIGINT) AS common_without, CAST(list_sum(list_distinct(list_concat(p, q))) AS BIGINT) AS sum_union,
+CAST(len(list_filter(own, lambda x: x <> p[1])) AS BIGINT) AS own_without, CAST(len(list_filter(own, lambda x: x < k)) AS BIGINT) AS own_below, CAST(len(list_filter(p, lambda x: x < k)) AS BIGINT) AS prefix, list_contains(q, p[1]) AS holds FROM i""")
+def order_sets(spark, sf):
+    """The array forms of the set operations, on the parts of an order and of its customer's next one."""
+    parts = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_set("l_partkey")).alias("p"))
+    orders = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("o"), "o_custkey", ((F.col("o_orderkey") * 7) % 1000).alias("k"))
+    pairs = orders.join(parts, "o").withColumn("q", F.lead("p").over(Window.partitionBy("o_custkey").orderBy("o"))).where("q is not null")
+    p, q, k, least = F.col("p"), F.col("q"), F.col("k"), F.element_at("p", 1)
+    return pairs.select(
+        "o",
+        sets.intersection_count(p, q, below=k).cast("long").alias("common_below"),
+        sets.intersection_count(p, q, without=[least]).cast("long").alias("common_without"),
+        F.aggregate(sets.union(p, q), F.lit(0).cast("long"), lambda total, x: total + x).alias("sum_union"),
+        sets.difference_count(p, q, also=least).cast("long").alias("own_without"),
+        sets.difference_count(p, q, below=k).cast("long").alias("own_below"),
+        F.size(sets.bounded(p, k)).cast("long").alias("prefix"),
+        sets.contains(q, least).alias("holds"),
+    )
+
+
+@query(f"WITH {COP2}, {LABELS} SELECT a.u AS a, a.v AS b, count(*) AS n FROM half a JOIN e x ON x.u = a.u JOIN e y ON y.u = a.v AND y.v = x.v JOIN lab ON lab.v = x.v AND lab.label = 1 GROUP BY 1, 2")
+def common_labelled(spark, sf):
+    """Common neighbours of label 1 of each pair."""
+    g = D.cop2_graph(spark, sf)
+    pairs = g.edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return sets.labelled_common_count(pairs, g.edges, D.part_labels(spark, sf), 1)
+
+
+@query("SELECT p_partkey AS v, p_size + p_retailprice AS added, p_size * p_retailprice AS multiplied, 2.5 * p_size + p_retailprice AS saxpy FROM part")
+def vector_arithmetic(spark, sf):
+    part = D.table(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("double"))
+    return part.select(F.col("p_partkey").alias("v"), reductions.vec_add("p_size", "p_retailprice").alias("added"), reductions.vec_mul("p_size", "p_retailprice").alias("multiplied"), reductions.saxpy(2.5, "p_size", "p_retailprice").alias("saxpy"))
+
+
+@query(f"WITH {SEQ} SELECT a.src AS row, b.dst AS col, CAST(count(*) AS DOUBLE) AS value FROM seq a JOIN seq b ON a.dst = b.src GROUP BY 1, 2")
+def matrix_product(spark, sf):
+    """The square of the adjacency matrix: paths of two edges."""
+    m = D.seq_graph(spark, sf).edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("value"))
+    return reductions.matmul(m, m)
+
+
+#: Columns of the grid that the parts' keys are laid out on.
+GRID_COLS = 40
+_GRID = f"g0 AS (SELECT p_partkey // {GRID_COLS} AS row, p_partkey % {GRID_COLS} AS col, 300.0 + p_size AS temp, p_retailprice / 1000000 AS power FROM part)"
+_AROUND = "LEFT JOIN {g} n ON n.row = g.row - 1 AND n.col = g.col LEFT JOIN {g} s ON s.row = g.row + 1 AND s.col = g.col LEFT JOIN {g} w ON w.row = g.row AND w.col = g.col - 1 LEFT JOIN {g} e ON e.row = g.row AND e.col = g.col + 1"
+
+
+def _part_grid(spark, sf):
+    key = F.col("p_partkey")
+    return D.table(spark, sf, "part").select(F.floor(key / GRID_COLS).alias("row"), (key % GRID_COLS).alias("col"), (F.lit(300.0) + F.col("p_size")).alias("temp"), (F.col("p_retailprice") / 1000000).alias("power"))
+
+
+@query(f"WITH {_GRID} SELECT g.row, g.col, round(CASE WHEN n.row IS NULL OR s.row IS NULL OR w.row IS NULL OR e.row IS NULL THEN g.temp ELSE (n.temp + s.temp + w.temp + e.temp) / 4 END, 6) AS value FROM g0 g {_AROUND.format(g='g0')}")
+def laplace_smooth(spark, sf):
+    return reductions.laplace_step(_part_grid(spark, sf).select("row", "col", F.col("temp").alias("value"))).select("row", "col", F.round("value", 6).alias("value"))
+
+
+#: A grid of 50 by 40 cells on the chip.
+_CHIP = grids.chip_constants(50, GRID_COLS)
+_HEAT = "SELECT g.row, g.col, g.temp + {c[0]!r} * (g.power + (coalesce(n.temp, g.temp) + coalesce(s.temp, g.temp) - 2 * g.temp) / {c[2]!r} + (coalesce(w.temp, g.temp) + coalesce(e.temp, g.temp) - 2 * g.temp) / {c[1]!r} + (80.0 - g.temp) / {c[3]!r}) AS temp, g.power FROM {g} g {around}"
+
+
+@query(f"WITH {_GRID}, g1 AS MATERIALIZED ({_HEAT.format(c=_CHIP, g='g0', around=_AROUND.format(g='g0'))}), g2 AS ({_HEAT.format(c=_CHIP, g='g1', around=_AROUND.format(g='g1'))}) SELECT row, col, round(temp, 5) AS temp FROM g2")
+def hotspot_heat(spark, sf):
+    grid = _part_grid(spark, sf)
+    for _ in range(2):
+        grid = grids.hotspot_step(grid, *_CHIP)
+    return grid.select("row", "col", F.round("temp", 5).alias("temp"))
+
+
+@query("""WITH l AS (SELECT l_orderkey o, l_linenumber i, min(l_partkey) p FROM lineitem GROUP BY 1, 2),
+a AS MATERIALIZED (SELECT x.o, x.i, y.i j, 1 v FROM l x JOIN l y ON x.o = y.o AND x.i <> y.i AND (x.p + y.p) % 3 <> 0),
+m2 AS MATERIALIZED (SELECT x.o, x.i, y.j, sum(x.v * y.v) v FROM a x JOIN a y ON x.o = y.o AND x.j = y.i GROUP BY 1, 2, 3),
+m3 AS MATERIALIZED (SELECT x.o, x.i, y.j, sum(x.v * y.v) v FROM m2 x JOIN a y ON x.o = y.o AND x.j = y.i GROUP BY 1, 2, 3),
+m4 AS (SELECT x.o, x.i, y.j, sum(x.v * y.v) v FROM m3 x JOIN a y ON x.o = y.o AND x.j = y.i GROUP BY 1, 2, 3),
+t AS (SELECT o, 2 k, sum(v) p FROM m2 WHERE i = j GROUP BY o UNION ALL SELECT o, 3, sum(v) FROM m3 WHERE i = j GROUP BY o
+ UNION ALL SELECT o, 4, sum(v * v) FROM m2 GROUP BY o UNION ALL SELECT x.o, 5, sum(x.v * y.v) FROM m2 x JOIN m3 y ON x.o = y.o AND x.i = y.i AND x.j = y.j GROUP BY x.o
+ UNION ALL SELECT o, 6, sum(v * v) FROM m3 GROUP BY o UNION ALL SELECT x.o, 7, sum(x.v * y.v) FROM m3 x JOIN m4 y ON x.o = y.o AND x.i = y.i AND x.j = y.j GROUP BY x.o),
+s AS (SELECT u.o, coalesce(sum(p) FILTER (k = 2), 0) p2, coalesce(sum(p) FILTER (k = 3), 0) p3, coalesce(sum(p) FILTER (k = 4), 0) p4, coalesce(sum(p) FILTER (k = 5), 0) p5, coalesce(sum(p) FILTER (k = 6), 0) p6, coalesce(sum(p) FILTER (k = 7), 0) p7
+ FROM (SELECT DISTINCT o FROM l) u LEFT JOIN t ON t.o = u.o GROUP BY u.o),
+c AS (SELECT *, -p2 / 2 c5, -p3 / 3 c4 FROM s), d AS (SELECT *, -(p4 + c5 * p2) / 4 c3, -(p5 + c5 * p3 + c4 * p2) / 5 c2 FROM c),
+f AS (SELECT *, -(p6 + c5 * p4 + c4 * p3 + c3 * p2) / 6 c1, -(p7 + c5 * p5 + c4 * p4 + c3 * p3 + c2 * p2) / 7 c0 FROM d)
+SELECT CAST(round(c0) AS BIGINT) c0, CAST(round(c1) AS BIGINT) c1, CAST(round(c2) AS BIGINT) c2, CAST(round(c3) AS BIGINT) c3, CAST(round(c4) AS BIGINT) c4, CAST(round(c5) AS BIGINT) c5, count(*) AS orders FROM f GROUP BY 1, 2, 3, 4, 5, 6""")
+def characteristic_polynomials(spark, sf):
+    """Orders by the characteristic polynomial of the graph of their line numbers (at most 7), linked where the keys of their
+    least parts have a sum that 3 doesn't divide."""
+    lines = D.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    orders = lines.groupBy("l_orderkey").agg(*(F.min(F.when(F.col("l_linenumber") == i, F.col("p"))).alias(f"p{i}") for i in range(1, 8)))
+    cells = [F.coalesce(((F.col(f"p{i}") + F.col(f"p{j}")) % 3 != 0).cast("long"), F.lit(0).cast("long")) if i != j else F.lit(0).cast("long") for i in range(1, 8) for j in range(1, 8)]
+    found = grids.characteristic_polynomial(orders.select(F.array(*cells).alias("m")).groupBy("m").agg(F.count("*").alias("n")), "m", 7)
+    return found.groupBy(*(f"c{k}" for k in range(6))).agg(F.sum("n").alias("orders"))
+
+
+@query()
+def libor_swaptions(spark, sf):
+    """A path of rates for each customer, with draws by rule."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(rates.UNTIL - 1)), lambda n: ((F.col("c_custkey") * 31 + n * 17) % 200 - 100) / 100.0)
+    return rates.swaption_values(D.table(spark, sf, "customer").select(F.col("c_custkey").alias("path"), draws.alias("z")))
