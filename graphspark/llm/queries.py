@@ -41,6 +41,16 @@ def op4_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op2 that SQL can express."""
+    return op2_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op4 that SQL can express."""
+    return op4_iblt_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,11 +82,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_media_columns, op3_lattice_lm, op4_iblt_fingerprints, op5_quality, op6_toxicity, op7_simhash, op8_language_id, op9_warc, op10_byte_bpe, pipeline)
+    f.__name__: f for f in (op1_best_fit_packing, op2_media_columns, op3_lattice_lm, op4_iblt_fingerprints, op5_quality, op6_toxicity, op7_simhash, op8_language_id, op9_warc, op10_byte_bpe, pipeline, media_payloads, edited_texts)
 }
 
-#: DuckDB SQL where SQL can express the operator's whole result.
+#: DuckDB SQL where SQL can express the whole result of a query.
 ORACLES: dict[str, str] = {
+    "media_payloads": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents), n AS (SELECT *, octet_length(t) AS n_bytes FROM d),
+        p AS (SELECT *, greatest((n_bytes + 63) // 64, 1) * 64 AS payload_bytes FROM n)
+        SELECT doc_id, n_bytes, payload_bytes, sha256(t || repeat('\\x00'::BLOB, payload_bytes - n_bytes)) AS payload_sha256 FROM p
+    """,
+    "edited_texts": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT doc_id, t, length(t) AS n_chars, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nx FROM d)
+        SELECT doc_id, n_chars, sha256(substr(t, 1, n_chars - n_chars // 2) || substr(nx, 1, n_chars // 2)) AS edited_sha256 FROM n
+    """,
     "op9_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
