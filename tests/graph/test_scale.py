@@ -28,3 +28,42 @@ def test_pairs_of_orders_are_counted_over_as_many_tasks_as_they_ask_for(spark, t
         found = datasets.common_order_edges(spark, str(tmp_path), least).withColumn("task", F.spark_partition_id()).collect()
         assert sorted((r.u, r.v) for r in found) == sorted(p for p, n in count.items() if n >= least)
         assert len({r.task for r in found}) > 8  # the session has 4 partitions a shuffle
+
+
+def random_graph(n, m, hub=None):
+    pairs = {tuple(sorted(RNG.sample(range(n), 2))) for _ in range(m)} | ({tuple(sorted((hub, v))) for v in range(n) if v != hub} if hub is not None else set())
+    near = {v: set() for v in range(n)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    return sorted(pairs), near
+
+
+@pytest.mark.parametrize("hub", [None, 3])
+def test_triangles_and_cliques_by_blocks(spark, monkeypatch, hub):
+    from graphspark.operators import blocks, motifs
+
+    pairs, near = random_graph(40, 300, hub)
+    edges = spark.createDataFrame([(a * 10**9 - 7, b * 10**9 - 7) for a, b in pairs] + [(b * 10**9 - 7, a * 10**9 - 7) for a, b in pairs], "src long, dst long")
+    whole = {k: [c for c in combinations(range(40), k) if all(b in near[a] for a, b in combinations(c, 2))] for k in (3, 4, 5)}
+    back = lambda v: (v + 7) // 10**9
+    monkeypatch.setattr(blocks, "HUB", 15)
+    found = blocks.closed(edges, "rows", task_edges=60).collect()  # six colors
+    assert sorted(tuple(map(back, sorted(r))) for r in found) == whole[3]
+    assert sum(r.n for r in blocks.closed(edges, "count", task_edges=60).collect()) == len(whole[3])
+    assert {back(r.v): r.triangles for r in motifs.triangles_per_vertex(edges).collect()} == {v: n for v in range(40) if (n := sum(v in c for c in whole[3]))}
+    assert {(back(r.src), back(r.dst)): r.tri for r in motifs.edge_triangles(edges).collect()} == {(a, b): len(near[a] & near[b]) for a, b in pairs}
+    for k in (4, 5):
+        assert sorted(tuple(map(back, sorted(r))) for r in blocks.cliques(edges, k, task_edges=60).collect()) == whole[k]
+        counted = motifs.clique_count(edges, k)
+        assert counted.first()[0] == len(whole[k]) > 0
+        assert "Join" not in counted._jdf.queryExecution().toString()  # no wedge is shuffled
+
+
+def test_graphs_without_triangles(spark):
+    from graphspark.operators import motifs
+
+    for rows in ([], [(1, 2), (2, 1), (2, 3), (3, 2)]):
+        edges = spark.createDataFrame(rows, "src long, dst long")
+        assert [motifs.clique_count(edges, k).first()[0] for k in (3, 4)] == [0, 0]
+        assert motifs.cliques(edges, 4).count() == motifs.triangles_per_vertex(edges).count() == 0
