@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphspark.session import spread
+
 
 def l1_distance(a: str, b: str) -> Column:
     return F.sum(F.abs(F.col(a) - F.col(b)))
@@ -40,9 +42,17 @@ def vec_mul(x: str, y: str) -> Column:
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(row, col, value) of the product of two matrices in coordinates."""
-    left, right = a.select("row", F.col("col").alias("k"), F.col("value").alias("x")), b.select(F.col("row").alias("k"), "col", F.col("value").alias("y"))
-    return left.join(right, "k").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    """(row, col, value) of the product of two matrices in coordinates.
+
+    A row of ``b`` goes to each row of ``a`` that has its number, as one array; products are made and added up where the row of
+    the result is, in as many tasks as their number asks for.
+    """
+    left = a.select("row", F.col("col").alias("k"), F.col("value").alias("x"))
+    lines = b.groupBy(F.col("row").alias("k")).agg(F.collect_list(F.struct("col", F.col("value").alias("y"))).alias("line"))
+    uses = left.groupBy("k").agg(F.count("*").alias("uses")).join(b.groupBy(F.col("row").alias("k")).agg(F.count("*").alias("n")), "k")
+    products = uses.agg(F.sum(F.col("uses") * F.col("n"))).first()[0] or 0
+    terms = spread(left.join(lines, "k").select("row", "x", "line"), products, "row").select("row", "x", F.explode("line").alias("t"))
+    return terms.groupBy("row", F.col("t.col").alias("col")).agg(F.sum(F.col("x") * F.col("t.y")).alias("value"))
 
 
 def laplace_step(grid: DataFrame) -> DataFrame:
