@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.graph import Graph, dedup, symmetrize
+from graphspark.session import measured
 from graphspark.sources import readers, writers
 
 
@@ -22,7 +23,11 @@ def convert(spark: SparkSession, source: str, target: str, src_fmt: str, dst_fmt
         writers.write_el(bipartite(readers.read_ratings_mtx(spark, source), size[0]), target)
         return
     g = readers.load_graph(spark, source, src_fmt, **options)
-    both = lambda: Graph(dedup(symmetrize(g.edges)), g.vertices, False)
+
+    def both() -> Graph:
+        edges, found = measured(g.edges, "edges")
+        return Graph(dedup(symmetrize(edges), 2 * found["n"]), g.vertices, False)
+
     if dst_fmt == "mtx":
         writers.write_mtx(g, target)
     elif dst_fmt == "el":

@@ -142,7 +142,7 @@ def read_el(spark: SparkSession, path: str, header: bool = False, base: int = 0,
     cols = [(F.col("words")[0].cast("long") - base).alias("src"), (F.col("words")[1].cast("long") - base).alias("dst")]
     if not rows.where(F.size("words") > 2).limit(1).isEmpty():
         cols.append(F.coalesce(F.get(F.col("words"), F.lit(2)).cast("double"), F.lit(1.0)).alias("weight"))
-    return Graph.of(rows.select(*cols), None if n is None else spark.range(n).select(F.col("id").alias("v")), directed)
+    return Graph.of(rows.select(*cols), None if n is None else spark.range(n).select(F.col("id").alias("v")), directed, rows.count())
 
 
 def read_labelled(spark: SparkSession, path: str, directed: bool = False) -> Graph:

@@ -102,3 +102,15 @@ def test_wedge_patterns_meet_a_kind_of_center_once(spark, both_ways):
     found = fsm.wedge_pattern_support(edges, spark.createDataFrame(list(label.items()), "v long, label int"), both_ways=both_ways)
     assert sorted(map(tuple, found.collect())) == sorted((*k, min(map(len, x))) for k, x in images.items())
     assert "Expand" not in found._jdf.queryExecution().toString()  # no row for each of several distinct counts
+
+
+def test_edges_of_a_list_are_made_one_over_as_many_tasks_as_they_ask_for(spark, tmp_path, monkeypatch):
+    from graphspark.sources import convert, readers
+
+    pairs = [(RNG.randrange(30), RNG.randrange(30)) for _ in range(400)]
+    (tmp_path / "g.el").write_text("".join(f"{a} {b}\n" for a, b in pairs))
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    convert.convert(spark, f"{tmp_path}/g.el", f"{tmp_path}/both", "el", "sel")
+    found = readers.load_graph(spark, f"{tmp_path}/both", "el").edges.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.src, r.dst) for r in found) == sorted({e for a, b in pairs if a != b for e in ((a, b), (b, a))})
+    assert len({r.task for r in found}) > 4  # the session has 4 partitions a shuffle
