@@ -114,3 +114,22 @@ def test_edges_of_a_list_are_made_one_over_as_many_tasks_as_they_ask_for(spark,
     found = readers.load_graph(spark, f"{tmp_path}/both", "el").edges.withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r.src, r.dst) for r in found) == sorted({e for a, b in pairs if a != b for e in ((a, b), (b, a))})
     assert len({r.task for r in found}) > 4  # the session has 4 partitions a shuffle
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64])
+def test_ratings_of_a_user_solved_at_once(n):
+    import numpy as np
+
+    from graphspark.operators import factor
+
+    draw = np.random.default_rng(n)
+    x, y, r, lam, eta = draw.normal(size=5), draw.normal(size=(n, 5)), draw.normal(size=n), 0.05, 0.03
+    got = factor._user_block(x, y.copy(), r, lam, eta)
+    own, items, errors = x, [], []
+    for t in range(n):
+        d = r[t] - own @ y[t]
+        errors.append(d)
+        own, new = own + eta * (-lam * own + y[t] * d), y[t] + eta * (-lam * y[t] + own * d)
+        items.append(new)
+    for a, b in zip(got, (own, np.array(items), np.array(errors)), strict=True):
+        assert np.allclose(a, b, rtol=1e-10, atol=1e-12)
