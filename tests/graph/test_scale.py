@@ -133,3 +133,70 @@ def test_ratings_of_a_user_solved_at_once(n):
         items.append(new)
     for a, b in zip(got, (own, np.array(items), np.array(errors)), strict=True):
         assert np.allclose(a, b, rtol=1e-10, atol=1e-12)
+
+
+@pytest.mark.parametrize("hub", [None, 3])
+@pytest.mark.parametrize("leaf_edges", [None, 300])
+def test_rectangles_and_motifs_by_two_steps(spark, monkeypatch, hub, leaf_edges):
+    from graphspark.operators import blocks, motifs, patterns, twohop
+
+    pairs, near = random_graph(40, 260, hub)
+    far = lambda v: v * 10**9 - 7
+    edges = spark.createDataFrame([(far(a), far(b)) for a, b in pairs] + [(far(b), far(a)) for a, b in pairs], "src long, dst long")
+    if leaf_edges:
+        monkeypatch.setattr(blocks, "CHUNK", 50)
+        monkeypatch.setattr(twohop, "CHUNK", 50)
+        monkeypatch.setattr(twohop, "HUB", 15)
+        monkeypatch.setattr(twohop, "MARKS", 100)
+    names = {(1, 1, 2, 2): "path4", (1, 1, 1, 3): "star3", (2, 2, 2, 2): "rectangle", (1, 2, 2, 3): "tailed_triangle", (2, 2, 3, 3): "diamond", (3, 3, 3, 3): "clique4"}
+    want = dict.fromkeys(names.values(), 0)
+    for s in combinations(range(40), 4):
+        name = names.get(tuple(sorted(len(near[v] & set(s)) for v in s)))  # with no vertex of degree 0 these degrees are of connected graphs
+        if name:
+            want[name] += 1
+    total = sum(n * (n - 1) // 2 for a, b in combinations(range(40), 2) if (n := len(near[a] & near[b]))) // 2
+    found = twohop.four(edges, leaf_edges=leaf_edges)
+    assert "Join" not in found._jdf.queryExecution().toString()  # no wedge is shuffled
+    assert found.first().all4 == patterns.rectangle_count(edges).first()[0] == total > 0
+    monkeypatch.setattr(twohop, "LEAF_EDGES", leaf_edges or twohop.LEAF_EDGES)
+    assert {r.motif: r.total for r in motifs.motifs_by_formula(edges, 4).collect()} == want
+
+
+def test_leaves_are_halved_until_they_hold_little():
+    from graphspark.operators import twohop
+
+    loads = {(level, i): 100 >> (twohop.LEVELS - level) for level in range(twohop.LEVELS + 1) for i in range(40)}
+    assert twohop._leaves(loads, 40, 100).tolist() == [i >> 4 for i in range(40)]
+    assert twohop._leaves(loads, 40, 30).tolist() == [i >> 2 for i in range(40)]
+    assert twohop._leaves(loads, 37, 1).tolist() == list(range(37))
+
+
+@pytest.mark.parametrize("hubs", [{}, {3: 1, 20: 2}])
+@pytest.mark.parametrize("chunk", [7, 60, 1 << 20])
+def test_a_leaf_counts_a_bounded_number_of_wedges_at_a_time(monkeypatch, hubs, chunk):
+    import numpy as np
+    import pyarrow as pa
+
+    from graphspark.operators import blocks, twohop
+
+    pairs, near = random_graph(40, 260, 3)
+    monkeypatch.setattr(blocks, "CHUNK", chunk)
+    monkeypatch.setattr(twohop, "CHUNK", chunk)
+    monkeypatch.setattr(twohop, "MARKS", chunk)
+    u, w = np.array(pairs + [(b, a) for a, b in pairs]).T
+    bounds, leaf_of = np.array([10, 25]), np.array([0, 1, 0])
+    out = {n: 0 for n in twohop.NAMES}
+    for leaf in (0, 1):  # every list whole, in any order
+        batch = pa.record_batch([pa.array([leaf], pa.int32()), pa.array([blocks.pack(u, w)], pa.binary())], ["t", "packed"])
+        for row in next(twohop._solve(bounds, leaf_of, hubs, True)([batch])).to_pylist():
+            out = {n: out[n] + row[n] for n in out}
+    t = {(a, b): len(near[a] & near[b]) for a, b in pairs}
+    sides = {(a, b): (len(near[a]) - n - 1, len(near[b]) - n - 1) for (a, b), n in t.items()}
+    assert out == {
+        "all4": sum(n * (n - 1) // 2 for a, b in combinations(range(40), 2) if (n := len(near[a] & near[b]))) // 2,
+        "k4": sum(all(b in near[a] for a, b in combinations(s, 2)) for s in combinations(range(40), 4)),
+        "tt": sum(n * (n - 1) // 2 for n in t.values()),
+        "ts": sum(n * sum(sides[e]) for e, n in t.items()),
+        "ss": sum(x * y for x, y in sides.values()),
+        "s2": sum(x * (x - 1) + y * (y - 1) for x, y in sides.values()),
+    }
