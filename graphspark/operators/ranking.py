@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.graph import Graph
-from graphspark.session import dealt, loop_materialize, loop_measured
+from graphspark.operators.vectors import Pushing
+from graphspark.session import dealt, loop_materialize
 
 
 def _contributions(g: Graph) -> DataFrame:
@@ -21,45 +23,50 @@ def pagerank(g: Graph, damping: float = 0.85, tolerance: float | None = 1e-4, it
     ``tolerance=None`` runs exactly ``iterations`` steps; then ``batch`` of them make one job.
     """
     n = g.vertices.count()
-    edges = dealt(_contributions(g), "src", tag="pr-edges")
-    base = (1 - damping) / n
-    paths: list[str] = []
-    scores = loop_materialize(g.vertices.select("v", F.lit(1.0 / n).alias("score")), "pr", paths)
-    errors: list[float] = []
-    for step in range(iterations):
-        into = edges.join(scores, edges["src"] == scores["v"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("s"))
-        new = scores.join(into, scores["v"] == into["dst"], "left").select("v", (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("score"), F.col("score").alias("old"))
-        if tolerance is None:
-            scores = new.select("v", "score")
+    base = (1 - damping) / n if n else 0.0
+    if tolerance is None:
+        edges = dealt(_contributions(g), "src", tag="pr-edges")
+        paths: list[str] = []
+        scores = loop_materialize(g.vertices.select("v", F.lit(1.0 / n).alias("score")), "pr", paths)
+        for step in range(iterations):
+            into = edges.join(scores, edges["src"] == scores["v"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("s"))
+            scores = scores.join(into, scores["v"] == into["dst"], "left").select("v", (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("score"))
             if (step + 1) % batch == 0 or step + 1 == iterations:
                 scores = loop_materialize(scores, "pr", paths)
-            continue
-        new, found = loop_measured(new, "pr", paths, error=F.sum(F.abs(F.col("score") - F.col("old"))))
-        errors.append(found["error"])
-        scores = new.select("v", "score")
+        return scores, []
+
+    def update(score, _, into):
+        new = base + damping * into
+        return new, _, float(np.abs(new - score).sum())
+
+    pushing = Pushing(g, "pr", lambda k: (np.full(k, 1.0 / n), np.zeros(0)), lambda score, _: score)
+    errors: list[float] = []
+    for _ in range(iterations):
+        errors.append(pushing.step(update, F.sum))
         if errors[-1] < tolerance:
             break
-    return scores, errors
+    return pushing.values(), errors
 
 
 def pagerank_delta(g: Graph, damping: float = 0.85, tolerance: float = 1e-3, iterations: int = 100) -> tuple[DataFrame, int]:
     """((v, score), iterations): only vertices whose residual exceeds ``tolerance`` times their score send it on."""
     n = g.vertices.count()
-    edges = dealt(_contributions(g), "src", tag="pr-edges")
-    paths: list[str] = []
-    base = (1 - damping) / n
-    state = loop_materialize(g.vertices.select("v", F.lit(0.0).alias("score"), F.lit(1.0 / n).alias("delta"), F.lit(True).alias("active")), "pr-delta", paths)
+    base = (1 - damping) / n if n else 0.0
+
+    def update(first: bool):
+        def run(score, delta, into):
+            delta = damping * into + (base - 1.0 / n if first else 0.0)
+            score = score + delta + (1.0 / n if first else 0.0)
+            return score, delta, float(np.count_nonzero(np.abs(delta) > tolerance * score))
+
+        return run
+
+    # the first round sends from every vertex: its score is still 0
+    pushing = Pushing(g, "pr-delta", lambda k: (np.zeros(k), np.full(k, 1.0 / n)), lambda score, delta: np.where(np.abs(delta) > tolerance * score, delta, 0.0))
     for step in range(iterations):
-        sending = state.where("active").select(F.col("v").alias("src"), "delta")
-        into = edges.join(sending, "src").groupBy("dst").agg(F.sum(F.col("delta") * F.col("share")).alias("s"))
-        got = damping * F.coalesce("s", F.lit(0.0))
-        delta = got + base - 1.0 / n if step == 0 else got
-        score = F.col("score") + delta + (1.0 / n if step == 0 else 0.0)
-        moved = state.join(into, state["v"] == into["dst"], "left").select("v", score.alias("score"), delta.alias("delta"))
-        state, found = loop_measured(moved.withColumn("active", F.abs("delta") > tolerance * F.col("score")), "pr-delta", paths, active=F.count_if("active"))
-        if not found["active"]:
+        if not pushing.step(update(step == 0), F.max):
             break
-    return state.select("v", "score"), step + 1
+    return pushing.values(), step + 1
 
 
 def pagerank_residual(g: Graph, scores: DataFrame, damping: float = 0.85) -> float:

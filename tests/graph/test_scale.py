@@ -200,3 +200,28 @@ def test_a_leaf_counts_a_bounded_number_of_wedges_at_a_time(monkeypatch, hubs, c
         "ss": sum(x * y for x, y in sides.values()),
         "s2": sum(x * (x - 1) + y * (y - 1) for x, y in sides.values()),
     }
+
+
+def test_ranks_move_sums_by_range_and_not_edges(spark, monkeypatch):
+    import numpy as np
+
+    from graphspark.graph import Graph
+    from graphspark.operators import ranking, vectors
+
+    monkeypatch.setattr(vectors, "RANGE_EDGES", 20)  # many ranges, and rows of at most 20 edges
+    n = 60
+    pairs = sorted({(RNG.randrange(30), RNG.randrange(30)) for _ in range(300)} | {(3, v) for v in range(40)})
+    far = lambda v: v * 10**9 - 7
+    g = Graph(spark.createDataFrame([(far(a), far(b)) for a, b in pairs], "src long, dst long"), spark.createDataFrame([(far(v),) for v in range(n)], "v long"), True)
+    out = [sum(a == v for a, _ in pairs) for v in range(n)]
+    score = [1 / n] * n
+    for _ in range(4):
+        into = [0.0] * n
+        for a, b in pairs:
+            into[b] += score[a] / out[a]
+        score = [0.15 / n + 0.85 * x for x in into]
+    want = {far(v): pytest.approx(x, rel=1e-9) for v, x in enumerate(score)}
+    assert {r.v: r.score for r in ranking.pagerank(g, tolerance=1e-15, iterations=4)[0].collect()} == want
+    assert {r.v: r.score for r in ranking.pagerank_delta(g, tolerance=0.0, iterations=4)[0].collect()} == want
+    pushing = vectors.Pushing(g, "test", lambda k: (np.ones(k), np.zeros(0)), lambda a, _: a)
+    assert pushing.edges.count() >= len(pairs) / 20 and len(pushing.bounds) > 4  # a piece is a row
