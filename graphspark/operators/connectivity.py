@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.graph import Graph, dedup, symmetrize
-from graphspark.session import dealt, drop_path, loop_materialize, loop_measured, materialize, measured, release
+from graphspark.operators import strong
+from graphspark.session import dealt, loop_materialize, loop_measured, materialize, measured, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -68,28 +69,6 @@ def afforest(g: Graph, rounds: int = 2) -> DataFrame:
     return of.join(merged, F.col("c") == F.col("node"), "left").select("v", F.coalesce("label", "c").alias("component"))
 
 
-def _reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, color, way) reachable from seeds(v, color, way) along edges(src, dst, color, way) of the same color and way."""
-    paths: list[str] = []
-    frontier, size = measured(seeds, "reach")
-    levels: list[DataFrame] = []
-    tables: list[DataFrame] = []
-    while size["n"]:
-        levels.append(frontier)
-        tables.append(frontier)
-        if len(levels) > 12:
-            levels = [loop_materialize(_union(levels), "reached", paths)]
-            release(*tables[:-1])
-            tables = tables[-1:]
-        step = edges.join(frontier.withColumnRenamed("v", "src"), ["src", "color", "way"], "left_semi").select(F.col("dst").alias("v"), "color", "way").distinct()
-        frontier, size = measured(step.join(_union(levels), ["v", "color", "way"], "left_anti"), "reach")
-    out = materialize(_union(levels), "reached") if levels else seeds
-    release(*tables, frontier)
-    for path in paths:
-        drop_path(seeds.sparkSession, path)
-    return out
-
-
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -179,83 +158,12 @@ def _peel(src: list[int], dst: list[int]) -> pd.DataFrame:
 
 
 def strongly_connected_components(g: Graph, trims: int = 2, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(v, component): least vertex id of the strong component, by forward-backward search in two phases.
+    """(v, component): least vertex id of the strong component, by labels that travel both ways along packed edges (``strong``).
 
-    The first phase has one color and one pivot, the vertex with the most in-edges times out-edges, whose component is the
-    giant one if there is one. In the second, the colors are the weak components of what is left. A round trims vertices
-    without in- or out-edges in their color (``trims`` times) and pairs that have only each other, then goes forwards and
-    backwards from the pivots of all colors at once: what both reach is a component, and what is left of a color splits by
-    how it was reached and into weak components. With ``local_edges``, one task finishes what has no more edges than that.
+    Before a search, vertices without in- or out-edges are components by themselves, and so, ``trims`` times in a range, are those
+    that have lost them by that. With ``local_edges``, one task finishes what has no more edges than that.
     """
-    paths: list[str] = []
-    edge_paths: list[str] = []
-    state = loop_materialize(g.vertices.select("v", F.lit(0).cast("long").alias("color"), F.lit(None).cast("long").alias("component")), "scc", paths)
-    edges, size = loop_measured(g.edges.where("src <> dst").select("src", "dst", F.lit(0).cast("long").alias("color")), "scc-edges", edge_paths)
-
-    def settle(state: DataFrame, found: DataFrame) -> tuple[DataFrame, dict]:
-        """Components ``found`` (v, own) put into the state."""
-        return loop_measured(state.join(found, "v", "left").select("v", "color", F.coalesce("component", "own").alias("component")), "scc", paths, live=F.count_if(F.col("component").isNull()))
-
-    def inner(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, dict]:
-        """The edges between live vertices of one color."""
-        live = state.where("component is null").select("v", "color")
-        s, d = live.select(F.col("v").alias("src"), "color"), live.select(F.col("v").alias("dst"), F.col("color").alias("cd"))
-        return loop_measured(edges.select("src", "dst").join(s, "src").join(d, "dst").where("color = cd").select("src", "dst", "color"), "scc-edges", edge_paths)
-
-    first, before = True, size["n"] + 1
-    while True:
-        for _ in range(trims):
-            both = edges.select(F.col("src").alias("v")).distinct().join(edges.select(F.col("dst").alias("v")).distinct(), "v", "left_semi")
-            state, found = settle(state, state.where("component is null").select("v").join(both, "v", "left_anti").select("v", F.col("v").alias("own")))
-            edges, size = inner(edges, state)
-            if size["n"] == before:
-                break
-            before = size["n"]
-        state, found = settle(state, _closed_pairs(edges))
-        if not found["live"]:
-            return state.select("v", "component")
-        edges, size = inner(edges, state)
-        before = size["n"]
-        if before <= local_edges:
-            rest = _in_one_task(edges, _tarjan, "v long, component long").withColumnRenamed("component", "found")
-            return state.join(rest, "v", "left").select("v", F.coalesce("component", "found", "v").alias("component"))
-        live = state.where("component is null").select("v", "color")
-        if first:
-            degree = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("o")).join(edges.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("i")), "v")
-            best = degree.agg(F.max(F.struct(F.col("o") * F.col("i"), "v"))["v"].alias("pivot"))
-            pivots = materialize(best.where("pivot is not null").select(F.lit(0).cast("long").alias("color"), "pivot"), "scc-pivots")
-        else:
-            weak = component_labels(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-            state = loop_materialize(state.join(weak.select(F.col("node").alias("v"), "label"), "v", "left").select("v", F.when(F.col("component").isNull(), F.coalesce("label", "v")).otherwise(F.col("color")).alias("color"), "component"), "scc", paths)
-            edges, size = inner(edges, state)
-            live = state.where("component is null").select("v", "color")
-            pivots = materialize(live.groupBy("color").agg(F.min("v").alias("pivot")), "scc-pivots")
-        ways = F.explode(F.array(F.lit(1), F.lit(2))).alias("way")
-        steps = dealt(edges.select("src", "dst", "color", F.lit(1).alias("way")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "color", F.lit(2).alias("way"))), "src", tag="scc-steps")
-        reached = _reach(pivots.select(F.col("pivot").alias("v"), "color", ways), steps)
-        ways_of = reached.groupBy("v").agg(F.sum("way").alias("ways"))
-        marked = state.join(ways_of, "v", "left")
-        members = materialize(marked.where((F.col("ways") == 3) & F.col("component").isNull()).select("v", "color"), "scc-members")
-        least = members.groupBy("color").agg(F.min("v").alias("own"))
-        alive = F.col("component").isNull()
-        state = loop_materialize(
-            marked.join(members.join(least, "color").select("v", "own"), "v", "left").select("v", F.when(alive, F.xxhash64("color", F.coalesce("ways", F.lit(0)))).otherwise(F.col("color")).alias("color"), F.coalesce("component", "own").alias("component")), "scc", paths
-        )
-        release(pivots, steps, reached, members)
-        edges, size = inner(edges, state)
-        first = False
-
-
-def _closed_pairs(edges: DataFrame) -> DataFrame:
-    """(v, own): vertices whose only out-edge, or only in-edge, goes to a vertex of which the same holds the other way round, so
-    that the two are a component by themselves."""
-    both = edges.select("src", "dst").join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    found = None
-    for end, other in (("src", "dst"), ("dst", "src")):
-        single = edges.groupBy(F.col(end).alias("x")).agg(F.count("*").alias("n")).where("n = 1").select("x")
-        pairs = both.where("src < dst").join(single.withColumnRenamed("x", "src"), "src", "left_semi").join(single.withColumnRenamed("x", "dst"), "dst", "left_semi").select("src", "dst")
-        found = pairs if found is None else found.unionByName(pairs).distinct()
-    return found.select(F.explode(F.array("src", "dst")).alias("v"), F.col("src").alias("own")).groupBy("v").agg(F.min("own").alias("own"))
+    return strong.components(g, trims, local_edges, lambda edges: _in_one_task(edges, _tarjan, "v long, component long"))
 
 
 def k_core(g: Graph, k: int) -> DataFrame:

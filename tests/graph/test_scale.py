@@ -225,3 +225,55 @@ def test_ranks_move_sums_by_range_and_not_edges(spark, monkeypatch):
     assert {r.v: r.score for r in ranking.pagerank_delta(g, tolerance=0.0, iterations=4)[0].collect()} == want
     pushing = vectors.Pushing(g, "test", lambda k: (np.ones(k), np.zeros(0)), lambda a, _: a)
     assert pushing.edges.count() >= len(pairs) / 20 and len(pushing.bounds) > 4  # a piece is a row
+
+
+def strong(spark, edges, vertices, **more):
+    from graphspark.graph import Graph
+    from graphspark.operators import connectivity
+
+    g = Graph(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(v,) for v in vertices], "v long"), True)
+    return connectivity.strongly_connected_components(g, **more)
+
+
+def test_searches_for_strong_components_grow_slower_than_a_chain_of_them(spark):
+    n = 14
+    edges = [(3 * c + i, 3 * c + (i + 1) % 3) for c in range(n) for i in range(3)] + [(3 * c, 3 * c + 3) for c in range(n - 1)]
+    spark.sparkContext.setJobGroup("strong", "strong")
+    try:
+        found = sorted(tuple(r) for r in strong(spark, edges, range(3 * n)).collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("strong"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == [(v, v - v % 3) for v in range(3 * n)]
+    assert jobs < 20 * n, jobs
+
+
+@pytest.mark.parametrize("trims", [0, 2])
+def test_strong_components_by_ranges(spark, trims):
+    from graphspark.operators import connectivity
+
+    rng = random.Random(trims)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(60)]
+    edges = [(a, b) for a, b in ((rng.choice(ids), rng.choice(ids)) for _ in range(90))]
+    edges += edges[:10] + [(ids[0], ids[0]), (ids[1], 5), (5, ids[1]), (5, ids[2])]  # duplicates, a loop, an end that's no vertex
+    vertices = set(ids)
+    kept = [(a, b) for a, b in edges if {a, b} <= vertices]
+    want = {v: v for v in vertices} | dict(connectivity._tarjan(*map(list, zip(*kept, strict=True))).itertuples(index=False))
+    assert 1 < len({c for v, c in want.items() if c != v}) or max(map(list(want.values()).count, want.values())) > 2
+    for found in (strong(spark, edges, ids, trims=trims).collect(), strong(spark, edges, ids, trims=trims, local_edges=40).collect()):
+        assert sorted(tuple(r) for r in found) == sorted(want.items())
+
+
+def test_labels_are_followed_inside_a_range():
+    import numpy as np
+
+    from graphspark.operators.strong import NONE, follow, mixed
+
+    n = 200  # a chain with a way back: the least label comes everywhere
+    to = np.array([*range(1, n), 0], np.int32)
+    label, fresh = np.full(n, NONE), np.zeros(n, bool)
+    label[[5, 9]], fresh[[5, 9]] = [7, 3], True
+    follow(label, fresh, np.arange(n + 1), to)
+    assert (label == 3).all() and fresh.all()
+    ids = np.array([*range(-1000, 1000), -(2**63), 2**63 - 1])
+    assert len(np.unique(mixed(ids))) == len(ids)
